@@ -1,6 +1,6 @@
 """Damage tracks read from video: arc readings, collapses, alignment with a log, nearest lookups."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boutline.functions.damage import FRESH_SAT
@@ -8,17 +8,6 @@ from boutline.operators import timejoin
 from boutline.operators.seq import cut_runs
 
 
-def upper_median(col: Column, counts: Column) -> Column:
-    """Middle of (value, count) pairs, the upper one of two: pairs are few because values repeat."""
-    pairs = F.array_sort(F.collect_list(F.struct(col.alias("v"), counts.alias("n"))))
-    half = F.floor(F.aggregate(pairs, F.lit(0).cast("long"), lambda a, x: a + x["n"]) / 2)
-    walked = F.aggregate(
-        pairs, F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("v")),
-        lambda a, x: F.when(a["n"] > half, a).otherwise(
-            F.struct((a["n"] + x["n"]).alias("n"), x["v"].cast("double").alias("v"))))
-    return walked["v"]
-
-
 def arc_reading(pixels: DataFrame, key: str) -> DataFrame:
     """Upper medians of hue, saturation and value over the pixels of one reading that belong to the arc.
 
