@@ -28,7 +28,8 @@ def signed_hue(hue: Column) -> Column:
 
 
 def unit(x: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    """Clipped to 0..1; NULL stays NULL (greatest and least alone would skip it)."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
 def ramp(hue: Column, sat: Column) -> Column:

@@ -67,35 +67,33 @@ def validate_resets(found: DataFrame, known: DataFrame, tolerance: float = 6.0,
     return k.unionByName(f)
 
 
-def align(deaths: DataFrame, found: DataFrame, arcs: DataFrame, *, lo=-120.0, hi=120.0, step=0.5, within=4.0,
-          width: float = 16.0) -> DataFrame:
+def align(deaths: DataFrame, found: DataFrame, arcs: DataFrame, *, lo=-120.0, hi=120.0, step=0.5, within=4.0) -> DataFrame:
     """Offset and arc-to-slot order under which the resets explain the deaths of each match best.
 
     ``deaths(match_id, slot, seconds)`` in log time, ``found(match_id, arc, seconds)`` in video time,
     ``arcs(match_id, perm, arc, slot)`` the orders to try. A death scores 1 for a reset within ``within``
-    seconds, a reset no death explains costs half. Each (death, offset) finds its nearest reset by an as-of
-    lookup, so work grows with rows times the fixed grid.
+    seconds, a reset no death explains costs half; the nearer fit wins a tie, then the one tried first.
+    Resets of an arc keep a minimum distance, so a death at one offset meets a bounded number of them and
+    the work grows with deaths times the fixed grid.
     """
     keys = ["match_id", "perm", "arc"]
     n = int(round((hi - lo) / step))
-    grid = F.explode(F.sequence(F.lit(0), F.lit(n)))
-    shifted = deaths.join(arcs, ["match_id", "slot"]).select(
-        *keys, "slot", F.col("seconds").alias("death"), grid.alias("o")).withColumn("offset", F.lit(lo) + F.col("o") * step).withColumn(
-        "seconds", F.col("death") + F.col("offset"))
-    res = found.join(arcs, ["match_id", "arc"]).select(*keys, F.col("seconds").alias("reset"), F.lit(1).alias("one"))
-    got = timejoin.nearest(shifted, res, keys, "seconds", "reset", ["one"], width=width, tolerance=within, out="n")
-    hits = got.groupBy("match_id", "perm", "o").agg(
-        F.count("n_one").alias("hits"), F.sum(F.abs(F.col("n_t") - F.col("seconds"))).alias("_res"))
-    # resets explained at an offset: the same lookup from the other side
-    back = res.select(*keys, F.col("reset"), grid.alias("o")).withColumn(
-        "seconds", F.col("reset") - (F.lit(lo) + F.col("o") * step))
-    died = deaths.join(arcs, ["match_id", "slot"]).select(*keys, F.col("seconds").alias("death"), F.lit(1).alias("one"))
-    stray = timejoin.nearest(back, died, keys, "seconds", "death", ["one"], width=width, tolerance=within, out="n").groupBy(
-        "match_id", "perm", "o").agg(F.count_if(F.col("n_one").isNull()).alias("spurious"))
-    scored = hits.join(stray, ["match_id", "perm", "o"]).filter("hits > 0").select(
-        "match_id", "perm", "o", "hits", "spurious", (F.col("hits") - 0.5 * F.col("spurious")).alias("score"),
-        (F.col("_res") / F.col("hits")).alias("residual"))
+    used = arcs.join(deaths.select("match_id", "slot").distinct(), ["match_id", "slot"], "left_semi")
+    shifted = deaths.distinct().join(used, ["match_id", "slot"]).select(
+        *keys, F.col("seconds").alias("death"), F.explode(F.sequence(F.lit(0), F.lit(n))).alias("o")).withColumn(
+        "want", F.col("death") + F.lit(lo) + F.col("o") * step)
+    res = found.join(used, ["match_id", "arc"]).select(*keys, F.col("seconds").alias("reset"))
+    met = timejoin.interval_join(res, shifted, keys, F.col("reset") - within, F.col("reset") + within, "want", width=2 * within)
+    gap = F.col("reset") - F.col("want")
+    hits = met.groupBy(*keys, "o", "death").agg(F.min_by(gap, F.struct(F.abs(gap).alias("g"), F.col("reset"))).alias("gap")).groupBy(
+        "match_id", "perm", "o").agg(
+        F.count("*").alias("hits"), F.avg(F.abs("gap")).alias("residual"),
+        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY gap DESC)").alias("shift"))
+    explained = met.select(*keys, "o", "reset").distinct().groupBy("match_id", "perm", "o").agg(F.count("*").alias("_explained"))
+    totals = res.groupBy("match_id", "perm").agg(F.count("*").alias("_resets"))
+    scored = hits.join(explained, ["match_id", "perm", "o"]).join(totals, ["match_id", "perm"]).withColumn(
+        "spurious", F.col("_resets") - F.col("_explained")).withColumn("score", F.col("hits") - 0.5 * F.col("spurious"))
     return scored.groupBy("match_id").agg(F.max_by(
-        F.struct("perm", (F.lit(lo) + F.col("o") * step).alias("offset"), "hits", "spurious", "score", "residual"),
-        F.struct("score", (-F.round("residual", 9)).alias("r"), (-F.col("perm")).alias("p"), (-F.col("o")).alias("o"))).alias("best")).select(
+        F.struct("perm", (F.lit(lo) + F.col("o") * step + F.col("shift")).alias("offset"), "hits", "spurious", "score", "residual"),
+        F.struct("score", (-F.round("residual", 6)).alias("r"), (-F.col("perm")).alias("p"), (-F.col("o")).alias("o"))).alias("best")).select(
         "match_id", "best.*")

@@ -6,25 +6,24 @@ from pyspark.sql import functions as F
 from boutline.operators.quantiles import medians
 
 
-def habit_metrics(inputs: DataFrame, matches: DataFrame, actions: DataFrame) -> DataFrame:
-    """Long metric rows (match_id, slot, key, value); nothing for a player without inputs or playing time."""
-    cats = [r for r in ("attack", "movement", "utility", "defence", "mobility")]
+def habit_metrics(inputs: DataFrame, matches: DataFrame, actions: DataFrame, categories: list[str]) -> DataFrame:
+    """Long metric rows (match_id, slot, key, value); nothing for a player without inputs or playing time.
+    ``categories`` names the groups of the action model that are reported, also at zero."""
+    cats = categories
     model = F.broadcast(actions.select("action", "category"))  # one row per action of a game
     counts = inputs.groupBy("match_id", "slot", "action").agg(F.count("*").alias("n")).join(model, "action", "left")
     timed = matches.select("match_id", (F.col("duration_frames") / F.col("fps") / 60.0).alias("minutes")).filter("minutes > 0")
-    known = actions.select(F.array_sort(F.collect_set("category")).alias("_cats"))
     wide = counts.groupBy("match_id", "slot").agg(
         F.sum("n").alias("presses"),
         F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("n_"), F.col("action")), F.col("n").cast("double")))).alias("_per"),
         *[F.sum(F.when(F.col("category") == c, F.col("n")).otherwise(0)).alias(f"_c_{c}") for c in cats],
-    ).join(timed, "match_id").crossJoin(F.broadcast(known))  # one row: the category names of the model
+    ).join(timed, "match_id")
     entries = [("presses", F.col("presses")), ("minutes", F.col("minutes")), ("apm", F.col("presses") / F.col("minutes"))]
     fixed = F.array(*[F.struct(F.lit(k).alias("key"), v.cast("double").alias("value")) for k, v in entries])
     by_cat = F.flatten(F.array(*[
-        F.when(F.array_contains("_cats", c), F.array(
-            F.struct(F.lit(c).alias("key"), F.col(f"_c_{c}").cast("double").alias("value")),
-            F.struct(F.lit(c + "_pm").alias("key"), (F.col(f"_c_{c}") / F.col("minutes")).alias("value")),
-        )).otherwise(F.array().cast("array<struct<key:string,value:double>>")) for c in cats]))
+        F.array(F.struct(F.lit(c).alias("key"), F.col(f"_c_{c}").cast("double").alias("value")),
+                F.struct(F.lit(c + "_pm").alias("key"), (F.col(f"_c_{c}") / F.col("minutes")).alias("value")))
+        for c in cats]))
     per = F.transform(F.map_entries("_per"), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
     return wide.select("match_id", "slot", F.explode(F.concat(fixed, by_cat, per)).alias("_m")).select(
         "match_id", "slot", "_m.key", "_m.value")

@@ -42,7 +42,7 @@ def _two_sided(df: DataFrame, keys: list[str], value: str) -> DataFrame:
             F.max(F.when(F.col("kind") == k, x)).alias(f"hi_{k}"))])
 
 
-def pressure_actions(kos, players, inputs, actions, *, window=300) -> DataFrame:
+def pressure_actions(kos, players, inputs, tracked: list[str], *, window=300) -> DataFrame:
     """Mean presses per tracked action in the window before deaths and kills of every named player."""
     ex = _exchanges(kos, players, inputs)
     n = ex.groupBy("display_name").agg(F.sum(F.when(F.col("kind") == "death", F.col("w")).otherwise(0)).alias("deaths"),
@@ -52,9 +52,8 @@ def pressure_actions(kos, players, inputs, actions, *, window=300) -> DataFrame:
     per = met.groupBy("match_id", "slot", "display_name", "frame", "kind", "w", "action").agg(F.sum("n").alias("x"))
     whole = per.groupBy("match_id", "slot", "display_name", "frame", "kind", "w").agg(F.sum("x").alias("x")).withColumn("action", F.lit("TOTAL"))
     sums = _two_sided(per.unionByName(whole), ["display_name", "action"], "x")
-    tracked = actions.select("action").unionByName(actions.sparkSession.sql("SELECT 'TOTAL' AS action"))
-    # every player times the handful of tracked actions
-    rows = n.filter("deaths > 0").crossJoin(F.broadcast(tracked)).join(sums, ["display_name", "action"], "left")
+    rows = n.filter("deaths > 0").withColumn("action", F.explode(F.array(*[F.lit(a) for a in (*tracked, "TOTAL")]))).join(
+        sums, ["display_name", "action"], "left")
 
     def stats(k, total):
         s, q = F.coalesce(f"s_{k}", F.lit(0)), F.coalesce(f"q_{k}", F.lit(0))

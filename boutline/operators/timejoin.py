@@ -12,7 +12,7 @@ def _latest(left, right, keys, lt, rt, payload, width, sign, out):
         right.groupBy(*keys, F.col(rt).alias("_t"))
         .agg(F.min(F.struct(*[F.col(c) for c in payload])).alias("_r"))
         .select(*keys, (F.col("_t") * sign).alias("_t"), F.lit(0).alias("_left"),
-                F.struct("_r", (F.col("_t")).alias("_rt")).alias("_r"))
+                F.struct("_r", F.col("_t").alias("_rt")).alias("_r"))
     )
     base = left.columns
     lrow = left.select(*keys, (F.col(lt) * sign).alias("_t"), F.lit(1).alias("_left"),
@@ -34,8 +34,6 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], lt: str, rt: str, p
     the smallest payload. Cost: one shuffle of both sides by (key, block); no pairs are built.
     """
     got = _latest(left, right, keys, lt, rt, payload, width, -1 if forward else 1, out)
-    if forward:  # times were negated on the way in, the stored right time was negated twice
-        got = got.withColumn(f"{out}_t", -F.col(f"{out}_t"))
     if tolerance is None:
         return got
     gap = F.abs(F.col(lt) - F.col(f"{out}_t"))

@@ -8,7 +8,7 @@ from boutline.operators import pressure as P
 from boutline.operators.moments import wasted_inputs
 from boutline.plans.log_queries import WASTED_SQL
 from boutline.plans.registry import query
-from boutline.plans.testviews import FRAME_BLOCK
+from boutline.plans.testviews import BUSY_FRAMES, CATEGORIES, FRAME_BLOCK
 
 METRICS_SQL = """cnt AS (SELECT match_id, slot, action, count(*) AS n FROM v_inputs GROUP BY ALL),
   tot AS (SELECT match_id, slot, sum(n)::DOUBLE AS presses, duration_frames / 60.0::DOUBLE / 60.0 AS minutes FROM cnt JOIN v_matches USING (match_id) GROUP BY match_id, slot, duration_frames),
@@ -21,7 +21,7 @@ METRICS_SQL = """cnt AS (SELECT match_id, slot, action, count(*) AS n FROM v_inp
 
 
 def metrics_of(t):
-    return MT.habit_metrics(t.inputs, t.matches, t.action_model)
+    return MT.habit_metrics(t.inputs, t.matches, t.action_model, sorted(set(CATEGORIES.values())))
 
 
 def me_of(t):
@@ -206,7 +206,7 @@ EX_SQL = """act AS (SELECT DISTINCT match_id, slot FROM v_inputs), who AS (SELEC
      CASE WHEN deaths = 0 OR kills = 0 THEN 0 ELSE round((md - mk) / CASE WHEN vd + vk = 0 THEN 1e-9 ELSE sqrt((vd + vk) / 2) END, 5) END AS effect
   FROM st JOIN nn USING (display_name) WHERE deaths > 0""")
 def _(t):
-    p = P.pressure_actions(t.kos, t.players, t.inputs, t.action_model)
+    p = P.pressure_actions(t.kos, t.players, t.inputs, sorted(BUSY_FRAMES))
     return p.select("display_name", "action", "deaths", "kills", *[F.round(c, 6).alias(c) for c in ("before_death", "before_kill", "pct_diff")],
                     F.round("effect", 5).alias("effect"))
 

@@ -59,6 +59,25 @@ class Tables:
         return self._ticks.filter("event_type = 'error' and value >= 60").select(
             "match_id", "slot", "frame", "seq", (1 - F.col("slot")).alias("by"))
 
+    @cached_property
+    def presses(self) -> DataFrame:
+        """Inputs under a fighting-game vocabulary."""
+        return self._ticks.filter("event_type <> 'error'").select("match_id", "slot", "frame", "seq", F.expr(
+            "case event_type when 'click' then 'Heavy' when 'purchase' then 'Light' "
+            "when 'view' then case when seq % 2 = 0 then 'AimUp' else 'AimDown' end "
+            "else case seq % 3 when 0 then 'Dodge' when 1 then 'Jump' else 'UpJump' end end").alias("action"))
+
+    @cached_property
+    def moves_dim(self) -> DataFrame:
+        """Frame facts per weapon and move, from the parts of a brand and type."""
+        return self.part.groupBy(F.col("p_brand").alias("weapon"), F.expr(
+            "case p_type when 'STANDARD' then 'sair' when 'ECONOMY' then 'dair' when 'MEDIUM' then 'gp' "
+            "when 'PROMO' then 'recovery' when 'LARGE' then 'nair' else 'slight' end").alias("move")).agg(
+            F.expr("min_by(p_size, p_partkey) % 13").cast("int").alias("startup"),
+            F.expr("sum(p_size) % 30").cast("int").alias("recover_miss"),
+            F.expr("case when count(*) % 2 = 0 then min(p_size) end").cast("int").alias("fixedrec_miss"),
+            F.expr("count(*) % 40").cast("int").alias("cooldown"))
+
     @cached_property
     def action_model(self) -> DataFrame:
         return values(self.spark, "action, busy, category", [(a, b, CATEGORIES[a]) for a, b in BUSY_FRAMES.items()])
@@ -114,6 +133,15 @@ VIEW_SQL = {
     "v_inputs": "SELECT match_id, slot, frame, seq, event_type AS action FROM v_ticks WHERE event_type <> 'error'",
     "v_kos": """SELECT match_id, slot, frame, seq, 1 - slot AS "by" FROM v_ticks
         WHERE event_type = 'error' AND value >= 60""",
+    "v_presses": """SELECT match_id, slot, frame, seq, CASE event_type WHEN 'click' THEN 'Heavy' WHEN 'purchase' THEN 'Light'
+        WHEN 'view' THEN CASE WHEN seq % 2 = 0 THEN 'AimUp' ELSE 'AimDown' END
+        ELSE CASE seq % 3 WHEN 0 THEN 'Dodge' WHEN 1 THEN 'Jump' ELSE 'UpJump' END END AS action
+        FROM v_ticks WHERE event_type <> 'error'""",
+    "v_moves_dim": """SELECT p_brand AS weapon, CASE p_type WHEN 'STANDARD' THEN 'sair' WHEN 'ECONOMY' THEN 'dair' WHEN 'MEDIUM' THEN 'gp'
+        WHEN 'PROMO' THEN 'recovery' WHEN 'LARGE' THEN 'nair' ELSE 'slight' END AS move,
+        CAST(arg_min(p_size, p_partkey) % 13 AS INTEGER) AS startup, CAST(sum(p_size) % 30 AS INTEGER) AS recover_miss,
+        CASE WHEN count(*) % 2 = 0 THEN CAST(min(p_size) AS INTEGER) END AS fixedrec_miss, CAST(count(*) % 40 AS INTEGER) AS cooldown
+        FROM part GROUP BY 1, 2""",
     "v_actions": "SELECT * FROM (VALUES " + ", ".join(
         f"('{a}', {b}, '{CATEGORIES[a]}')" for a, b in BUSY_FRAMES.items()) + ") a(action, busy, category)",
     "v_players": """SELECT user_id // 2 AS match_id, CAST(user_id % 2 AS INTEGER) AS slot,
