@@ -1,59 +1,74 @@
 """Temporal joins: as-of and nearest without emitting pairs, intervals on time bins."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boutline.operators.seq import BLOCK, along
 
 
-def _latest(left, right, keys, lt, rt, payload, width, sign, out):
-    """For each left row the right row with the largest sign*time not beyond its own."""
-    r = (
+def _right_rows(right, keys, rt, payload):
+    """One right row per instant (the smallest payload), as (keys, _t, _r{_rt, payload})."""
+    return (
         right.groupBy(*keys, F.col(rt).alias("_t"))
-        .agg(F.min(F.struct(*[F.col(c) for c in payload])).alias("_r"))
-        .select(*keys, (F.col("_t") * sign).alias("_t"), F.lit(0).alias("_left"),
-                F.struct("_r", F.col("_t").alias("_rt")).alias("_r"))
-    )
-    base = left.columns
-    lrow = left.select(*keys, (F.col(lt) * sign).alias("_t"), F.lit(1).alias("_left"),
-                       F.struct(*[F.col(c) for c in base]).alias("_l"))
-    both = lrow.unionByName(r, allowMissingColumns=True).withColumn(BLOCK, F.floor(F.col("_t") / F.lit(width)))
-    seen = along(both, keys, ["_t", "_left"], known={"_hit": F.col("_r")})
-    return seen.filter(F.col("_left") == 1).select(
-        *[F.col(f"_l.{c}").alias(c) for c in base],
-        F.col("_hit._rt").alias(f"{out}_t"),
-        *[F.col(f"_hit._r.{c}").alias(f"{out}_{c}") for c in payload],
+        .agg(F.min(F.struct(*[F.col(c) for c in payload])).alias("_p"))
+        .select(*keys, "_t", F.struct(F.col("_t").alias("rt"), F.col("_p").alias("p")).alias("_r"))
     )
 
 
+def _facing(left, right, keys, lt, rt, payload, width, back, ahead):
+    """Left and right rows in one frame per (key, block): a right row also stands in every block whose left
+    rows may look at it, ``back`` after it and ``ahead`` before it. Left rows stand in their own block only."""
+    r = _right_rows(right, keys, rt, payload).withColumn("_left", F.lit(0)).withColumn(BLOCK, F.explode(F.sequence(
+        F.floor((F.col("_t") - ahead) / F.lit(width)), F.floor((F.col("_t") + back) / F.lit(width)))))
+    lrow = left.select(*keys, F.col(lt).cast("double").alias("_t"), F.lit(1).alias("_left"),
+                       F.struct(*[F.col(c) for c in left.columns]).alias("_l"),
+                       F.floor(F.col(lt) / F.lit(width)).alias(BLOCK))
+    return lrow.unionByName(r, allowMissingColumns=True)
+
+
+def _unpack(df, left, payload, hit, out):
+    return df.filter(F.col("_left") == 1).select(
+        *[F.col(f"_l.{c}").alias(c) for c in left.columns], hit["rt"].alias(f"{out}_t"),
+        *[hit["p"][c].alias(f"{out}_{c}") for c in payload])
+
+
 def asof(left: DataFrame, right: DataFrame, keys: list[str], lt: str, rt: str, payload: list[str], *,
          width: float, tolerance: float | None = None, forward: bool = False, out: str = "asof") -> DataFrame:
     """Each left row with the latest right row at or before it (``forward``: earliest at or after).
 
     Left rows without a partner inside ``tolerance`` are kept with NULLs. Ties on the right's time go to
-    the smallest payload. Cost: one shuffle of both sides by (key, block); no pairs are built.
+    the smallest payload. One shuffle of both sides by (key, block); no pairs are built.
     """
-    got = _latest(left, right, keys, lt, rt, payload, width, -1 if forward else 1, out)
-    if tolerance is None:
-        return got
-    gap = F.abs(F.col(lt) - F.col(f"{out}_t"))
-    near = gap <= F.lit(tolerance)
-    cols = [f"{out}_t", *[f"{out}_{c}" for c in payload]]
-    return got.select(*[F.when(near, F.col(c)).alias(c) if c in cols else F.col(c) for c in got.columns])
+    part = [*keys, BLOCK]
+    if tolerance is not None:
+        both = _facing(left, right, keys, lt, rt, payload, width, 0 if forward else tolerance, tolerance if forward else 0)
+        if forward:
+            w = Window.partitionBy(*part).orderBy(F.desc("_t"), "_left")
+        else:
+            w = Window.partitionBy(*part).orderBy("_t", "_left")
+        seen = both.withColumn("_hit", F.last("_r", True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+        near = F.abs(F.col("_t") - F.col("_hit.rt")) <= F.lit(tolerance)
+        return _unpack(seen.withColumn("_hit", F.when(near, F.col("_hit"))), left, payload, F.col("_hit"), out)
+    sign = -1 if forward else 1
+    r = _right_rows(right, keys, rt, payload).withColumn("_left", F.lit(0))
+    lrow = left.select(*keys, F.col(lt).cast("double").alias("_t"), F.lit(1).alias("_left"), F.struct(*[F.col(c) for c in left.columns]).alias("_l"))
+    both = lrow.unionByName(r, allowMissingColumns=True).withColumn("_at", F.col("_t") * sign).withColumn(
+        BLOCK, F.floor(F.col("_at") / F.lit(width)))
+    return _unpack(along(both, keys, ["_at", "_left"], known={"_hit": F.col("_r")}), left, payload, F.col("_hit"), out)
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], lt: str, rt: str, payload: list[str], *,
             width: float, tolerance: float, out: str = "near") -> DataFrame:
     """Each left row with the right row at the smallest time distance within ``tolerance``; the earlier one on ties."""
-    back = asof(left, right, keys, lt, rt, payload, width=width, tolerance=tolerance, out="_b")
-    both = asof(back, right, keys, lt, rt, payload, width=width, tolerance=tolerance, forward=True, out="_f")
-    take_back = F.col("_b_t").isNotNull() & (
-        F.col("_f_t").isNull() | (F.col(lt) - F.col("_b_t") <= F.col("_f_t") - F.col(lt)))
-    return both.select(
-        *left.columns,
-        F.when(take_back, F.col("_b_t")).otherwise(F.col("_f_t")).alias(f"{out}_t"),
-        *[F.when(take_back, F.col(f"_b_{c}")).otherwise(F.col(f"_f_{c}")).alias(f"{out}_{c}") for c in payload],
-    )
+    both = _facing(left, right, keys, lt, rt, payload, width, tolerance, tolerance)
+    # running frames in both directions: each costs one pass over the block
+    up = Window.partitionBy(*keys, BLOCK).orderBy("_t", "_left").rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy(*keys, BLOCK).orderBy(F.desc("_t"), "_left").rowsBetween(Window.unboundedPreceding, -1)
+    seen = both.withColumn("_b", F.last("_r", True).over(up)).withColumn("_f", F.last("_r", True).over(down))
+    gap_b, gap_f = F.col("_t") - F.col("_b.rt"), F.col("_f.rt") - F.col("_t")
+    hit = (F.when((gap_b <= tolerance) & (gap_f.isNull() | (gap_b <= gap_f)), F.col("_b"))
+           .when(gap_f <= tolerance, F.col("_f")))
+    return _unpack(seen.withColumn("_hit", hit), left, payload, F.col("_hit"), out)
 
 
 def interval_join(left: DataFrame, right: DataFrame, keys: list[str], lo: Column, hi: Column, at: str, *,

@@ -2,12 +2,19 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from boutline.plans.testviews import VIEW_SQL, Tables
 
 QUERIES = {}
 ORACLES = {}
 
 
+def near(col):
+    """Six decimals, nudged off exact ties so that both engines round alike."""
+    return F.round(col + 1e-9, 6)
+
+
 def query(name: str, oracle: str | None = None):
     """Register ``fn(tables) -> DataFrame``. The oracle may name the v_* views; their CTEs are put in front."""
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from boutline.functions import payoffs as PF
 from boutline.operators import damage as D
 from boutline.operators import review as R
-from boutline.plans.registry import query
+from boutline.plans.registry import near, query
 from boutline.plans.testviews import FRAME_BLOCK, SECOND_BLOCK
 
 PAIR, WINDOW = 40, 300  # frames, scaled to the density of the views
@@ -209,7 +209,7 @@ REVIEW_SQL = f"""{CHOICE_SQL}, {TEND_SQL}, {READINGS_SQL}, {FACTS_SQL},
   ev AS (SELECT match_id, slot, ko_frame, option, at_frame, my_damage, their_damage, d, ord, sum(score * p) AS ev, min(row_confidence) AS confidence FROM cells JOIN tend USING (match_id, a) GROUP BY ALL)"""
 
 
-@query("expected_values", f"""WITH RECURSIVE {REVIEW_SQL} SELECT match_id, ko_frame, d, round(ev, 9) AS ev, confidence FROM ev""")
+@query("expected_values", f"""WITH RECURSIVE {REVIEW_SQL} SELECT match_id, ko_frame, d, round(ev + 1e-9, 6) AS ev, confidence FROM ev""")
 def _(t):
     deaths, opp = deaths_of(t)
     frames = R.frame_sets(t.presses)
@@ -221,16 +221,16 @@ def _(t):
     ctx = both.select("match_id", "ko_frame", "my_damage", "their_damage", F.lit("Brand#1").alias("weapon")).join(facts, "weapon").select(
         "match_id", "ko_frame", "my_damage", "their_damage", F.col("facts").alias("mine"), F.col("facts").alias("theirs"))
     return R.expected_values(R.payoff_cells(ctx), tend, ["match_id", "ko_frame"], ["match_id"]).select(
-        "match_id", "ko_frame", "d", F.round("ev", 9).alias("ev"), "confidence")
+        "match_id", "ko_frame", "d", near(F.col("ev")).alias("ev"), "confidence")
 
 
 @query("death_review", f"""WITH RECURSIVE {REVIEW_SQL},
   b AS (SELECT match_id, slot, ko_frame, option, at_frame, my_damage, their_damage, arg_max(d, (ev, -ord)) AS best, max(ev) AS best_ev, max(ev) FILTER (WHERE d = option) AS ev,
      max(confidence) FILTER (WHERE d = option) AS confidence FROM ev GROUP BY ALL)
-  SELECT match_id, slot, ko_frame, option, at_frame, round(my_damage, 9) AS my_damage, round(their_damage, 9) AS their_damage, best, round(best_ev, 9) AS best_ev, round(ev, 9) AS ev,
-    round(best_ev - ev, 9) AS gap, confidence FROM b""")
+  SELECT match_id, slot, ko_frame, option, at_frame, round(my_damage + 1e-9, 6) AS my_damage, round(their_damage + 1e-9, 6) AS their_damage, best, round(best_ev + 1e-9, 6) AS best_ev, round(ev + 1e-9, 6) AS ev,
+    round(best_ev - ev + 1e-9, 6) AS gap, confidence FROM b""")
 def _(t):
     facts = R.weapon_facts(t.moves_dim.filter("weapon = 'Brand#1'")).select("facts")
     r = R.review_deaths(t.kos, t.players, t.presses, readings(t), facts, window=WINDOW, pair_frames=PAIR, width=FRAME_BLOCK)
     return r.select("match_id", "slot", "ko_frame", "option", "at_frame", "best", "confidence",
-                    *[F.round(c, 9).alias(c) for c in ("my_damage", "their_damage", "best_ev", "ev", "gap")])
+                    *[near(F.col(c)).alias(c) for c in ("my_damage", "their_damage", "best_ev", "ev", "gap")])

@@ -37,7 +37,11 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return table(self.spark, self.folder, name)
+        if name.startswith("__"):
+            raise AttributeError(name)
+        df = table(self.spark, self.folder, name)
+        self.__dict__[name] = df  # read the file's schema once
+        return df
 
     @cached_property
     def _ticks(self) -> DataFrame:
