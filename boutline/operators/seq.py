@@ -172,11 +172,10 @@ def anchored_runs(df: DataFrame, keys: list[str], position: str, gap: float, wid
 
 def debounce(df: DataFrame, keys: list[str], order: list[str], value: str, hold: int, name: str = "stable") -> DataFrame:
     """A value counts once it has held ``hold`` rows; until then the last stable value stands, or the key's first."""
-    changed = along(df, keys, order, prev={"_pv": F.struct(F.col(value).alias("v"))})
+    changed = along(df, keys, order, prev={"_pv": F.struct(F.col(value).alias("v"))}, total={"_n": F.lit(1).cast("long")})
     changed = changed.withColumn("_new", F.col("_pv").isNull() | ~F.col("_pv.v").eqNullSafe(F.col(value)))
-    runs = along(changed, keys, order, total={"_n": F.lit(1).cast("long")})
-    # position of the open run's first row, among earlier rows or this one
-    runs = along(runs, keys, order, known={"_rs": F.when(F.col("_new"), F.col("_n"))})
+    # row number of the open run's first row
+    runs = along(changed, keys, order, known={"_rs": F.when(F.col("_new"), F.col("_n"))})
     runs = runs.withColumn("_len", F.col("_n") - F.when(F.col("_new"), F.col("_n")).otherwise(F.col("_rs")) + 1)
     held = F.when(F.col("_len") >= hold, F.struct(F.col(value).alias("v")))
     firsts = F.when(F.col("_n") == 0, F.struct(F.col(value).alias("v")))
