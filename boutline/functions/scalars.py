@@ -93,7 +93,8 @@ def level_of(xp: Column) -> tuple[Column, Column]:
     return (xp.cast("long") / 100).cast("long") + 1, F.pmod(xp, F.lit(100))
 
 
-VERDICT_TAGS = ("real", "lag", "misread", "habit", "matchup", "execution", "read", "drill")
+# fixed values: tags a take may carry
+VERDICT_TAGS = ("real", "lag", "defend", "spacing", "misread", "unsure")
 
 
 def verdict(given: Column, tags: Column, take: Column) -> Column:

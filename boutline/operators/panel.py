@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from boutline.operators.seq import BLOCK, along, blocked, cut_runs
-from boutline.operators.timejoin import asof, interval_join
+from boutline.operators.settle import settle
+from boutline.operators.timejoin import any_within, asof, interval_join
 
 FPS = 59.94         # footage rate
 SIDE = ["segment", "side"]
@@ -69,27 +70,26 @@ def stuck_windows(samples: DataFrame, *, stuck=-6, max_gap=5, width=64.0) -> Dat
     read = along(indexed.filter("recovery is not null"), SIDE, ["t"], prev={"_p": F.struct("_i", "recovery")})
     held = (F.col("_p.recovery") <= stuck) & (F.col("_i") - F.col("_p._i") <= max_gap + 1)
     starts = read.filter(F.col("recovery") <= stuck).withColumn("_new", F.when(F.coalesce(held, F.lit(False)), 0).otherwise(1).cast("long"))
-    runs = along(starts, SIDE, ["t"], total={"_r": F.col("_new")})
+    runs = along(settle(starts), SIDE, ["t"], total={"_r": F.col("_new")})
     return runs.groupBy(*SIDE, (F.col("_r") + F.col("_new")).alias("_run")).agg(
         F.min("t").alias("first_seen"), F.max("t").alias("end"), F.min("recovery").alias("worst")).drop("_run")
 
 
 def openings(windows: DataFrame, moves: DataFrame, *, min_frames=12, grace=0.3, width=64.0) -> DataFrame:
-    """Windows in which the other side was free and started no move: an as-of lookup of its latest move."""
+    """Windows in which the other side was free and started no move from ``grace`` before to ``grace`` after."""
     free = F.when(F.col("side") == "L", "R").otherwise("L")
     w = windows.withColumn("frames", -F.col("worst")).filter(F.col("frames") >= min_frames).select(
         "segment", free.alias("side"), F.col("side").alias("stuck"), "end", (F.col("end") - F.col("frames") / FPS).alias("start"),
         "first_seen", "frames", (F.col("end") + grace).alias("_to"))
-    last = asof(w, moves.select(*SIDE, F.col("t").alias("_mt"), F.lit(1).alias("one")), SIDE, "_to", "_mt", ["one"], width=width, out="m")
-    quiet = F.col("m_t").isNull() | (F.col("m_t") < F.col("start") - grace)
-    return last.filter(quiet).select("segment", F.col("side").alias("free"), "stuck", "start", "end", "first_seen", "frames")
+    acted = any_within(w.withColumn("_from", F.col("start") - grace), moves.select(*SIDE, F.col("t").alias("_mt")), SIDE, "_from", "_to", "_mt", width=width, name="acted")
+    return acted.filter(~F.col("acted")).select("segment", F.col("side").alias("free"), "stuck", "start", "end", "first_seen", "frames")
 
 
 def stall_events(openings: DataFrame, *, gap=1.5, width=64.0) -> DataFrame:
     """Openings of one side within ``gap`` seconds of the event so far are one event, anchored on the largest."""
     keys = ["segment", "free"]
     order = ["start", "end"]
-    seen = along(blocked(openings, "start", width), keys, order, peak={"_reach": F.col("end")})
+    seen = along(blocked(settle(openings), "start", width), keys, order, peak={"_reach": F.col("end")})
     new = seen.withColumn("_new", F.when(F.coalesce(F.col("start") - F.col("_reach") <= gap, F.lit(False)), 0).otherwise(1).cast("long"))
     runs = along(new, keys, order, total={"_r": F.col("_new")})
     big = F.struct("frames", (-F.col("start")).alias("s"), (-F.col("end")).alias("e"))
@@ -199,6 +199,7 @@ def finding_inputs(events: DataFrame, log: DataFrame, *, slack=0.2, width=16.0)
     Holds are reduced per event as an ordered list of at most the inputs of one short window.
     """
     keys = ["segment", "free"]
+    events = settle(events)
     ids = events.select(*keys, "start", "end")
     right = log.select("segment", F.col("side").alias("free"), F.col("t").alias("at"), "held", "capped")
     met = interval_join(ids, right, keys, F.col("start") - slack, F.col("end") + slack, "at", width=width)

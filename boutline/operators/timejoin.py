@@ -71,6 +71,25 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], lt: str, rt: str
     return _unpack(seen.withColumn("_hit", hit), left, payload, F.col("_hit"), out)
 
 
+def any_within(left: DataFrame, right: DataFrame, keys: list[str], lo: str, hi: str, at: str, *, width: float, name: str = "met") -> DataFrame:
+    """Left rows with a flag: does any right point lie in [lo, hi]?
+
+    An interval looks at each block it touches for the latest point up to its own end there, so one pass over
+    the block answers every interval and no pairs are built. Left rows must be distinct.
+    """
+    spans = left.select(*keys, F.struct(*left.columns).alias("_l"), F.lit(1).alias("_left"), F.col(lo).alias("_lo"), F.col(hi).alias("_hi"),
+                        F.explode(F.sequence(F.floor(F.col(lo) / F.lit(width)), F.floor(F.col(hi) / F.lit(width)))).alias(BLOCK))
+    looks = spans.withColumn("_t", F.least(F.col("_hi"), (F.col(BLOCK) + 1) * F.lit(float(width))))
+    points = right.select(*keys, F.col(at).cast("double").alias("_t"), F.lit(0).alias("_left"),
+                          F.floor(F.col(at) / F.lit(width)).alias(BLOCK)).distinct()
+    both = looks.unionByName(points, allowMissingColumns=True)
+    w = Window.partitionBy(*keys, BLOCK).orderBy("_t", "_left").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("_left") == 0, F.col("_t")), True).over(w)
+    seen = both.withColumn("_last", last).filter("_left = 1").groupBy("_l").agg(
+        F.bool_or(F.coalesce(F.col("_last") >= F.col("_lo"), F.lit(False))).alias(name))
+    return seen.select("_l.*", name)
+
+
 def interval_join(left: DataFrame, right: DataFrame, keys: list[str], lo: Column, hi: Column, at: str, *,
                   width: float, how: str = "inner") -> DataFrame:
     """Left rows with an interval [lo, hi], right rows with a point ``at`` inside it.

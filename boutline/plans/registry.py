@@ -31,16 +31,14 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-def _needed(sql: str) -> list[str]:
-    """View names in the text and in the views it uses, in definition order."""
-    found, todo = set(), [sql]
-    while todo:
-        text = todo.pop()
-        for v in VIEW_SQL:
-            if v not in found and re.search(rf"\b{v}\b", text):
-                found.add(v)
-                todo.append(VIEW_SQL[v])
-    return [v for v in VIEW_SQL if v in found]
+def _needed(sql: str, found: list[str] | None = None) -> list[str]:
+    """Views the text uses, those a view builds on first."""
+    found = [] if found is None else found
+    for v in VIEW_SQL:
+        if v not in found and re.search(rf"\b{v}\b", sql):
+            _needed(VIEW_SQL[v], found)
+            found.append(v)
+    return found
 
 
 def with_views(sql: str) -> str:

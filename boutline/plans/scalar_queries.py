@@ -146,9 +146,9 @@ def _(t):
 
 
 @query("grade_verdict", """WITH g AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'wrong' END AS given, list_filter([CASE WHEN quality = 1 THEN 'real' END, CASE WHEN doc_id % 3 = 0 THEN 'lag' END,
-      CASE WHEN doc_id % 5 = 0 THEN 'bogus' END, CASE WHEN doc_id % 7 = 0 THEN 'habit' END], lambda x: x IS NOT NULL) AS tags,
+      CASE WHEN doc_id % 5 = 0 THEN 'bogus' END, CASE WHEN doc_id % 7 = 0 THEN 'spacing' END], lambda x: x IS NOT NULL) AS tags,
       CASE WHEN doc_id % 11 = 0 THEN 'take ' || doc_id ELSE ' ' END AS take FROM labels),
-   k AS (SELECT *, list_filter(tags, lambda x: x IN ('real','lag','misread','habit','matchup','execution','read','drill')) AS kept FROM g)
+   k AS (SELECT *, list_filter(tags, lambda x: x IN ('real','lag','defend','spacing','misread','unsure')) AS kept FROM g)
    SELECT doc_id, array_to_string(kept, ',') AS tags, coalesce(given, CASE WHEN list_contains(kept, 'real') THEN 'right'
      WHEN list_contains(kept, 'lag') OR list_contains(kept, 'misread') THEN 'wrong' WHEN len(kept) > 0 OR length(trim(take)) > 0 THEN 'actually' END) AS verdict FROM k""")
 def _(t):
@@ -162,7 +162,7 @@ def grades_of(t):
     return t.labels.select(
         "doc_id", F.when(F.col("toxic") == 1, "wrong").alias("given"),
         F.array_compact(F.array(F.when(F.col("quality") == 1, "real"), F.when(F.col("doc_id") % 3 == 0, "lag"),
-                                F.when(F.col("doc_id") % 5 == 0, "bogus"), F.when(F.col("doc_id") % 7 == 0, "habit"))).alias("tags"),
+                                F.when(F.col("doc_id") % 5 == 0, "bogus"), F.when(F.col("doc_id") % 7 == 0, "spacing"))).alias("tags"),
         F.when(F.col("doc_id") % 11 == 0, F.concat(F.lit("take "), F.col("doc_id"))).otherwise(" ").alias("take"))
 
 

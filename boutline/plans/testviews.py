@@ -63,6 +63,17 @@ class Tables:
         return self._ticks.filter("event_type = 'error' and value >= 60").select(
             "match_id", "slot", "frame", "seq", (1 - F.col("slot")).alias("by"))
 
+    @cached_property
+    def segments(self) -> DataFrame:
+        """Usable capture segments with the fighter read on each side, unread plates NULL."""
+        live = self.samples.groupBy("video", "segment").agg((F.count_if(~F.col("frozen")) / 10.0).alias("active_seconds"))
+        me = F.expr("case when segment % 5 < 4 then concat('Fighter-', video % 5) else 'Fighter-9' end")
+        named = live.filter("active_seconds >= 10").join(self.customer, F.col("segment") * 2 + 1 == F.col("c_custkey")).withColumn("_me", me).withColumn(
+            "_opp", F.when(F.col("c_acctbal") >= 0, F.concat(F.lit("Fighter-"), (F.col("c_nationkey") % 6).cast("string"))))
+        left = F.expr("segment % 3 < 2")
+        return named.select("video", "segment", "active_seconds", F.when(left, F.col("_me")).otherwise(F.col("_opp")).alias("left_name"),
+                            F.when(left, F.col("_opp")).otherwise(F.col("_me")).alias("right_name"))
+
     @cached_property
     def presses(self) -> DataFrame:
         """Inputs under a fighting-game vocabulary."""
@@ -137,6 +148,10 @@ VIEW_SQL = {
     "v_inputs": "SELECT match_id, slot, frame, seq, event_type AS action FROM v_ticks WHERE event_type <> 'error'",
     "v_kos": """SELECT match_id, slot, frame, seq, 1 - slot AS "by" FROM v_ticks
         WHERE event_type = 'error' AND value >= 60""",
+    "v_segments": """SELECT video, segment, active_seconds, CASE WHEN segment % 3 < 2 THEN me ELSE opp END AS left_name, CASE WHEN segment % 3 < 2 THEN opp ELSE me END AS right_name
+        FROM (SELECT l.*, CASE WHEN segment % 5 < 4 THEN 'Fighter-' || (video % 5) ELSE 'Fighter-9' END AS me, CASE WHEN c_acctbal >= 0 THEN 'Fighter-' || (c_nationkey % 6) END AS opp
+          FROM (SELECT video, segment, count(*) FILTER (WHERE NOT frozen) / 10.0::DOUBLE AS active_seconds FROM v_samples GROUP BY 1, 2) l JOIN customer ON segment * 2 + 1 = c_custkey
+          WHERE active_seconds >= 10)""",
     "v_presses": """SELECT match_id, slot, frame, seq, CASE event_type WHEN 'click' THEN 'Heavy' WHEN 'purchase' THEN 'Light'
         WHEN 'view' THEN CASE WHEN seq % 2 = 0 THEN 'AimUp' ELSE 'AimDown' END
         ELSE CASE seq % 3 WHEN 0 THEN 'Dodge' WHEN 1 THEN 'Jump' ELSE 'UpJump' END END AS action

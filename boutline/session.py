@@ -1,7 +1,5 @@
 """Session helper. Cluster settings always win: only unset options are filled in."""
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -20,14 +18,3 @@ def local_session(cores: int = 8, app: str = "boutline") -> SparkSession:
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; a temporary one only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        current = spark.sparkContext.getCheckpointDir()
-        folder = current or tempfile.mkdtemp(prefix="boutline-ckpt-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
