@@ -40,51 +40,68 @@ def _token(buttons: str) -> str:
     return rf"(?i)^{PREFIXES}([1-9]{{1,6}})?({buttons})((?:\+(?:{buttons}))*)(\[\]|\(hold\))?$"
 
 
-def _steps(word: Column, letters: Column) -> Column:
+def bind(value: Column, use) -> Column:
+    """``use`` of a value computed once: expressions inside array functions are not shared otherwise."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _steps(word: Column, letters: bool) -> Column:
     """Steps of one candidate, NULL when it is no notation."""
-    rx = F.when(letters, F.lit(_token(LETTER_BUTTONS))).otherwise(F.lit(_token(BUTTONS)))
-
-    def group(i):
-        return F.regexp_extract(word, rx, i) if isinstance(rx, str) else F.when(
-            letters, F.regexp_extract(word, _token(LETTER_BUTTONS), i)).otherwise(F.regexp_extract(word, _token(BUTTONS), i))
-
-    pre = F.lower(group(1))
-    for old, new in PREFIX_FORMS:
-        pre = F.replace(pre, F.lit(old), F.lit(new))
-    motion, raw = group(2), F.upper(group(3))
-    plus = F.upper(group(4))
-    mapped = letters & raw.rlike("^[ABCD]+$")
-    button = F.when(mapped, F.translate(raw, "ABCD", "LMHU")).otherwise(raw)
-    parts = F.filter(F.split(plus, r"\+"), lambda p: p != "")
-    plus = F.when(mapped, F.array_join(F.transform(parts, lambda p: F.concat(F.lit("+"), F.when(F.length(p) == 1, F.translate(p, "ABCD", "LMHU")).otherwise(p))), "")).otherwise(plus)
-    pre = F.when(pre.endswith("5") & (motion != ""), F.left(pre, F.length(pre) - 1)).otherwise(pre)
-    pre = F.when((pre == "2") & (motion != ""), "").otherwise(pre)
-    motion = F.when((motion == "") & pre.isin("", "j.", "dl.", "dc.", "j.dl."), "5").otherwise(motion)
-    presses = F.when((F.length(button) < 2) | button.isin("QS", "QA"), F.array(button)).otherwise(F.filter(F.split(button, ""), lambda c: c != ""))
-
-    def step(b, k):
-        last = k == F.size(presses) - 1
-        head = F.when(k == 0, motion).otherwise("5")
-        plain = F.concat(pre, head, b, F.when(last, plus).otherwise(""))
-        again = F.when((k > 0) & pre.startswith("j."), F.concat(F.lit("j.5"), b)).otherwise(plain)
-        return F.regexp_replace(again, r"^j\.5(?=[0-9])", "j.")
-
-    form = F.lower(word)
+    rx = _token(LETTER_BUTTONS if letters else BUTTONS)
+
+    def parts(_):
+        pre = F.lower(F.regexp_extract(word, rx, 1))
+        for old, new in PREFIX_FORMS:
+            pre = F.replace(pre, F.lit(old), F.lit(new))
+        return F.struct(pre.alias("pre"), F.regexp_extract(word, rx, 2).alias("motion"), F.upper(F.regexp_extract(word, rx, 3)).alias("b"),
+                        F.upper(F.regexp_extract(word, rx, 4)).alias("plus"))
+
+    def mapped(g):
+        if not letters:
+            return g
+        plain = g["b"].rlike("^[ABCD]+$")
+        extra = F.transform(F.filter(F.split(g["plus"], r"\+"), lambda p: p != ""),
+                            lambda p: F.concat(F.lit("+"), F.when(F.length(p) == 1, F.translate(p, "ABCD", "LMHU")).otherwise(p)))
+        return F.struct(g["pre"].alias("pre"), g["motion"].alias("motion"), F.when(plain, F.translate(g["b"], "ABCD", "LMHU")).otherwise(g["b"]).alias("b"),
+                        F.when(plain, F.array_join(extra, "")).otherwise(g["plus"]).alias("plus"))
+
+    def placed(g):
+        moving = g["motion"] != ""
+        pre = (F.when(moving & (g["pre"] == "2"), "").when(moving & g["pre"].endswith("5"), F.left(g["pre"], F.length(g["pre"]) - 1)).otherwise(g["pre"]))
+        motion = F.when(~moving & g["pre"].isin("", "j.", "dl.", "dc.", "j.dl."), "5").otherwise(g["motion"])
+        presses = F.when((F.length(g["b"]) < 2) | g["b"].isin("QS", "QA"), F.array(g["b"])).otherwise(F.filter(F.split(g["b"], ""), lambda c: c != ""))
+        return F.struct(pre.alias("pre"), motion.alias("motion"), g["plus"].alias("plus"), presses.alias("presses"))
+
+    def steps(g):
+        def step(b, k):
+            last = k == F.size(g["presses"]) - 1
+            plain = F.concat(g["pre"], F.when(k == 0, g["motion"]).otherwise("5"), b, F.when(last, g["plus"]).otherwise(""))
+            again = F.when((k > 0) & g["pre"].startswith("j."), F.concat(F.lit("j.5"), b)).otherwise(plain)
+            return F.regexp_replace(again, r"^j\.5(?=[0-9])", "j.")
+        return F.transform(g["presses"], step)
+
     named = F.create_map(*[F.lit(x) for kv in WORD_FORMS.items() for x in kv])
-    hit = F.when(letters, word.rlike(_token(LETTER_BUTTONS))).otherwise(word.rlike(_token(BUTTONS)))
-    return F.when(hit, F.transform(presses, step)).when(word.rlike(f"(?i)^({WORDS})$"), F.array(F.coalesce(F.try_element_at(named, form), form)))
+    read = bind(bind(bind(parts(None), mapped), placed), steps)
+    return F.when(word.rlike(rx), read).when(
+        word.rlike(f"(?i)^({WORDS})$"), F.array(F.coalesce(F.try_element_at(named, F.lower(word)), F.lower(word))))
 
 
 def parse_combo(text: Column) -> Column:
     """struct<steps, candidates, recognised, letters, confidence> read out of free text."""
-    t = F.replace(F.coalesce(text, F.lit("")), F.lit("→"), F.lit(">"))
-    letters = letter_mode(t)
-    cand = F.filter(F.split(t, r"[\s>,~|;→]+"), lambda c: c.rlike("[A-Za-z0-9]"))
-    per = F.transform(cand, lambda c: _steps(F.btrim(c, F.lit(STRIP)), letters))
-    known = F.filter(per, lambda s: s.isNotNull())
-    n = F.size(cand)
-    return F.struct(F.flatten(known).alias("steps"), n.alias("candidates"), F.size(known).alias("recognised"), letters.alias("letters"),
-                    F.when(n > 0, F.bround(F.size(known) / n, 2)).otherwise(F.lit(0.0)).alias("confidence"))
+    plain = F.replace(F.coalesce(text, F.lit("")), F.lit("→"), F.lit(">"))
+
+    def read(s):
+        words = F.transform(s["cand"], lambda c: F.btrim(c, F.lit(STRIP)))
+        per = F.when(s["letters"], F.transform(words, lambda w: _steps(w, True))).otherwise(F.transform(words, lambda w: _steps(w, False)))
+        return F.struct(F.filter(per, lambda x: x.isNotNull()).alias("known"), F.size(s["cand"]).alias("n"), s["letters"].alias("letters"))
+
+    def summed(s):
+        k, n = F.size(s["known"]), s["n"]
+        return F.struct(F.flatten(s["known"]).alias("steps"), n.alias("candidates"), k.alias("recognised"), s["letters"].alias("letters"),
+                        F.when(n > 0, F.bround(k / F.nullif(n, F.lit(0)), 2)).otherwise(F.lit(0.0)).alias("confidence"))
+
+    split = bind(plain, lambda t: F.struct(F.filter(F.split(t, r"[\s>,~|;→]+"), lambda c: c.rlike("[A-Za-z0-9]")).alias("cand"), letter_mode(t).alias("letters")))
+    return bind(bind(split, read), summed)
 
 
 def repair(line: Column) -> Column:

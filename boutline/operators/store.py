@@ -12,3 +12,9 @@ def provenance(matches: DataFrame, players: DataFrame, kos: DataFrame) -> DataFr
         "match_id", F.when(F.col("_known"), "high").otherwise("partial").alias("players"),
         F.when(F.col("_ko"), "high").otherwise("missing").alias("kos"),
         F.when(F.col("_ko").isNull(), "no KO data in this match").alias("warning"))
+
+
+def latest_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row per key, the latest by ``order``: an aggregate, so a hot key is reduced before the shuffle."""
+    whole = F.struct(*[F.col(c) for c in rows.columns])
+    return rows.groupBy(*keys).agg(F.max_by(whole, F.struct(*order)).alias("_r")).select("_r.*")

@@ -23,7 +23,7 @@ def transcript_segments(files: DataFrame, key: str, text: str) -> DataFrame:
     kept = F.filter(F.split("_b", r"\r?\n"), lambda ln: ~ln.contains("-->") & ~F.btrim(ln).rlike(r"^\d+$") & ~ln.startswith("WEBVTT"))
     subs = blocks.filter(stamp != "").select(key, "pos", F.coalesce(clock_seconds(stamp), F.lit(0.0)).alias("t"),
                                              F.regexp_replace(F.btrim(F.array_join(kept, " ")), "<[^>]+>", "").alias("text")).filter("text <> ''")
-    rx = r"^\s*(\d{1,2}:\d{2}(?::\d{2})?)\s*(.*)$"
+    rx = r"(?s)^\s*(\d{1,2}:\d{2}(?::\d{2})?)\s*(.*)$"
     panel = files.filter(~F.col(text).contains("-->")).select(key, F.split(text, r"\r?\n").alias("_l"))
     lines = panel.select(key, "_l", F.posexplode("_l").alias("pos", "_b")).filter(F.col("_b").rlike(rx))
     inline = F.btrim(F.regexp_extract("_b", rx, 2))
@@ -62,17 +62,43 @@ def unescape(text: Column) -> Column:
 def page_blocks(pages: DataFrame, key: str, html: str) -> DataFrame:
     """(key, pos, kind, text) of headings, paragraphs, list items and cells outside skipped parts of a page.
 
-    A block ends at its own closing tag; an open block that another kept tag interrupts without closing is
-    dropped with it, as a stack parser would that only pops a matching top.
+    The page is cut into tags and text, which are folded over a stack of open blocks: text goes to the
+    innermost one, a closing tag only closes the innermost one.
     """
     body = F.regexp_replace(F.col(html), r"(?s)<!--.*?-->", "")
-    for tag in SKIP_TAGS:
-        body = F.regexp_replace(body, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
-    rx = rf"(?is)<({KEEP_TAGS})\b[^>]*>((?:(?!<(?:{KEEP_TAGS})\b).)*?)</\1\s*>"
-    found = pages.select(key, F.posexplode(F.regexp_extract_all(body, F.lit(rx), F.lit(0))).alias("pos", "_b"))
-    inner = F.regexp_replace(F.regexp_replace(F.regexp_extract("_b", rx, 2), r"(?i)<br\s*/?>", " "), "<[^>]+>", "")
-    return found.select(key, "pos", F.lower(F.regexp_extract("_b", rx, 1)).alias("kind"),
-                        F.btrim(F.regexp_replace(unescape(inner), r"[\s ]+", " ")).alias("text")).filter("text <> ''")
+    for tag in ("script", "style"):  # their content is no markup
+        body = F.regexp_replace(body, rf"(?is)(<{tag}\b[^>]*>).*?(</{tag}\s*>)", "$1$2")
+    tokens = F.regexp_extract_all(body, F.lit(r"(</?[A-Za-z][^>]*>|[^<]+|<)"), F.lit(1))
+    tag_rx = r"^<(/?)([A-Za-z][A-Za-z0-9]*)"
+    block = "struct<kind:string,text:string>"
+
+    def turn(s, tok):
+        name, closing = F.lower(F.regexp_extract(tok, tag_rx, 2)), F.regexp_extract(tok, tag_rx, 1) == "/"
+        stack, depth = s["stack"], F.size(s["stack"])
+        top = F.try_element_at(stack, F.lit(-1))
+        below = F.slice(stack, 1, F.greatest(depth - 1, F.lit(0)))
+
+        def state(skip=None, stack_=None, out=None):
+            return F.struct((s["skip"] if skip is None else skip).alias("skip"), (stack if stack_ is None else stack_).alias("stack"),
+                            (s["out"] if out is None else out).alias("out"))
+
+        def written(text):
+            return F.concat(below, F.array(F.struct(top["kind"].alias("kind"), F.concat(top["text"], text).alias("text"))))
+
+        keep, skipped = name.isin(*KEEP_TAGS.split("|")), name.isin(*SKIP_TAGS)
+        done = F.btrim(F.regexp_replace(top["text"], r"[\s\u00a0]+", " "))
+        return (F.when(skipped, state(skip=F.greatest(F.lit(0), s["skip"] + F.when(closing, -1).otherwise(1))))
+                .when(keep & ~closing, state(stack_=F.concat(stack, F.array(F.struct(name.alias("kind"), F.lit("").alias("text"))))))
+                .when(keep & (top["kind"] == name), state(stack_=below, out=F.when(done != "", F.concat(
+                    s["out"], F.array(F.struct(name.alias("kind"), done.alias("text"))))).otherwise(s["out"])))
+                .when((name == "br") & ~closing & (depth > 0), state(stack_=written(F.lit(" "))))
+                .when((name == "") & (s["skip"] == 0) & (depth > 0), state(stack_=written(unescape(tok))))
+                .otherwise(s))
+
+    none = F.array().cast(f"array<{block}>")
+    start = F.struct(F.lit(0).alias("skip"), none.alias("stack"), none.alias("out"))
+    return pages.select(key, F.posexplode(F.aggregate(tokens, start, turn)["out"]).alias("pos", "_b")).select(
+        key, "pos", F.col("_b.kind").alias("kind"), F.col("_b.text").alias("text"))
 
 
 def tier_list(blocks: DataFrame, names: DataFrame, key: str) -> DataFrame:
@@ -169,9 +195,11 @@ def thread_prune(thread: DataFrame, keep: int = 6) -> DataFrame:
     """Threads cut back to end with the player, last ``keep`` turns."""
     end = thread.filter("role = 'user'").groupBy("conv_id").agg(F.max("turn").alias("_end"))
     cut = thread.join(end, "conv_id").filter("turn <= _end").drop("_end")
-    # turns are numbered, so the last ones are found by number: a candidate set per thread, then its exact end
-    w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
-    return cut.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= keep).drop("_r")
+    # the last of each stretch of a thread first, so that a long thread is not ranked in one task
+    local = Window.partitionBy("conv_id", F.expr("turn div 1000")).orderBy(F.desc("turn"))
+    last = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
+    near_end = cut.withColumn("_r", F.row_number().over(local)).filter(F.col("_r") <= keep)
+    return near_end.withColumn("_r", F.row_number().over(last)).filter(F.col("_r") <= keep).drop("_r")
 
 
 def trial_missions(scripts: DataFrame, key: str, text: str) -> DataFrame:
@@ -226,7 +254,7 @@ def source_combos(screen: DataFrame, speech: DataFrame) -> DataFrame:
 
 def clean_record(df: DataFrame) -> DataFrame:
     """Technique records within their limits: 60 steps, 8 concepts, 200 or 2000 characters, empty credits dropped."""
-    steps = F.slice(F.filter(F.transform("steps", F.btrim), lambda s: s != ""), 1, 60)
+    steps = F.slice(F.filter(F.transform("steps", lambda s: F.btrim(s)), lambda s: s != ""), 1, 60)
     credit = (F.coalesce("credit_who", F.lit("")) != "") | (F.coalesce("credit_url", F.lit("")) != "")
     return df.select(
         "id", steps.alias("steps"), F.slice("concepts", 1, 8).alias("concepts"), F.left(F.coalesce("title", F.lit("")), F.lit(200)).alias("title"),
