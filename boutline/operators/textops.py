@@ -8,11 +8,21 @@ from boutline.functions.scalars import clock_seconds
 from boutline.operators.seq import along, blocked
 
 
+def parse_combos(df: DataFrame, text: str, only_lines: bool = False) -> DataFrame:
+    """Rows with the combo read out of ``text`` as steps, candidates, recognised, letters, confidence.
+
+    The reading is generated, not projected, so that no later filter or column makes the engine read again.
+    """
+    read = F.array(N.parse_combo(F.col(text)))
+    if only_lines:
+        read = F.filter(read, lambda p: (F.size(p["steps"]) >= 3) & (p["confidence"] >= 0.5))
+    return df.select("*", F.inline(read))
+
+
 def combo_lines(posts: DataFrame, key: str, text: str) -> DataFrame:
     """Lines of a text that read as a combo: at least three steps, at least half of it recognised."""
     lines = posts.select(key, F.posexplode(F.split(text, r"[\r\n]+")).alias("pos", "line"))
-    parsed = lines.withColumn("_p", N.parse_combo(F.col("line"))).filter((F.size("_p.steps") >= 3) & (F.col("_p.confidence") >= 0.5))
-    return parsed.select(key, "pos", F.btrim("line").alias("line"), F.col("_p.steps").alias("steps"), F.col("_p.confidence").alias("confidence"))
+    return parse_combos(lines, "line", only_lines=True).select(key, "pos", F.btrim("line").alias("line"), "steps", "confidence")
 
 
 def transcript_segments(files: DataFrame, key: str, text: str) -> DataFrame:

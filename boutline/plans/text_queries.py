@@ -47,8 +47,8 @@ def parse_sql(src: str) -> str:
 
 @query("parse_combo", f"WITH {COMBO_SQL}, {parse_sql('texts')} SELECT id, steps, CAST(candidates AS INTEGER) AS candidates, CAST(recognised AS INTEGER) AS recognised, letters FROM parsed")
 def _(t):
-    p = combo_texts(t).select(F.col("l_orderkey").alias("id"), N.parse_combo(F.col("text")).alias("p"))
-    return p.select("id", F.array_join("p.steps", " ").alias("steps"), "p.candidates", "p.recognised", "p.letters")
+    p = X.parse_combos(combo_texts(t).withColumnRenamed("l_orderkey", "id"), "text")
+    return p.select("id", F.array_join("steps", " ").alias("steps"), "candidates", "recognised", "letters")
 
 
 @query("combo_lines", f"""WITH {COMBO_SQL}, {parse_sql('texts')} SELECT id, 0 AS pos, steps, text AS line FROM parsed JOIN texts USING (id)
@@ -63,9 +63,8 @@ SOURCES_SQL = f"""{COMBO_SQL}, {parse_sql('texts')}, so AS (SELECT o_custkey AS
 
 
 def sources_of(t):
-    p = combo_texts(t).join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        F.col("o_custkey").alias("source"), F.col("o_orderkey").alias("t"), N.parse_combo(F.col("text")).alias("p")).select(
-        "source", "t", F.lit(0).alias("pos"), "p.steps", "p.confidence")
+    p = X.parse_combos(combo_texts(t).join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")), "text").select(
+        F.col("o_custkey").alias("source"), F.col("o_orderkey").alias("t"), F.lit(0).alias("pos"), "steps", "confidence")
     return X.source_combos(p.filter("t % 2 = 0"), p.filter("t % 2 = 1"))
 
 
