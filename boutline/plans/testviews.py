@@ -93,6 +93,18 @@ class Tables:
             F.expr("case when count(*) % 2 = 0 then min(p_size) end").cast("int").alias("fixedrec_miss"),
             F.expr("count(*) % 40").cast("int").alias("cooldown"))
 
+    @cached_property
+    def roster(self) -> DataFrame:
+        """Roster moves with block data: a brand is a fighter, a part name an input."""
+        named = self.part.withColumn("input", F.expr(
+            "case when p_name like 'hot%' then 'j.' || p_name when p_name like 'new%' then '632146' || p_name else p_name end"))
+        return named.groupBy(F.col("p_brand").alias("char"), "input").agg(
+            F.min("p_size").alias("startup"), F.expr("case when count(*) % 5 > 0 then int(10 - sum(p_size) % 30) end").alias("on_block"),
+            F.expr("int(max(p_retailprice))").alias("damage"),
+            F.expr("case min(p_type) when 'STANDARD' then 'normal' when 'ECONOMY' then 's' when 'MEDIUM' then 'super' when 'PROMO' then 'assist' when 'LARGE' then 'tokon' else 'normal' end").alias("type"),
+            F.expr("case when sum(p_partkey) % 7 > 0 then int(sum(p_partkey) % 200) end").alias("reach"),
+            F.expr("case when sum(p_size) % 3 = 0 then 'O' when sum(p_size) % 3 = 1 then 'M' end").alias("guard"))
+
     @cached_property
     def action_model(self) -> DataFrame:
         return values(self.spark, "action, busy, category", [(a, b, CATEGORIES[a]) for a, b in BUSY_FRAMES.items()])
@@ -161,6 +173,12 @@ VIEW_SQL = {
         CAST(arg_min(p_size, p_partkey) % 13 AS INTEGER) AS startup, CAST(sum(p_size) % 30 AS INTEGER) AS recover_miss,
         CASE WHEN count(*) % 2 = 0 THEN CAST(min(p_size) AS INTEGER) END AS fixedrec_miss, CAST(count(*) % 40 AS INTEGER) AS cooldown
         FROM part GROUP BY 1, 2""",
+    "v_roster": """SELECT p_brand AS char, input, CAST(min(p_size) AS INTEGER) AS startup, CASE WHEN count(*) % 5 > 0 THEN CAST(10 - sum(p_size) % 30 AS INTEGER) END AS on_block,
+        CAST(trunc(max(p_retailprice)) AS INTEGER) AS damage,
+        CASE min(p_type) WHEN 'STANDARD' THEN 'normal' WHEN 'ECONOMY' THEN 's' WHEN 'MEDIUM' THEN 'super' WHEN 'PROMO' THEN 'assist' WHEN 'LARGE' THEN 'tokon' ELSE 'normal' END AS type,
+        CASE WHEN sum(p_partkey) % 7 > 0 THEN CAST(sum(p_partkey) % 200 AS INTEGER) END AS reach,
+        CASE WHEN sum(p_size) % 3 = 0 THEN 'O' WHEN sum(p_size) % 3 = 1 THEN 'M' END AS guard
+        FROM (SELECT *, CASE WHEN p_name LIKE 'hot%' THEN 'j.' || p_name WHEN p_name LIKE 'new%' THEN '632146' || p_name ELSE p_name END AS input FROM part) GROUP BY 1, 2""",
     "v_actions": "SELECT * FROM (VALUES " + ", ".join(
         f"('{a}', {b}, '{CATEGORIES[a]}')" for a, b in BUSY_FRAMES.items()) + ") a(action, busy, category)",
     "v_players": """SELECT user_id // 2 AS match_id, CAST(user_id % 2 AS INTEGER) AS slot,
