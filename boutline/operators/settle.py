@@ -5,19 +5,22 @@ import tempfile
 from pyspark.sql import DataFrame
 
 
+def shared_folder(spark) -> str | None:
+    """The folder every executor can reach: the one the session names in ``spark.checkpoint.dir``, on a local
+    session without one a temporary folder, otherwise none."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and spark.sparkContext.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="boutline-")
+    return folder
+
+
 def settle(df: DataFrame) -> DataFrame:
     """The same rows from a reliable checkpoint, so later branches read them instead of deriving them again.
-
-    The folder is the one the session names in ``spark.checkpoint.dir``. Where none is named a local session
-    gets a temporary one; on a cluster the plan is left as it is rather than written to one machine's disk.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    Without a shared folder the plan is left as it is."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
+        folder = shared_folder(df.sparkSession)
         if folder is None:
-            if not context.master.startswith("local"):
-                return df
-            folder = tempfile.mkdtemp(prefix="boutline-")
+            return df
         context.setCheckpointDir(folder)
     return df.checkpoint()

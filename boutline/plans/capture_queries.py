@@ -166,11 +166,11 @@ def _(t):
                     *[near(F.col(c)).alias(c) for c in ("openings_per_min", "free_share", "combos_per_min", "punishes_per_min", "delta_openings_per_min", "delta_median_damage")])
 
 
-GRADES_SQL = """grades AS (SELECT id, CASE WHEN frames % 3 = 0 THEN 'lag' ELSE 'real' END AS tag, 'take ' || frames AS take FROM openf WHERE frames % 2 = 0)"""
+GRADES_SQL = """grades AS (SELECT id, CASE WHEN frames % 3 = 0 THEN 'lag' ELSE 'real' END AS tag, 'take ' || frames AS take FROM openf WHERE frames >= 20)"""
 
 
 def grades_of(openf):
-    return openf.filter("frames % 2 = 0").select("id", F.array(F.expr("case when frames % 3 = 0 then 'lag' else 'real' end")).alias("tags"),
+    return openf.filter("frames >= 20").select("id", F.array(F.expr("case when frames % 3 = 0 then 'lag' else 'real' end")).alias("tags"),
                                                  F.concat(F.lit("take "), F.col("frames")).alias("take"), F.lit("right").alias("verdict"))
 
 

@@ -169,13 +169,13 @@ def entities_of(t):
 
 @query("identity_resolve", """WITH e AS (SELECT match_id, display_name AS nm, slot AS ord, CASE WHEN character_id % 4 <> 0 THEN character_id END AS entity_id FROM v_players),
   s AS (SELECT *, CAST(row_number() OVER (PARTITION BY match_id ORDER BY entity_id NULLS LAST, ord) - 1 AS INTEGER) AS slot FROM e),
-  r AS (SELECT match_id, entity_id, min_by('r:' || nm, ord) AS rn FROM e WHERE entity_id % 2 = 1 GROUP BY 1, 2),
+  r AS (SELECT match_id, entity_id, min_by('r:' || nm, ord) AS rn FROM e WHERE entity_id >= 12 GROUP BY 1, 2),
   a AS (SELECT match_id, slot, min_by('a:' || c_name, c_custkey) AS an FROM v_players p JOIN customer ON c_custkey = match_id * 2 + slot WHERE c_acctbal > 1000 GROUP BY 1, 2)
   SELECT s.match_id, s.slot, s.entity_id, coalesce(rn, an) AS display_name, CASE WHEN rn IS NOT NULL THEN 'structural' WHEN an IS NOT NULL THEN 'anchor' END AS player_source
   FROM s LEFT JOIN r ON r.match_id = s.match_id AND r.entity_id = s.entity_id LEFT JOIN a ON a.match_id = s.match_id AND a.slot = s.slot""")
 def _(t):
     e = entities_of(t)
-    records = e.filter("entity_id % 2 = 1").select("match_id", "entity_id", F.concat(F.lit("r:"), F.col("display_name")).alias("name"), "ord")
+    records = e.filter("entity_id >= 12").select("match_id", "entity_id", F.concat(F.lit("r:"), F.col("display_name")).alias("name"), "ord")
     anchors = t.players.join(t.customer.filter("c_acctbal > 1000"), F.col("match_id") * 2 + F.col("slot") == F.col("c_custkey")).select(
         "match_id", "slot", F.concat(F.lit("a:"), F.col("c_name")).alias("name"), F.col("c_custkey").alias("ord"))
     return O.resolve_identity(O.entity_slots(e), records, anchors)
