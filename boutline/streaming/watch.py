@@ -14,9 +14,9 @@ def watch_files(spark: SparkSession, folder: str, pattern: str, since: str | Non
     """Each new file of a folder once. Files older than ``since`` (the start) are not processed.
     The query's checkpoint is the record of what was seen."""
     reader = spark.readStream.format("binaryFile").schema(BINARY).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
-    if since is not None:
-        reader = reader.option("modifiedAfter", since)
-    return reader.load(folder)
+    files = reader.load(folder)
+    # the source filters on the file's own time before it reads any content
+    return files if since is None else files.filter(F.col("modificationTime") > F.lit(since).cast("timestamp"))
 
 
 def watch_table(spark: SparkSession, folder: str, schema, fmt: str = "parquet", pattern: str | None = None, files_per_batch: int | None = None) -> DataFrame:
