@@ -5,6 +5,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boutline.operators.skew import spread_join
+
 
 def _tally(df: DataFrame, checks: dict, example) -> DataFrame:
     """One pass over a table for all its checks: rows seen, rows failed, smallest failing example."""
@@ -26,9 +28,12 @@ def audit(matches, players, inputs, kos, moments, metrics, actions) -> DataFrame
         "slots contiguous from 0": (F.col("lo") == 0) & (F.col("hi") == F.col("slots") - 1) & (F.col("slots") == F.col("_players"))}, F.col("match_id"))
     slots = players.select("match_id", "slot", F.lit(True).alias("known")).distinct()
     model = F.broadcast(actions.select("action", F.lit(True).alias("modelled")))  # one row per action of a game
-    i = _tally(inputs.join(bounds.select("match_id", "dur"), "match_id", "left").join(slots, ["match_id", "slot"], "left").join(model, "action", "left"), {
+    owners = slots.join(bounds.select("match_id", "dur"), "match_id", "full")
+    length = owners.groupBy("match_id").agg(F.max("dur").alias("dur"), F.collect_set(F.when(F.col("known"), F.col("slot"))).alias("_slots"))  # slots of one match
+    known = F.coalesce(F.array_contains("_slots", F.col("slot")), F.lit(False))
+    i = _tally(spread_join(inputs, length, ["match_id"], "left").withColumn("known", known).join(model, "action", "left"), {
         "inputs within duration": F.col("frame").between(0, F.col("dur")), "inputs map to a slot": F.col("known"), "inputs have a known action": F.col("modelled")}, F.col("seq"))
-    k = _tally(kos.join(bounds.select("match_id", "dur"), "match_id", "left").join(slots, ["match_id", "slot"], "left"), {
+    k = _tally(spread_join(kos, length, ["match_id"], "left").withColumn("known", known), {
         "kos within duration": F.col("frame").between(0, F.col("dur")), "kos map to a slot": F.col("known")}, F.col("seq"))
     mo = _tally(moments, {"severity 1 to 5": F.col("severity").between(1, 5), "moment frame not negative": F.col("frame") >= 0}, F.col("match_id"))
     me = _tally(metrics.filter("key = 'apm'"), {"apm 0 to 900": F.col("value").between(0, 900)}, F.col("match_id"))
@@ -38,7 +43,7 @@ def audit(matches, players, inputs, kos, moments, metrics, actions) -> DataFrame
 def contract_errors(matches: DataFrame, players: DataFrame, inputs: DataFrame) -> DataFrame:
     """Contract violations of each match as a list: required values, minima, patterns, unknown slots."""
     slots = players.select("match_id", "slot").distinct()
-    lost = inputs.join(slots, ["match_id", "slot"], "left_anti").groupBy("match_id").agg(F.count("*").alias("lost"))
+    lost = spread_join(inputs, slots, ["match_id", "slot"], "left_anti").groupBy("match_id").agg(F.count("*").alias("lost"))
     j = matches.join(lost, "match_id", "left")
     rules = [
         (F.col("patch").isNull(), "patch is required"),

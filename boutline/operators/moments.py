@@ -15,8 +15,9 @@ MOMENT = ["match_id", "slot", "frame", "seq", "kind", "severity", "amount", "tit
 
 def press_gaps(inputs: DataFrame, width: int) -> DataFrame:
     """Frames since the same player's previous press of the same action."""
+    # in frame order the previous press is the latest frame so far
     return along(blocked(inputs, "frame", width), [*KEY, "action"], ["frame", "seq"],
-                 prev={"last_frame": F.col("frame")}).withColumn(
+                 peak={"last_frame": F.col("frame")}).withColumn(
         "gap", F.col("frame") - F.col("last_frame")).drop(BLOCK, "last_frame")
 
 
@@ -53,10 +54,10 @@ def bursts(inputs: DataFrame, window: int, count: int, width: int) -> DataFrame:
 
 def idles(inputs: DataFrame, frames: int, width: int) -> DataFrame:
     """Stretches of at least ``frames`` frames without input, reported at the event before them."""
-    prev = along(blocked(inputs, "frame", width), KEY, ["frame", "seq"],
-                 prev={"p": F.struct("frame", "seq")})
-    return prev.withColumn("gap", F.col("frame") - F.col("p.frame")).filter(F.col("gap") >= frames).select(
-        *KEY, F.col("p.frame").alias("frame"), F.col("p.seq").alias("seq"), "gap")
+    instants = inputs.groupBy(*KEY, "frame").agg(F.max("seq").alias("seq"))
+    prev = along(blocked(instants, "frame", width), KEY, ["frame"], prev={"_f": F.col("frame"), "_s": F.col("seq")})
+    return prev.withColumn("gap", F.col("frame") - F.col("_f")).filter(F.col("gap") >= frames).select(
+        *KEY, F.col("_f").alias("frame"), F.col("_s").alias("seq"), "gap")
 
 
 def detect_moments(inputs, kos, actions, *, burst_window=60, burst_count=14, idle_frames=108, width=65536) -> DataFrame:

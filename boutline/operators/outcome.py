@@ -3,11 +3,13 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from boutline.operators.skew import spread_join
+
 
 def credit_victims(kills: DataFrame, players: DataFrame) -> DataFrame:
     """A log that credits the killer: in a two-player match the victim is the other slot, otherwise unknown."""
     n = players.groupBy("match_id").agg(F.count("*").alias("_n"))
-    return kills.join(n, "match_id", "left").select(
+    return spread_join(kills, n, ["match_id"], "left").select(
         *[c for c in kills.columns if c != "killer"], F.col("killer").alias("by"),
         F.when(F.col("_n") == 2, 1 - F.col("killer")).alias("slot"))
 
@@ -37,7 +39,7 @@ def match_outcome(players: DataFrame, kos: DataFrame, results: DataFrame) -> Dat
 def guard_kos(kos: DataFrame, inputs: DataFrame, slack: int = 120) -> DataFrame:
     """KOs inside the match: from frame 0 to the last input plus ``slack``."""
     last = inputs.groupBy("match_id").agg(F.max("frame").alias("_last"))
-    return kos.join(last, "match_id").filter((F.col("frame") >= 0) & (F.col("frame") <= F.col("_last") + slack)).drop("_last")
+    return spread_join(kos, last, ["match_id"]).filter((F.col("frame") >= 0) & (F.col("frame") <= F.col("_last") + slack)).drop("_last")
 
 
 def guard_results(results: DataFrame) -> DataFrame:

@@ -37,8 +37,8 @@ def frozen_spans(wide: DataFrame, fields: list[str], *, hold=3.0, width=64.0) ->
     """
     keys = ["segment"]
     seen = along(blocked(wide, "t", width), keys, ["t"], known={
-        f"_k_{f}_": F.when(F.col(f).isNotNull(), F.struct(F.col("t").alias("t"), F.col(f).alias("v"))) for f in fields})
-    q = F.greatest(*[F.when(F.col(f"_k_{f}_.v") != F.col(f), F.col(f"_k_{f}_.t")) for f in fields])
+        **{f"_v_{f}": F.col(f) for f in fields}, **{f"_at_{f}": F.when(F.col(f).isNotNull(), F.col("t")) for f in fields}})
+    q = F.greatest(*[F.when(F.col(f"_v_{f}") != F.col(f), F.col(f"_at_{f}")) for f in fields])
     runs = cut_runs(seen.withColumn("_q", q), keys, "t", "_q", width)
     return runs.groupBy("segment", F.col("run_start").alias("start")).agg(
         F.max("t").alias("end"), F.count("*").alias("samples")).withColumn("frozen", F.col("end") - F.col("start") >= hold)
@@ -47,11 +47,10 @@ def frozen_spans(wide: DataFrame, fields: list[str], *, hold=3.0, width=64.0) ->
 def moves(samples: DataFrame, *, width=64.0) -> DataFrame:
     """One row per move shown: startup agrees where known, Total does not fall."""
     live = samples.filter(~F.col("frozen") & (F.col("startup").isNotNull() | F.col("total").isNotNull()))
-    at = F.col("t")
     seen = along(blocked(live, "t", width), SIDE, ["t"], known={
-        "_su": F.when(F.col("startup").isNotNull(), F.struct(at.alias("t"), F.col("startup").alias("v"))),
-        "_to": F.when(F.col("total").isNotNull(), F.struct(at.alias("t"), F.col("total").alias("v")))})
-    q = F.greatest(F.when(F.col("_su.v") != F.col("startup"), F.col("_su.t")), F.when(F.col("_to.v") > F.col("total"), F.col("_to.t")))
+        "_su": F.col("startup"), "_su_t": F.when(F.col("startup").isNotNull(), F.col("t")),
+        "_to": F.col("total"), "_to_t": F.when(F.col("total").isNotNull(), F.col("t"))})
+    q = F.greatest(F.when(F.col("_su") != F.col("startup"), F.col("_su_t")), F.when(F.col("_to") > F.col("total"), F.col("_to_t")))
     cols = ["startup", "active", "total", "damage", "combo", "recovery"]
     runs = cut_runs(seen.withColumn("_q", q), SIDE, "t", "_q", width, cols)
 
@@ -67,8 +66,8 @@ def stuck_windows(samples: DataFrame, *, stuck=-6, max_gap=5, width=64.0) -> Dat
     """Runs in which a side cannot act. Up to ``max_gap`` unread samples in a row may sit inside one."""
     live = blocked(samples.filter(~F.col("frozen")).select(*SIDE, "t", "recovery"), "t", width)
     indexed = along(live, SIDE, ["t"], total={"_i": F.lit(1).cast("long")})
-    read = along(indexed.filter("recovery is not null"), SIDE, ["t"], prev={"_p": F.struct("_i", "recovery")})
-    held = (F.col("_p.recovery") <= stuck) & (F.col("_i") - F.col("_p._i") <= max_gap + 1)
+    read = along(indexed.filter("recovery is not null"), SIDE, ["t"], prev={"_pi": F.col("_i"), "_pv": F.col("recovery")})
+    held = (F.col("_pv") <= stuck) & (F.col("_i") - F.col("_pi") <= max_gap + 1)
     starts = read.filter(F.col("recovery") <= stuck).withColumn("_new", F.when(F.coalesce(held, F.lit(False)), 0).otherwise(1).cast("long"))
     runs = along(settle(starts), SIDE, ["t"], total={"_r": F.col("_new")})
     return runs.groupBy(*SIDE, (F.col("_r") + F.col("_new")).alias("_run")).agg(

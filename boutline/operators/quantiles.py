@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boutline.operators.settle import settle
+from boutline.operators.skew import spread_join
 
 CUTS = 256
 
@@ -20,7 +21,7 @@ def order_stats(df: DataFrame, keys: list[str], value: str, ranks: dict[str, "Co
     sketch = counted.groupBy(*keys).agg(
         F.sum("_c").alias("n"),
         F.array_distinct(F.percentile_approx("_v", [i / CUTS for i in range(1, CUTS)], 4 * CUTS)).alias("_cuts"))
-    placed = counted.join(sketch.select(*keys, "_cuts"), keys).select(
+    placed = spread_join(counted, sketch.select(*keys, "_cuts"), keys).select(
         *keys, "_v", "_c", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_b"))
     totals = placed.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"))
     upto = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

@@ -7,6 +7,7 @@ from boutline.functions.payoffs import DEFENDER_LABEL, Exchange
 from boutline.functions.scalars import DEFAULT_STARTUP
 from boutline.operators.damage import damage_at
 from boutline.operators.seq import anchored_runs
+from boutline.operators.settle import settle
 from boutline.operators.timejoin import interval_join
 
 
@@ -112,7 +113,8 @@ def review_deaths(kos, players, inputs, readings, facts, *, fps=60, window=180,
     who = reviewed_slots(kos)
     opp = players.join(who.withColumnRenamed("slot", "me"), "match_id").filter(F.col("slot") != F.col("me")).groupBy("match_id").agg(
         F.min("slot").alias("opp"))
-    deaths = kos.join(who, ["match_id", "slot"]).select("match_id", "slot", F.col("frame").alias("ko_frame")).distinct()
+    deaths = settle(kos.join(who, ["match_id", "slot"]).select("match_id", "slot", F.col("frame").alias("ko_frame")).distinct())
+    opp = settle(opp)
     frames = frame_sets(inputs)
     tend = tendency(deaths, opp, frames, window, pair_frames, width)
     chosen = committed_options(deaths, frames, window, pair_frames, width).join(opp, "match_id").withColumn(

@@ -27,10 +27,13 @@ def along(df: DataFrame, keys: list[str], order: list[str], *, prev=None, known=
     known  {name: column}  the last non-NULL value on an earlier row
     total  {name: column}  the sum over all earlier rows (0 on the first)
     peak   {name: column}  the maximum over all earlier rows
+
+    Numbers under a single order column keep the block summaries in a hash aggregate; structs, strings and
+    several order columns make Spark sort for them. Two values of one row are better passed as two columns.
     """
     prev, known, total, peak = prev or {}, known or {}, total or {}, peak or {}
     part = [*keys, BLOCK]
-    at = F.struct(*[F.col(c) for c in order])
+    at = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c) for c in order])
     here = Window.partitionBy(*part).orderBy(*order)
     before = here.rowsBetween(Window.unboundedPreceding, -1)
     blocks_before = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
@@ -38,7 +41,7 @@ def along(df: DataFrame, keys: list[str], order: list[str], *, prev=None, known=
     # helper columns first, so one projection feeds both branches
     work = df.select(
         "*",
-        *[F.struct(c.alias("v")).alias(f"_p_{n}") for n, c in prev.items()],
+        *[c.alias(f"_p_{n}") for n, c in prev.items()],
         *[c.alias(f"_k_{n}") for n, c in known.items()],
         *[c.alias(f"_t_{n}") for n, c in total.items()],
         *[c.alias(f"_m_{n}") for n, c in peak.items()],
@@ -52,13 +55,14 @@ def along(df: DataFrame, keys: list[str], order: list[str], *, prev=None, known=
     )
     carried = summary.select(
         *part,
-        *[F.last(f"_p_{n}", True).over(blocks_before).alias(f"_cp_{n}") for n in prev],
+        *[F.lag(f"_p_{n}").over(Window.partitionBy(*keys).orderBy(BLOCK)).alias(f"_cp_{n}") for n in prev],
         *[F.last(f"_k_{n}", True).over(blocks_before).alias(f"_ck_{n}") for n in known],
         *[F.sum(f"_t_{n}").over(blocks_before).alias(f"_ct_{n}") for n in total],
         *[F.max(f"_m_{n}").over(blocks_before).alias(f"_cm_{n}") for n in peak],
     )
     local = work.select(
         *df.columns,
+        *([F.lag(F.lit(True)).over(here).alias("_inside")] if prev else []),
         *[F.lag(f"_p_{n}").over(here).alias(f"_lp_{n}") for n in prev],
         *[F.last(f"_k_{n}", True).over(before).alias(f"_lk_{n}") for n in known],
         *[F.sum(f"_t_{n}").over(before).alias(f"_lt_{n}") for n in total],
@@ -68,7 +72,7 @@ def along(df: DataFrame, keys: list[str], order: list[str], *, prev=None, known=
     zero = F.lit(0)
     return both.select(
         *df.columns,
-        *[F.coalesce(f"_lp_{n}", f"_cp_{n}")["v"].alias(n) for n in prev],
+        *[F.when(F.col("_inside"), F.col(f"_lp_{n}")).otherwise(F.col(f"_cp_{n}")).alias(n) for n in prev],
         *[F.coalesce(f"_lk_{n}", f"_ck_{n}").alias(n) for n in known],
         *[(F.coalesce(F.col(f"_lt_{n}"), zero) + F.coalesce(F.col(f"_ct_{n}"), zero)).alias(n) for n in total],
         *[F.greatest(f"_lm_{n}", f"_cm_{n}").alias(n) for n in peak],
@@ -172,8 +176,8 @@ def anchored_runs(df: DataFrame, keys: list[str], position: str, gap: float, wid
 
 def debounce(df: DataFrame, keys: list[str], order: list[str], value: str, hold: int, name: str = "stable") -> DataFrame:
     """A value counts once it has held ``hold`` rows; until then the last stable value stands, or the key's first."""
-    changed = along(df, keys, order, prev={"_pv": F.struct(F.col(value).alias("v"))}, total={"_n": F.lit(1).cast("long")})
-    changed = changed.withColumn("_new", F.col("_pv").isNull() | ~F.col("_pv.v").eqNullSafe(F.col(value)))
+    changed = along(df, keys, order, prev={"_pv": F.col(value)}, total={"_n": F.lit(1).cast("long")})
+    changed = changed.withColumn("_new", (F.col("_n") == 0) | ~F.col("_pv").eqNullSafe(F.col(value)))
     # row number of the open run's first row
     runs = along(changed, keys, order, known={"_rs": F.when(F.col("_new"), F.col("_n"))})
     runs = runs.withColumn("_len", F.col("_n") - F.when(F.col("_new"), F.col("_n")).otherwise(F.col("_rs")) + 1)

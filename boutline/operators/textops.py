@@ -44,8 +44,8 @@ def transcript_segments(files: DataFrame, key: str, text: str) -> DataFrame:
 
 def text_blocks(frames: DataFrame, *, gap=3.0, width=600.0) -> DataFrame:
     """Consecutive frames with the same text within ``gap`` seconds become one block: (source, t, t_end, key)."""
-    seen = along(blocked(frames, "t", width), ["source"], ["t"], prev={"_p": F.struct("t", "key")})
-    new = seen.withColumn("_new", F.when((F.col("key") == F.col("_p.key")) & (F.col("t") - F.col("_p.t") <= gap), 0).otherwise(1).cast("long"))
+    seen = along(blocked(frames, "t", width), ["source"], ["t"], prev={"_pt": F.col("t"), "_pk": F.col("key")})
+    new = seen.withColumn("_new", F.when((F.col("key") == F.col("_pk")) & (F.col("t") - F.col("_pt") <= gap), 0).otherwise(1).cast("long"))
     runs = along(new, ["source"], ["t"], total={"_r": F.col("_new")})
     return runs.groupBy("source", (F.col("_r") + F.col("_new")).alias("_run")).agg(
         F.min("t").alias("t"), F.max("t").alias("t_end"), F.min("key").alias("key"), F.count("*").alias("frames")).drop("_run")

@@ -90,7 +90,7 @@ def open_findings_of(t):
    UNION ALL SELECT id, video, segment, 'punish', whose, CASE WHEN whose = 'you' AND left_name = right_name THEN 'You (' || side || ' side)' WHEN whose = 'you' THEN 'You' WHEN whose = 'them' THEN name || ' (them)'
        ELSE side || ' side (' || coalesce(name, '?') || ')' END || CASE WHEN damage IS NOT NULL THEN ', Punish! into ' || damage || ' damage over ' || hits || ' hits' ELSE ', the game called Punish!' END, damage FROM punf""")
 def _(t):
-    you = FI.capture_player(t.segments)
+    you = settle(FI.capture_player(t.segments))
     o = open_findings_of(t).select("id", "video", "segment", "kind", "whose", "title", F.col("frames").alias("size"))
     p = FI.punish_findings(punishes_of(t), t.segments, you).select("id", "video", "segment", "kind", "whose", "title", F.col("damage").alias("size"))
     return o.unionByName(p)
@@ -144,7 +144,7 @@ def _(t):
      round(pressed / windows + 1e-9, 6) AS pressed_share, coalesce(their_combos, 0) AS their_combos, their_median_damage, their_biggest, coalesce(punished_you, 0) AS punished_you, receipts
    FROM w FULL JOIN g ON g.name = w.name LEFT JOIN pu ON pu.name = coalesce(w.name, g.name) LEFT JOIN rc ON rc.name = coalesce(w.name, g.name)""")
 def _(t):
-    you = FI.capture_player(t.segments)
+    you = settle(FI.capture_player(t.segments))
     c, hits = named_combos(t)
     return FI.opponent_habits(open_findings_of(t), c, named_punishes(t, hits), you, width=B).withColumn("pressed_share", near(F.col("pressed_share")))
 

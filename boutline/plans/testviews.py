@@ -9,6 +9,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boutline.operators.settle import settle
 from boutline.sources.tables import table
 
 # Block widths of the sequence operators for these views.
@@ -71,8 +72,9 @@ class Tables:
         named = live.filter("active_seconds >= 10").join(self.customer, F.col("segment") * 2 + 1 == F.col("c_custkey")).withColumn("_me", me).withColumn(
             "_opp", F.when(F.col("c_acctbal") >= 0, F.concat(F.lit("Fighter-"), (F.col("c_nationkey") % 6).cast("string"))))
         left = F.expr("segment % 3 < 2")
-        return named.select("video", "segment", "active_seconds", F.when(left, F.col("_me")).otherwise(F.col("_opp")).alias("left_name"),
-                            F.when(left, F.col("_opp")).otherwise(F.col("_me")).alias("right_name"))
+        # one row per segment, read by several branches of a capture's plans
+        return settle(named.select("video", "segment", "active_seconds", F.when(left, F.col("_me")).otherwise(F.col("_opp")).alias("left_name"),
+                                   F.when(left, F.col("_opp")).otherwise(F.col("_me")).alias("right_name")))
 
     @cached_property
     def presses(self) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from boutline.operators.progress import award_key, award_points
+from boutline.operators.seq import along, blocked
 
 
 def online_wasted(inputs: DataFrame, busy: dict[str, int]) -> DataFrame:
@@ -42,12 +43,28 @@ def activity(events: DataFrame, keys: list[str], window: str, slide: str | None
 
 
 def sessions(events: DataFrame, keys: list[str], gap: str, late: str | None = None) -> DataFrame:
-    """Runs of activity without a pause of ``gap``."""
+    """Runs of activity without a pause of ``gap``. A batch cuts them on time blocks, so a key of any size is
+    shared by many tasks; a stream keeps them as session windows."""
+    if not events.isStreaming:
+        return _batch_sessions(events, keys, gap)
     timed = events.withWatermark("ts", late) if late else events
     return timed.groupBy(F.session_window("ts", gap).alias("w"), *keys).agg(F.count("*").alias("n")).select(
         *keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+def _batch_sessions(events: DataFrame, keys: list[str], gap: str) -> DataFrame:
+    stamp = dict(events.dtypes)["ts"]
+    pause = F.expr(f"interval {gap}")
+    width = 30 * 24 * 3600 * 10**6  # a month of microseconds per block
+    at = events.select(*keys, "ts", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))").alias("_us"))
+    instants = at.groupBy(*keys, "_us", "ts").agg(F.count("*").alias("n"))
+    seen = along(blocked(instants, "_us", width), keys, ["_us"], prev={"_prev": F.col("ts")})
+    fresh = seen.withColumn("_new", F.when(F.col("ts") < F.col("_prev") + pause, 0).otherwise(1).cast("long"))
+    runs = along(fresh, keys, ["_us"], total={"_run": F.col("_new")})
+    return runs.groupBy(*keys, (F.col("_run") + F.col("_new")).alias("_run")).agg(
+        F.min("ts").alias("start"), (F.max("ts") + pause).cast(stamp).alias("end"), F.sum("n").alias("n")).select(*keys, "start", "end", "n")
+
+
 def awards(stream: DataFrame, late: str = "1 day") -> DataFrame:
     """Awards paid once per key while the watermark remembers it. ``stream(user, event, ref, t, seq)``."""
     paid = stream.withColumn("xp", award_points(F.col("event"))).filter("xp is not null").withColumn(
