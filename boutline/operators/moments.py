@@ -13,6 +13,17 @@ KEY = ["match_id", "slot"]
 MOMENT = ["match_id", "slot", "frame", "seq", "kind", "severity", "amount", "title"]
 
 
+def press_edges(held: DataFrame, bits: dict[int, str], width: int) -> DataFrame:
+    """Presses in a held-state stream: one row per action bit going from 0 to 1; nothing is held at the start.
+
+    ``held(match_id, stream, ts_ms, state)``, one row per instant."""
+    keys = ["match_id", "stream"]
+    seen = along(blocked(held, "ts_ms", width), keys, ["ts_ms"], prev={"_was": F.col("state")})
+    risen = F.col("state").bitwiseAND(F.bitwise_not(F.coalesce(F.col("_was"), F.lit(0))))
+    names = F.array(*[F.when(risen.bitwiseAND(F.lit(1 << b)) != 0, F.struct(F.lit(b).alias("bit"), F.lit(a).alias("action"))) for b, a in sorted(bits.items())])
+    return seen.select(*keys, "ts_ms", F.explode(F.array_compact(names)).alias("p")).select(*keys, "ts_ms", "p.bit", "p.action")
+
+
 def press_gaps(inputs: DataFrame, width: int) -> DataFrame:
     """Frames since the same player's previous press of the same action."""
     # in frame order the previous press is the latest frame so far

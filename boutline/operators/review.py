@@ -32,9 +32,10 @@ def weapon_facts(moves: DataFrame) -> DataFrame:
         "weapon", F.struct("sair", "dair", "gp", "recovery").alias("facts"))
 
 
-def payoff_cells(contexts: DataFrame) -> DataFrame:
-    """25 cells per context row (columns mine, theirs, my_damage, their_damage)."""
-    ex = Exchange(F.col("mine"), F.col("theirs"), F.col("my_damage"), F.col("their_damage"))
+def payoff_cells(contexts: DataFrame, model: type[Exchange] = Exchange) -> DataFrame:
+    """25 cells per context row (columns mine, theirs, my_damage, their_damage).
+    Another game brings its own payoffs as a model with the same ``rows`` column."""
+    ex = model(F.col("mine"), F.col("theirs"), F.col("my_damage"), F.col("their_damage"))
     keep = [c for c in contexts.columns if c not in ("mine", "theirs")]
     return contexts.select(*keep, F.explode(ex.rows()).alias("_c")).select(*keep, "_c.*")
 

@@ -23,13 +23,6 @@ def latest_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame
 PART_FRAMES = 65536  # frames of a match one document part holds
 
 
-def scan_files(spark, folder: str, pattern: str, limit: int | None = None) -> DataFrame:
-    """Files below a folder by name pattern, sorted by path; content stays unread unless selected."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
-    listed = files.orderBy("path")
-    return listed if limit is None else listed.limit(limit)
-
-
 def new_only(found: DataFrame, stored: DataFrame, key: str, force: bool = False) -> DataFrame:
     """Found rows not stored yet, once each; ``force`` takes them all again."""
     once = found.dropDuplicates([key])
@@ -98,21 +91,6 @@ def wire_projection(documents: DataFrame) -> DataFrame:
     return documents.withColumn("observations", F.col("observations").dropFields("inputs"))
 
 
-def write_documents(documents: DataFrame, folder: str) -> None:
-    """The documents as the source of truth, one folder per patch."""
-    documents.withColumn("patch", F.coalesce("match.patch", F.lit("unknown"))).write.mode("overwrite").partitionBy("patch").json(folder)
-
-
-def read_documents(spark, folder: str, schema) -> DataFrame:
-    """Documents of a declared schema; unreadable ones keep their text in _corrupt_record."""
-    return spark.read.schema(schema).option("mode", "PERMISSIVE").json(folder)
-
-
-def write_slices(spark, rows: DataFrame, folder: str, by: list[str]) -> None:
-    """Overwrite only the partitions that ``rows`` touches."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(folder)
-
-
 def part_signatures(inputs: DataFrame) -> DataFrame:
     """Counts and a hash over the ordered inputs of each document part of a match."""
     line = F.concat_ws(":", F.col("frame").cast("string"), F.col("slot").cast("string"), "action")

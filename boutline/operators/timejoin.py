@@ -91,20 +91,14 @@ def any_within(left: DataFrame, right: DataFrame, keys: list[str], lo: str, hi:
 
 
 def interval_join(left: DataFrame, right: DataFrame, keys: list[str], lo: Column, hi: Column, at: str, *,
-                  width: float, how: str = "inner") -> DataFrame:
+                  width: float) -> DataFrame:
     """Left rows with an interval [lo, hi], right rows with a point ``at`` inside it.
 
     The interval is spread over the bins it touches and meets the points of each bin by an equi join, so a
     hot key is split by time. Callers aggregate points to one row per instant first where only counts matter.
-    ``how="left"`` keeps the left rows without a point: they come back once, with NULLs.
     """
     spans = left.withColumn("_lo", lo).withColumn("_hi", hi).withColumn(
         "_bin", F.explode(F.sequence(F.floor(F.col("_lo") / width), F.floor(F.col("_hi") / width))))
     points = right.withColumn("_bin", F.floor(F.col(at) / width)).withColumn("_at", F.col(at).cast("double"))
-    joined = spans.join(points, [*keys, "_bin"]).filter(
+    return spans.join(points, [*keys, "_bin"]).filter(
         (F.col("_at") >= F.col("_lo")) & (F.col("_at") <= F.col("_hi"))).drop("_bin", "_lo", "_hi", "_at")
-    if how == "inner":
-        return joined
-    met = joined.select(*left.columns).distinct()
-    lonely = left.join(met, left.columns, "left_anti")
-    return joined.unionByName(lonely, allowMissingColumns=True)

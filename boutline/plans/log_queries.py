@@ -39,6 +39,20 @@ def moments_of(t):
     return M.detect_moments(t.inputs, t.kos, t.action_model, burst_count=3, width=FRAME_BLOCK)
 
 
+BITS = {0: "AimUp", 1: "AimDown", 2: "Left", 3: "Right"}
+
+
+@query("press_edges", """WITH h AS (SELECT match_id, slot AS stream, epoch_us(ts) // 1000 AS ts_ms, bit_or(CAST(event_id % 16 AS INTEGER)) AS state FROM (SELECT user_id // 2 AS match_id, CAST(user_id % 2 AS INTEGER) AS slot, ts, event_id FROM events) GROUP BY 1, 2, 3),
+  b AS (SELECT * FROM (VALUES (0, 'AimUp'), (1, 'AimDown'), (2, 'Left'), (3, 'Right')) v(bit, action)),
+  e AS (SELECT match_id, stream, ts_ms, bit, action, (state >> bit) & 1 AS on_, coalesce(lag((state >> bit) & 1) OVER (PARTITION BY match_id, stream, bit ORDER BY ts_ms), 0) AS was FROM h, b)
+  SELECT match_id, stream, ts_ms, bit, action FROM e WHERE on_ = 1 AND was = 0""")
+def _(t):
+    ms = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz)) div 1000")
+    held = t.events.select(F.expr("user_id div 2").alias("match_id"), (F.col("user_id") % 2).cast("int").alias("stream"), ms.alias("ts_ms"), (F.col("event_id") % 16).cast("int").alias("state")).groupBy(
+        "match_id", "stream", "ts_ms").agg(F.bit_or("state").alias("state"))
+    return M.press_edges(held, BITS, 7 * 24 * 3600 * 1000)
+
+
 @query("wasted_input", f"WITH RECURSIVE {WASTED_SQL} SELECT match_id, slot, frame, seq, action, gap FROM wasted WHERE wasted")
 def _(t):
     return M.wasted_inputs(t.inputs, t.action_model, FRAME_BLOCK).filter("wasted").select(

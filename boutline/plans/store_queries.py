@@ -14,11 +14,12 @@ from boutline.plans.match_queries import METRICS_SQL, metrics_of
 from boutline.plans.panel_queries import CAPS_SQL, SCORED_SQL, captions, scored
 from boutline.plans.registry import near, query
 from boutline.plans.testviews import FRAME_BLOCK
+from boutline.sources.files import scan_files
 
 
 @query("src_scan")
 def _(t):
-    return ST.scan_files(t.spark, t.folder, "*.parquet").select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "length")
+    return scan_files(t.spark, t.folder, "*.parquet").select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "length")
 
 
 @query("ingest_new", """SELECT DISTINCT 'bh_' || substr(sha256(text), 1, 16) AS id FROM documents WHERE 'bh_' || substr(sha256(text), 1, 16) NOT IN (SELECT 'bh_' || substr(sha256(text), 1, 16) FROM documents WHERE lang = 'fr')""")

@@ -55,7 +55,7 @@ def settled_files(observed: DataFrame, quiet_seconds: float = 2.0) -> DataFrame:
 
 def ingest_stream(source: DataFrame, build: Callable[[DataFrame], DataFrame], folder: str, by: list[str], checkpoint: str):
     """Every batch through the batch functions into the partitions it touches."""
-    from boutline.operators.store import write_slices
+    from boutline.sources.files import write_slices
 
     def store(batch: DataFrame, _epoch: int) -> None:
         write_slices(batch.sparkSession, build(batch), folder, by)

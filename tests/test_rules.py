@@ -25,6 +25,20 @@ def test_burst_counts_only_from_the_event_on(spark):
     assert got == {0: 4, 1: 3, 2: 2, 3: 2}
 
 
+def test_games_declare_their_vocabulary(spark):
+    from boutline.functions import games
+    rows = {r.action: (r.busy, r.category) for r in games.get("platform_fighter").actions(spark).collect()}
+    assert rows["Dodge"] == (14, "defence") and rows["Light"] == (0, "attack")
+    with pytest.raises(KeyError):
+        games.get("chess")
+
+
+def test_press_edges(spark):
+    held = spark.createDataFrame([(1, 0, 0, 1), (1, 0, 10, 3), (1, 0, 20, 2), (1, 0, 30, 3), (2, 0, 5, 2)], "match_id int, stream int, ts_ms long, state int")
+    got = sorted((r.match_id, r.ts_ms, r.action) for r in M.press_edges(held, {0: "Up", 1: "Down"}, 16).collect())
+    assert got == [(1, 0, "Up"), (1, 10, "Down"), (1, 30, "Up"), (2, 5, "Down")]
+
+
 def test_gap_bounds(spark):
     rows = [(0, 0, f, i, "a") for i, f in enumerate([0, 59, 119, 227])]
     inputs = spark.createDataFrame(rows, "match_id int, slot int, frame long, seq int, action string")

@@ -1,13 +1,11 @@
 """Streams over growing folders: they end up where the batch functions do."""
 
-import json
 import os
-import time
 
 from pyspark.sql import functions as F
 
 from boutline.operators.moments import wasted_inputs
-from boutline.operators.store import read_documents, write_documents
+from boutline.sources.files import read_documents, read_gauge, write_bundles, write_documents, write_gauge
 from boutline.streaming import online as S
 from boutline.streaming import watch as W
 
@@ -107,4 +105,12 @@ def test_documents_round_trip_with_a_broken_one(spark, tmp_path):
     schema = "match_id long, match struct<patch:string>, xs array<int>, _corrupt_record string"
     got = read_documents(spark, f"{tmp_path}/docs", schema).collect()
     assert sorted((r.match_id or 0, r._corrupt_record is not None) for r in got) == [(0, True), (1, False)]
-    assert json.loads(json.dumps({"ok": time.time() > 0}))["ok"]
+
+
+def test_gauge_and_bundles_keep_unknowns_and_order(spark, tmp_path):
+    g = spark.createDataFrame([(0.0, 1, None, 0, 2), (0.1, None, 3, 0, 2)], "t double, gauge_p1 int, gauge_p2 int, assemble_p1 int, assemble_p2 int")
+    write_gauge(g, f"{tmp_path}/g")
+    assert sorted(map(tuple, read_gauge(spark, f"{tmp_path}/g").collect()), key=lambda r: r[0]) == [(0.0, 1, None, 0, 2), (0.1, None, 3, 0, 2)]
+    write_bundles(spark.createDataFrame([(1, "b", "two"), (1, "a", "one"), (2, "c", "x")], "video int, id string, line string"), f"{tmp_path}/t")
+    one = [ln for f in sorted((tmp_path / "t" / "video=1").glob("part-*")) for ln in f.read_text().split()]
+    assert one == ["one", "two"]
