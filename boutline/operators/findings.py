@@ -170,3 +170,10 @@ def starters(combos: DataFrame, samples: DataFrame, table: DataFrame, *, width=6
     return got.select("segment", "side", "t0", "character", F.col("s_startup").alias("startup"), F.col("s_shown").alias("shown"), "damage",
                       F.when(F.col("n").between(1, 3), F.array_join("names", " / ")).alias("names"),
                       F.when(F.col("n") == 0, "no match").when(F.col("n") == 1, "exact").when(F.col("n") <= 3, "set").otherwise("not identified").alias("how"))
+
+
+def starter_summary(rows: DataFrame) -> DataFrame:
+    """Per fighter and identified opener: how often, the median damage it led to, the best."""
+    known = settle(rows.filter("names is not null").select("character", "names", "damage"))
+    n = known.groupBy("character", "names").agg(F.count("*").alias("times"), F.max("damage").alias("best"))
+    return n.join(medians(known, ["character", "names"], "damage").select("character", "names", "median"), ["character", "names"])

@@ -193,15 +193,27 @@ def _(t):
     return FI.finding_takes(openf, grades_of(openf)).select("id", F.get("tags", F.lit(0)).alias("tag"), "take")
 
 
-@query("starters", f"""WITH {HITS_SQL}, nc AS (SELECT c.segment, c.side, c.t0, c.damage, coalesce(CASE side WHEN 'L' THEN left_name ELSE right_name END, '?') AS character FROM combos c JOIN v_segments v USING (segment)),
+STARTERS_SQL = f"""{HITS_SQL}, nc AS (SELECT c.segment, c.side, c.t0, c.damage, coalesce(CASE side WHEN 'L' THEN left_name ELSE right_name END, '?') AS character FROM combos c JOIN v_segments v USING (segment)),
    tb AS (SELECT 'Fighter-' || (p_partkey % 10) AS char, p_name AS input, p_size % 4 + 5 AS startup, CAST(floor(p_retailprice) AS INTEGER) % 20 AS damage FROM part),
    rd AS (SELECT segment, side, t AS st, startup, damage AS shown FROM v_samples WHERE startup IS NOT NULL),
    a AS (SELECT nc.*, rd.startup, rd.shown, row_number() OVER (PARTITION BY nc.segment, nc.side, nc.t0 ORDER BY rd.st DESC) AS rn FROM nc LEFT JOIN rd ON rd.segment = nc.segment AND rd.side = nc.side AND rd.st BETWEEN nc.t0 - 1.0 AND nc.t0),
-   k AS (SELECT char, startup, damage, list_sort(list(DISTINCT input)) AS names FROM tb GROUP BY 1, 2, 3)
-   SELECT a.segment, a.side, a.t0, character, a.startup, a.shown, a.damage, CASE WHEN len(names) BETWEEN 1 AND 3 THEN array_to_string(names, ' / ') END AS names,
+   k AS (SELECT char, startup, damage, list_sort(list(DISTINCT input)) AS names FROM tb GROUP BY 1, 2, 3),
+   starters AS (SELECT a.segment, a.side, a.t0, character, a.startup, a.shown, a.damage, CASE WHEN len(names) BETWEEN 1 AND 3 THEN array_to_string(names, ' / ') END AS names,
      CASE WHEN names IS NULL THEN 'no match' WHEN len(names) = 1 THEN 'exact' WHEN len(names) <= 3 THEN 'set' ELSE 'not identified' END AS how
-   FROM a LEFT JOIN k ON k.char = a.character AND k.startup = a.startup AND k.damage = a.shown WHERE rn = 1""")
+   FROM a LEFT JOIN k ON k.char = a.character AND k.startup = a.startup AND k.damage = a.shown WHERE rn = 1)"""
+
+
+@query("starters", f"WITH {STARTERS_SQL} SELECT * FROM starters")
 def _(t):
+    return starters_of(t)
+
+
+@query("starter_summary", f"""WITH {STARTERS_SQL} SELECT character, names, count(*) AS times, median(damage)::DOUBLE AS median, max(damage) AS best FROM starters WHERE names IS NOT NULL GROUP BY 1, 2""")
+def _(t):
+    return FI.starter_summary(starters_of(t))
+
+
+def starters_of(t):
     c, _ = named_combos(t)
     table = t.part.select(F.concat(F.lit("Fighter-"), (F.col("p_partkey") % 10).cast("string")).alias("char"), F.col("p_name").alias("input"),
                           (F.col("p_size") % 4 + 5).alias("startup"), (F.floor("p_retailprice").cast("int") % 20).alias("damage"))

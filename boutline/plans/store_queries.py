@@ -1,5 +1,7 @@
 """Documents, index tables, audits, progress, clip plans and move tables."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from boutline.operators import audit as A
@@ -7,14 +9,14 @@ from boutline.operators import lookup as L
 from boutline.operators import progress as PR
 from boutline.operators import store as ST
 from boutline.operators.moments import cluster_moments
-from boutline.operators.settle import settle
+from boutline.operators.settle import settle, shared_folder
 from boutline.plans.capture_queries import GRADES_SQL, OPENF_SQL, grades_of, open_findings_of
 from boutline.plans.log_queries import CLUSTERS_SQL, moments_of
 from boutline.plans.match_queries import METRICS_SQL, metrics_of
 from boutline.plans.panel_queries import CAPS_SQL, SCORED_SQL, captions, scored
 from boutline.plans.registry import near, query
 from boutline.plans.testviews import FRAME_BLOCK
-from boutline.sources.files import scan_files
+from boutline.sources.files import read_documents, read_gauge, scan_files, write_documents, write_gauge
 
 
 @query("src_scan")
@@ -54,6 +56,34 @@ def _(t):
                     size("analysis.moments").alias("moments"), size("analysis.metrics").alias("metrics"))
 
 
+@query("doc_scan", """SELECT m.match_id, patch, (SELECT count(*) FROM v_inputs p WHERE p.match_id = m.match_id)::INTEGER AS inputs, (SELECT count(*) FROM v_players p WHERE p.match_id = m.match_id)::INTEGER AS players FROM v_matches m""")
+def _(t):
+    d = documents_of(t)
+    folder = fresh_folder(t)
+    write_documents(d, folder)
+    back = read_documents(t.spark, folder, d.schema)
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    return back.select("match_id", "match.patch", size("observations.inputs").alias("inputs"), size("players").alias("players"))
+
+
+def fresh_folder(t):
+    base = shared_folder(t.spark)
+    if base is None:
+        raise ValueError("a round trip needs a shared folder: set spark.checkpoint.dir")
+    return f"{base.rstrip('/')}/written-{uuid.uuid4().hex}"
+
+
+@query("gauge_csv", """SELECT t, max(CASE WHEN slot = 0 THEN CAST(floor(value) AS INTEGER) END) AS gauge_p1, max(CASE WHEN slot = 1 THEN CAST(floor(value) AS INTEGER) END) AS gauge_p2,
+   CAST(count(*) FILTER (WHERE slot = 0) AS INTEGER) AS assemble_p1, CAST(count(*) FILTER (WHERE slot = 1) AS INTEGER) AS assemble_p2 FROM v_ticks GROUP BY 1""")
+def _(t):
+    whole = F.floor("value").cast("int")
+    g = t._ticks.groupBy("t").agg(F.max(F.when(F.col("slot") == 0, whole)).alias("gauge_p1"), F.max(F.when(F.col("slot") == 1, whole)).alias("gauge_p2"),
+                                  F.count_if(F.col("slot") == 0).cast("int").alias("assemble_p1"), F.count_if(F.col("slot") == 1).cast("int").alias("assemble_p2"))
+    folder = fresh_folder(t)
+    write_gauge(g, folder)
+    return read_gauge(t.spark, folder)
+
+
 @query("index_rebuild", f"WITH {METRICS_SQL} SELECT match_id, slot, key, round(value, 6) AS value FROM metrics")
 def _(t):
     return ST.index_rows(documents_of(t))["metrics"].withColumn("value", F.round("value", 6))
