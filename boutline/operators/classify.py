@@ -1,17 +1,27 @@
 """Readings against a closed set: templates, names, votes."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BANK_LIMIT = 4096  # rows a bank may have to ride along with every reading
+BANK_LIMIT = 4096  # bank entries that ride along with every reading at once
 
 
-def _bank(reads: DataFrame, bank: DataFrame, cols: list[str]) -> DataFrame | None:
-    """Reads with the whole bank as one array column, or None when the bank is too large for that."""
-    if bank.limit(BANK_LIMIT + 1).count() > BANK_LIMIT:
-        return None
-    one = bank.agg(F.collect_list(F.struct(*cols)).alias("_bank"))
-    return reads.join(F.broadcast(one), how="cross")  # exactly one row of at most BANK_LIMIT entries
+def _with_bank(reads: DataFrame, bank: DataFrame, cols: list[str], by: str) -> tuple[DataFrame, bool]:
+    """Reads with the bank as an array column: one row each while the bank is small, else one row per part of it.
+    Entries that share ``by`` stay in one part. The second value tells whether there are several parts."""
+    parts = -(-bank.count() // BANK_LIMIT) or 1
+    packed = bank.groupBy(F.pmod(F.xxhash64(by), F.lit(parts)).alias("_part")).agg(F.collect_list(F.struct(*cols)).alias("_bank")).drop("_part")
+    if parts == 1:
+        packed = F.broadcast(packed)  # one row of at most BANK_LIMIT entries
+    return reads.join(packed, how="cross"), parts > 1
+
+
+def _two_best(scored: DataFrame, key: str, two, several: bool) -> DataFrame:
+    """The two best candidates (d, name) of each reading, over the parts of the bank."""
+    best = scored.select(key, two.alias("_c"))
+    if several:
+        best = best.groupBy(key).agg(F.slice(F.array_sort(F.flatten(F.collect_list("_c"))), 1, 2).alias("_c"))  # two per part
+    return best
 
 
 def _mean_abs(a, b):
@@ -21,21 +31,15 @@ def _mean_abs(a, b):
 def template_match(reads: DataFrame, templates: DataFrame, *, key: str, max_dist: float, min_margin: float) -> DataFrame:
     """Name of the nearest template, if near enough and clearly nearer than the best of any *other* name.
 
-    Names are ranked by their best variant. A small bank travels with each row, so nothing is shuffled; a
-    large one is joined and ranked by (reading, name).
+    Names are ranked by their best variant. The bank travels with the rows, so a small one costs no shuffle.
     """
-    held = _bank(reads.select(key, "vec"), templates, ["name", "vec"])
-    if held is not None:
-        scored = held.withColumn("_d", F.transform("_bank", lambda t: F.struct(_mean_abs(F.col("vec"), t["vec"]).alias("d"), t["name"].alias("name"))))
-        best = scored.withColumn("_0", F.array_min("_d"))
-        ranked = best.withColumn("_1", F.array_min(F.filter("_d", lambda x: x["name"] != F.col("_0.name"))))
-        ranked = ranked.select(key, F.col("_0.name").alias("name"), F.col("_0.d").alias("d0"), F.col("_1.d").alias("d1"))
-    else:
-        pairs = reads.join(templates.select("name", F.col("vec").alias("tvec")), how="cross")
-        per = pairs.groupBy(key, "name").agg(F.min(_mean_abs(F.col("vec"), F.col("tvec"))).alias("d"))
-        w = Window.partitionBy(key).orderBy("d", "name")
-        ranked = per.withColumn("d1", F.lead("d").over(w)).withColumn("_r", F.row_number().over(w)).filter("_r = 1").select(
-            key, "name", F.col("d").alias("d0"), "d1")
+    held, several = _with_bank(reads.select(key, "vec"), templates, ["name", "vec"], "name")
+    scored = held.withColumn("_d", F.transform("_bank", lambda t: F.struct(_mean_abs(F.col("vec"), t["vec"]).alias("d"), t["name"].alias("name"))))
+    scored = scored.withColumn("_0", F.array_min("_d"))
+    other = F.array_min(F.filter("_d", lambda x: x["name"] != F.col("_0.name")))
+    ranked = _two_best(scored, key, F.array_compact(F.array("_0", other)), several).select(
+        key, F.get("_c", F.lit(0)).alias("_0"), F.get("_c", F.lit(1)).alias("_1"))
+    ranked = ranked.select(key, F.col("_0.name").alias("name"), F.col("_0.d").alias("d0"), F.col("_1.d").alias("d1"))
     sure = (F.col("d0") <= max_dist) & (F.coalesce(F.col("d1"), F.lit(9.9)) - F.col("d0") >= min_margin)
     return ranked.select(key, F.when(sure, F.col("name")).alias("name"), "d0", "d1")
 
@@ -45,19 +49,12 @@ def fuzzy_snap(reads: DataFrame, roster: DataFrame, *, max_edits: int = 2) -> Da
 
     A reading needs four characters; keys of too different a length are no candidates; ties are refused.
     """
-    r = reads.select("text").distinct()
     size = F.length("text")
     limit = F.least(F.lit(max_edits), F.floor(size / 4).cast("int") + 1)
-    held = _bank(r, roster.select("key").distinct(), ["key"])
-    if held is None:
-        lengths = roster.select("key").distinct().withColumn("_n", F.length("key"))
-        spread = r.withColumn("_n", F.explode(F.sequence(F.lit(1), size * 2)))
-        cand = spread.join(lengths, "_n").filter(F.abs(F.col("_n") - size) <= F.greatest(F.lit(2), F.floor(F.col("_n") / 4)))
-        near = cand.groupBy("text").agg(F.array_sort(F.collect_list(F.struct(F.levenshtein("text", "key").alias("d"), "key"))).alias("_c"))
-        ranked = r.join(near, "text", "left")
-    else:
-        fits = F.filter("_bank", lambda k: F.abs(F.length(k["key"]) - size) <= F.greatest(F.lit(2), F.floor(F.length(k["key"]) / 4)))
-        ranked = held.withColumn("_c", F.array_sort(F.transform(fits, lambda k: F.struct(F.levenshtein(F.col("text"), k["key"]).alias("d"), k["key"].alias("key")))))
+    held, several = _with_bank(reads.select("text").distinct(), roster.select("key").distinct(), ["key"], "key")
+    fits = F.filter("_bank", lambda k: F.abs(F.length(k["key"]) - size) <= F.greatest(F.lit(2), F.floor(F.length(k["key"]) / 4)))
+    near = F.transform(fits, lambda k: F.struct(F.levenshtein(F.col("text"), k["key"]).alias("d"), k["key"].alias("key")))
+    ranked = _two_best(held, "text", F.slice(F.array_sort(near), 1, 2), several)
     first, second = F.get("_c", F.lit(0)), F.get("_c", F.lit(1))
     ok = (size >= 4) & ((first["d"] == 0) | ((first["d"] <= limit) & F.coalesce(second["d"] != first["d"], F.lit(True))))
     return ranked.select("text", F.when(ok, first["key"]).alias("name"), F.when(ok, first["d"]).alias("edits"))

@@ -114,14 +114,18 @@ def test_clock(spark):
     assert one(spark, S.panel_value(F.lit("-46(-1)"))) is None and one(spark, S.panel_value(F.lit("-46(-1)"), signed=True)) == -46
 
 
-def test_closed_set_refuses_ties_and_scraps(spark):
+@pytest.mark.parametrize("limit", [4096, 1])
+def test_closed_set_refuses_ties_and_scraps(spark, monkeypatch, limit):
+    monkeypatch.setattr(C, "BANK_LIMIT", limit)
     roster = spark.createDataFrame([("HULK",), ("DOCTORDOOM",), ("STORM",), ("STERM",)], "key string")
     reads = spark.createDataFrame([("FUL",), ("DOCTORDOOK",), ("STARM",), ("STORM",), ("ZZZZZZ",)], "text string")
     got = {r.text: r.name for r in C.fuzzy_snap(reads, roster).collect()}
     assert got == {"FUL": None, "DOCTORDOOK": "DOCTORDOOM", "STARM": None, "STORM": "STORM", "ZZZZZZ": None}
 
 
-def test_template_margin_is_between_names(spark):
+@pytest.mark.parametrize("limit", [4096, 1])
+def test_template_margin_is_between_names(spark, monkeypatch, limit):
+    monkeypatch.setattr(C, "BANK_LIMIT", limit)
     tpl = spark.createDataFrame([("a", [0.0, 0.0]), ("a", [0.01, 0.0]), ("b", [1.0, 1.0])], "name string, vec array<float>")
     reads = spark.createDataFrame([(1, [0.0, 0.01]), (2, [0.5, 0.5])], "id int, vec array<float>")
     got = {r.id: r.name for r in C.template_match(reads, tpl, key="id", max_dist=0.13, min_margin=0.02).collect()}
@@ -179,3 +183,18 @@ def test_transcripts(spark):
     files = [(1, "WEBVTT\n\n1\n00:00:01.500 --> 00:00:02.000\n<i>hello</i>\nthere\n\n\n2\n00:01:02,250 --> x\nbye"), (2, "0:32\nfirst\n1:02:03 second\n9:99\n")]
     got = sorted((r.id, r.t, r.text) for r in X.transcript_segments(spark.createDataFrame(files, "id int, raw string"), "id", "raw").collect())
     assert got == [(1, 1.5, "hello there"), (1, 62.25, "bye"), (2, 32.0, "first"), (2, 3723.0, "second")]
+
+
+def test_a_hot_key_is_shared_by_blocks(spark):
+    """A key with nearly all rows: no (key, block) group and no salted group holds more than its share."""
+    from boutline.operators.seq import BLOCK, blocked
+    from boutline.operators.skew import spread_join
+    rows = spark.range(40000).select(F.when(F.col("id") % 10 == 0, F.col("id") % 7).otherwise(99).alias("k"), F.col("id").alias("frame"))
+    assert blocked(rows, "frame", 1000).groupBy("k", BLOCK).count().agg(F.max("count")).first()[0] <= 1000
+    facts = rows.select("k").distinct().withColumn("x", F.col("k") * 2)
+    joined = spread_join(rows, facts, ["k"])
+    assert joined.count() == 40000 and joined.filter("x <> k * 2").count() == 0
+    share = rows.groupBy("k", F.pmod(F.xxhash64("k", "frame"), F.lit(16))).count().agg(F.max("count")).first()[0]
+    assert share < 40000 / 8
+    assert spread_join(rows, facts.filter("k = 99"), ["k"], "left_anti").count() == 4000
+    assert spread_join(rows, facts.filter("k = 99"), ["k"], "left").filter("x is null").count() == 4000
