@@ -13,7 +13,7 @@ def _with_bank(reads: DataFrame, bank: DataFrame, cols: list[str], by: str) -> t
     packed = bank.groupBy(F.pmod(F.xxhash64(by), F.lit(parts)).alias("_part")).agg(F.collect_list(F.struct(*cols)).alias("_bank")).drop("_part")
     if parts == 1:
         packed = F.broadcast(packed)  # one row of at most BANK_LIMIT entries
-    return reads.join(packed, how="cross"), parts > 1
+    return reads.join(packed, F.lit(True), "left"), parts > 1  # an empty bank leaves the readings unnamed
 
 
 def _two_best(scored: DataFrame, key: str, two, several: bool) -> DataFrame:
