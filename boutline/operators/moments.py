@@ -45,8 +45,8 @@ def bursts(inputs: DataFrame, window: int, count: int, width: int) -> DataFrame:
     Counts are taken on one row per frame; each block also sees the first ``window`` frames of the next.
     """
     frames = inputs.groupBy(*KEY, "frame").agg(F.count("*").alias("n"))
-    halo = frames.withColumn(BLOCK, F.explode(F.array_distinct(F.array(
-        F.floor(F.col("frame") / width), F.floor((F.col("frame") - window) / width)))))
+    halo = frames.withColumn(BLOCK, F.explode(F.sequence(
+        F.floor((F.col("frame") - window) / width), F.floor(F.col("frame") / width))))
     ahead = Window.partitionBy(*KEY, BLOCK).orderBy("frame").rangeBetween(1, window)
     counted = (
         halo.withColumn("after", F.coalesce(F.sum("n").over(ahead), F.lit(0)))

@@ -19,9 +19,10 @@ def one(spark, col):
     return spark.range(1).select(col.alias("v")).first().v
 
 
-def test_burst_counts_only_from_the_event_on(spark):
+@pytest.mark.parametrize("width", [8, 64])
+def test_burst_counts_only_from_the_event_on(spark, width):
     rows = [(0, 0, f, i, "a") for i, f in enumerate([10, 10, 10, 70, 71])]
-    got = {r.seq: r.presses for r in M.bursts(spark.createDataFrame(rows, "match_id int, slot int, frame long, seq int, action string"), 60, 2, 64).collect()}
+    got = {r.seq: r.presses for r in M.bursts(spark.createDataFrame(rows, "match_id int, slot int, frame long, seq int, action string"), 60, 2, width).collect()}
     assert got == {0: 4, 1: 3, 2: 2, 3: 2}
 
 
