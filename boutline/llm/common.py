@@ -104,11 +104,12 @@ def prefix(sizes: DataFrame, order: str, sums: dict[str, str], spark: SparkSessi
 HEAVY_KEYS = 2000
 
 
-def skew_join(big: DataFrame, counted: DataFrame, key: str, rows: int) -> DataFrame:
+def skew_join(big: DataFrame, counted: DataFrame, key: str | list[str], rows: int) -> DataFrame:
     """Inner equi join of ``big`` with ``counted`` (one row a key, column ``_n`` = rows of ``big`` with that key). Keys with
     more than ``rows / HEAVY_KEYS`` rows are at most HEAVY_KEYS many, so they are broadcast; the others are shuffled."""
     least = max(1000, rows // HEAVY_KEYS)
     hot = counted.filter(F.col("_n") > least)
     heavy = big.join(F.broadcast(hot), key)
-    light = big.join(F.broadcast(hot.select(key)), key, "left_anti").join(counted.filter(F.col("_n") <= least), key)
+    keys = [key] if isinstance(key, str) else key
+    light = big.join(F.broadcast(hot.select(*keys)), key, "left_anti").join(counted.filter(F.col("_n") <= least), key)
     return heavy.unionByName(light)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from boutline.llm import bpe, fingerprint, langid, packing, quality, quality_sql, secret_scan, shard, tokenfile, wordpiece
+from boutline.llm import bpe, fingerprint, langid, near, packing, quality, quality_sql, secret_scan, shard, tokenfile, wordpiece
 
 QUERIES, ORACLES = {}, {}
 
@@ -55,6 +55,11 @@ def op4(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
 
+@query("op5_near_dedup")
+def op5(spark, sf_dir):
+    return near.near_duplicates(documents(spark, sf_dir), width=2, percent=80)
+
+
 @query("op6_token_counts")
 def op6(spark, sf_dir):
     return wordpiece.token_counts(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
