@@ -153,12 +153,16 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: Model, least: float) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a language with a score of ``least`` or more."""
+    """The rows of ``docs``, all columns, whose text has a language with a score of ``least`` or more; if no language was learned, those
+    whose text has a letter."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch):
-        lang, score = held.value.predict(batch.column("text"))
-        keep = batch.filter(pa.array([name != UNKNOWN and s >= least for name, s in zip(lang, score)], pa.bool_()))
-        return {name: keep.column(i) for i, name in enumerate(docs.columns)}
+        if held.value.langs:
+            keep = [name != UNKNOWN and s >= least for name, s in zip(*held.value.predict(batch.column("text")))]
+        else:
+            keep = [t is not None and LETTER.search(t) is not None for t in batch.column("text").to_pylist()]
+        some = batch.filter(pa.array(keep, pa.bool_()))
+        return {name: some.column(i) for i, name in enumerate(docs.columns)}
 
     return arrow_map(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))

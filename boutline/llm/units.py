@@ -4,6 +4,7 @@ A tokenizer that cuts texts by a pattern before it merges never lets a token rea
 characters, nor from an ASCII letter to an ASCII sign behind it. So the ids of a text are those of the units between such
 places, one after another. Texts that hold the opening of a special token are encoded whole."""
 
+import os
 from itertools import chain
 
 import numpy as np
@@ -12,7 +13,7 @@ from boutline.llm.bytesops import LOWER, Codes, ragged, segment_hashes
 
 MOST_UNITS = 1_000_000
 MOST_IDS = 6_000_000
-LONG = 200
+SOME = 2000
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = True
 SIGN = np.zeros(256, bool)
@@ -120,10 +121,18 @@ _held: dict = {}
 def library(path: str, lead: bool) -> Units:
     """Units encoded by the tokenizers library from the vocabulary at ``path``; one per worker process."""
     if path not in _held:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker per core
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
         tok.no_truncation()
         tok.no_padding()
-        _held[path] = Units(lambda units: [e.ids for e in tok.encode_batch_fast(units, add_special_tokens=False)], lead, not lead)
+
+        def encode(units):
+            out = []
+            for a in range(0, len(units), SOME):  # an encoding object is much larger than its ids
+                out += [e.ids for e in tok.encode_batch_fast(units[a:a + SOME], add_special_tokens=False)]
+            return out
+
+        _held[path] = Units(encode, lead, not lead)
     return _held[path]

@@ -155,10 +155,9 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_words bigint, n_tokens bigint")
 
 
-def greedy_count(tokens: set, word: bytes) -> int:
-    """The plain definition, for tests: the longest token at each place, one after another."""
+def greedy_count(tokens: set, word: bytes, longest: int) -> int:
+    """The plain definition, for tests: the longest token (``longest`` symbols at most) at each place, one after another."""
     symbols, at, n = (*word, END), 0, 0
-    longest = max(map(len, tokens))
     while at < len(word):
         end = next((e for e in range(min(len(symbols), at + longest), at, -1) if symbols[at:e] in tokens), None)
         if end is None:
