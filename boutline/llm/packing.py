@@ -19,7 +19,7 @@ from boutline.llm.common import arrow_map, numbered, staged
 from boutline.llm.units import library
 
 LENGTH, GRAIN, TOLERANCE = 4096, 8, 1e-3
-MOST_STEPS = 20_000
+STEPS_EACH = 8  # steps of the program a class at most; what it leaves undone is filled as leftovers
 
 
 def pieces_of(docs: DataFrame, vocabulary: str, end_id: int, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
@@ -72,27 +72,25 @@ def patterns(sizes: np.ndarray, counts: np.ndarray, room: int) -> list[tuple[np.
     if m == 0:
         return []
     columns = [np.eye(m, dtype=np.int64)[i] * (room // sizes[i]) for i in range(m)]
-    basis = np.stack(columns, 1).astype(float)
-    inverse = np.diag(1.0 / np.diag(basis))
-    amount = inverse @ counts
+    inverse = np.diag(1.0 / (room // sizes))
+    amount = counts / (room // sizes)
     least = (sizes @ counts) / room * (1 + TOLERANCE)  # no packing needs less than the sum of the sizes
-    for step in range(MOST_STEPS):
-        prices = np.maximum(inverse.sum(0), 0.0)
-        worth, column = best_pattern(prices, sizes, room)
+    for step in range(STEPS_EACH * m):
+        worth, column = best_pattern(np.maximum(inverse.sum(0), 0.0), sizes, room)
         if worth <= 1 + TOLERANCE or amount.sum() <= least:
             break
-        turn = inverse @ column
+        part = np.flatnonzero(column)
+        turn = (inverse[:, part] * column[part]).sum(1)
         ratio = np.where(turn > 1e-9, amount / np.where(turn > 1e-9, turn, 1), np.inf)
         out = int(ratio.argmin())
         if not np.isfinite(ratio[out]):
             break
+        amount = np.maximum(amount - ratio[out] * turn, 0.0)
+        amount[out] = ratio[out]
         row = inverse[out] / turn[out]
-        inverse -= np.outer(turn, row)
+        inverse -= turn[:, None] * row
         inverse[out] = row
         columns[out] = column
-        if step % 200 == 199:  # errors of the updates do not add up
-            inverse = np.linalg.inv(np.stack(columns, 1).astype(float))
-        amount = np.maximum(inverse @ counts, 0.0)
     left, used = counts.astype(np.int64).copy(), []
     for column, x in sorted(zip(columns, amount), key=lambda c: -c[1]):
         filled = column > 0
