@@ -155,7 +155,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 def keep_known(docs: DataFrame, model: Model, least: float) -> DataFrame:
     """The rows of ``docs``, all columns, whose text has a language with a score of ``least`` or more; if no language was learned, those
     whose text has a letter."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
 
     def run(batch):
         if held.value.langs:
@@ -163,6 +163,6 @@ def keep_known(docs: DataFrame, model: Model, least: float) -> DataFrame:
         else:
             keep = [t is not None and LETTER.search(t) is not None for t in batch.column("text").to_pylist()]
         some = batch.filter(pa.array(keep, pa.bool_()))
-        return {name: some.column(i) for i, name in enumerate(docs.columns)}
+        return {name: some.column(i) for i, name in enumerate(names)}
 
     return arrow_map(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))
