@@ -66,7 +66,7 @@ def command_join(commands: DataFrame, wiki: DataFrame) -> DataFrame:
     ins = commands.select("char", "entry", F.explode(expand_inputs(F.col("key"))).alias("input"))
     rows = wiki.select("char", F.col("input").alias("_w")).distinct()
     plain = ins.join(rows.withColumnRenamed("_w", "input").withColumn("_as_is", F.lit(True)), ["char", "input"], "left")
-    air = rows.filter(F.col("_w").startswith("j.")).select("char", F.substring("_w", 3, 64).alias("input"), F.lit(True).alias("_air")).distinct()
+    air = rows.filter(F.col("_w").startswith("j.")).select("char", F.expr("substring(_w, 3)").alias("input"), F.lit(True).alias("_air")).distinct()
     return plain.join(air, ["char", "input"], "left").select(
         "char", "entry", "input", F.when(F.col("_as_is"), F.col("input")).when(F.col("_air"), F.concat(F.lit("j."), "input")).alias("wiki"))
 

@@ -16,7 +16,7 @@ CUTS = 256
 
 def order_stats(df: DataFrame, keys: list[str], value: str, ranks: dict[str, "Column"]) -> DataFrame:
     """Values at 1-based ranks of each group's non-NULL values; a rank is a column over ``n``, the group size."""
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
     counted = settle(counted)  # read by the sketch, the interval counts and the ranking
     sketch = counted.groupBy(*keys).agg(
         F.sum("_c").alias("n"),

@@ -106,6 +106,12 @@ def tendency(deaths: DataFrame, opponents: DataFrame, frames: DataFrame, window=
                                                  (F.col("_amb") / F.col("total")).alias("ambiguous"))
 
 
+def _only(facts: DataFrame) -> DataFrame:
+    """The one row there must be; none or several is an error of the caller's."""
+    rows = facts.agg(F.collect_list("facts").alias("f"))
+    return rows.select(F.when(F.size("f") == 1, F.get("f", F.lit(0))).otherwise(F.raise_error(F.lit("facts must be one row"))).alias("facts"))
+
+
 def review_deaths(kos, players, inputs, readings, facts, *, fps=60, window=180, pair_frames=6, width=4096) -> DataFrame:
     """Each death of the reviewed player: what was chosen, what it was worth, what was worth most.
 
@@ -123,7 +129,7 @@ def review_deaths(kos, players, inputs, readings, facts, *, fps=60, window=180,
     mine = damage_at(chosen, readings).withColumnRenamed("damage", "my_damage").withColumnRenamed("slot", "me").withColumnRenamed("opp", "slot")
     both = damage_at(mine, readings).withColumnRenamed("damage", "their_damage").withColumnRenamed("slot", "opp").withColumnRenamed("me", "slot")
     key = ["match_id", "slot", "ko_frame", "option", "at_frame", "my_damage", "their_damage"]
-    ctx = both.select(*key).join(F.broadcast(facts.limit(1)), how="cross").select(
+    ctx = both.select(*key).join(F.broadcast(_only(facts)), how="cross").select(
         *key, F.col("facts").alias("mine"), F.col("facts").alias("theirs"))
     ev = expected_values(payoff_cells(ctx), tend.select("match_id", "a", "p"), key, ["match_id"])
     best = ev.groupBy(*key).agg(

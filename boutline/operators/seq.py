@@ -174,8 +174,9 @@ def anchored_runs(df: DataFrame, keys: list[str], position: str, gap: float, wid
     return cut_runs(marked, keys, position, "_q", width, payload, name)
 
 
-def debounce(df: DataFrame, keys: list[str], order: list[str], value: str, hold: int, name: str = "stable") -> DataFrame:
-    """A value counts once it has held ``hold`` rows; until then the last stable value stands, or the key's first."""
+def debounce(df: DataFrame, keys: list[str], order: list[str], value: str, hold: int, name: str = "stable", number: str | None = None) -> DataFrame:
+    """A value counts once it has held ``hold`` rows; until then the last stable value stands, or the key's first.
+    ``number`` names a column for the row's place in its key, from 1."""
     changed = along(df, keys, order, prev={"_pv": F.col(value)}, total={"_n": F.lit(1).cast("long")})
     changed = changed.withColumn("_new", (F.col("_n") == 0) | ~F.col("_pv").eqNullSafe(F.col(value)))
     # row number of the open run's first row
@@ -185,4 +186,5 @@ def debounce(df: DataFrame, keys: list[str], order: list[str], value: str, hold:
     firsts = F.when(F.col("_n") == 0, F.struct(F.col(value).alias("v")))
     out = along(runs, keys, order, known={"_ls": held, "_fv": firsts})
     pick = F.coalesce(held, F.col("_ls"), F.col("_fv"), firsts)
+    out = out.withColumn(number, F.col("_n") + 1) if number else out
     return out.withColumn(name, pick["v"]).drop("_pv", "_new", "_n", "_rs", "_len", "_ls", "_fv")

@@ -5,22 +5,19 @@ import tempfile
 from pyspark.sql import DataFrame
 
 
-def shared_folder(spark) -> str | None:
-    """The folder every executor can reach: the one the session names in ``spark.checkpoint.dir``, on a local
-    session without one a temporary folder, otherwise none."""
+def shared_folder(spark) -> str:
+    """The folder every executor can reach: the one the session names in ``spark.checkpoint.dir``. Where it names none (tests on one
+    machine) a temporary folder is made and set for the session; a cluster must name one."""
     folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None and spark.sparkContext.master.startswith("local"):
+    if folder is None:
         folder = tempfile.mkdtemp(prefix="boutline-")
+        spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """The same rows from a reliable checkpoint, so later branches read them instead of deriving them again.
-    Without a shared folder the plan is left as it is."""
+    """The same rows from a reliable checkpoint, so later branches read them instead of deriving them again."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = shared_folder(df.sparkSession)
-        if folder is None:
-            return df
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

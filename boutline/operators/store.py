@@ -136,10 +136,10 @@ def note_tail(lines: DataFrame, schema: str, order: list[str], n: int = 50) -> D
 def doc_summary(matches: DataFrame, players: DataFrame, kos: DataFrame, inputs: DataFrame, damage: DataFrame) -> DataFrame:
     """What a match page shows, per match."""
     n = inputs.groupBy("match_id").agg(F.count("*").alias("inputs"))
-    k = kos.select("match_id", "slot", "frame").distinct().groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct("frame", "slot"))).alias("kos"))
+    k = kos.select("match_id", "slot", "frame").distinct().groupBy("match_id").agg(F.count("*").cast("int").alias("kos"), F.min("frame").alias("first_ko"))
     d = damage.groupBy("match_id").agg(F.count("*").alias("readings"))
     p = players.groupBy("match_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slot", "display_name"))), lambda x: x["display_name"]), " / ").alias("names"))
     return matches.join(p, "match_id", "left").join(k, "match_id", "left").join(n, "match_id", "left").join(d, "match_id", "left").select(
         "match_id", "patch", (F.col("duration_frames") / F.col("fps")).alias("duration"), (F.col("video_offset_frames") / F.col("fps")).alias("video_offset"), "names",
-        F.coalesce(F.size("kos"), F.lit(0)).alias("kos"), F.get("kos", F.lit(0))["frame"].alias("first_ko"), F.coalesce("inputs", F.lit(0)).alias("inputs"),
+        F.coalesce("kos", F.lit(0)).alias("kos"), "first_ko", F.coalesce("inputs", F.lit(0)).alias("inputs"),
         F.col("readings").isNotNull().alias("has_video"))

@@ -58,7 +58,7 @@ def ocr_lines(words: DataFrame, min_conf: float = 50) -> DataFrame:
     return kept.groupBy("frame").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "line", "text"))), lambda w: w["text"]), "\n").alias("text"))
 
 
-KEEP_TAGS = "h1|h2|h3|h4|h5|h6|p|li|td|th"
+KEEP_TAGS = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "td", "th")
 SKIP_TAGS = ("script", "style", "nav", "footer", "noscript")
 
 
@@ -95,7 +95,7 @@ def page_blocks(pages: DataFrame, key: str, html: str) -> DataFrame:
         def written(text):
             return F.concat(below, F.array(F.struct(top["kind"].alias("kind"), F.concat(top["text"], text).alias("text"))))
 
-        keep, skipped = name.isin(*KEEP_TAGS.split("|")), name.isin(*SKIP_TAGS)
+        keep, skipped = name.isin(*KEEP_TAGS), name.isin(*SKIP_TAGS)
         done = F.btrim(F.regexp_replace(top["text"], r"[\s\u00a0]+", " "))
         return (F.when(skipped, state(skip=F.greatest(F.lit(0), s["skip"] + F.when(closing, -1).otherwise(1))))
                 .when(keep & ~closing, state(stack_=F.concat(stack, F.array(F.struct(name.alias("kind"), F.lit("").alias("text"))))))
@@ -223,7 +223,7 @@ def trial_missions(scripts: DataFrame, key: str, text: str) -> DataFrame:
     kind = (F.when(tokc.startswith("|"), "seq").when(tokc.startswith("CL_"), "skip").when(tokc.startswith("+"), "alt")
             .when(tokc.rlike(r"^\d+$"), "num").when(tokc.startswith("//") | tokc.startswith("-"), "skip").otherwise("tag"))
     return listed.withColumn("kind", kind).filter("kind <> 'skip'").select(
-        key, "mission", "pos", "kind", F.when(F.col("kind").isin("seq", "alt"), F.substring("tok", 2, 4096)).otherwise(tokc).alias("value"))
+        key, "mission", "pos", "kind", F.when(F.col("kind").isin("seq", "alt"), F.expr("substring(tok, 2)")).otherwise(tokc).alias("value"))
 
 
 def trial_routes(missions: DataFrame, key: str) -> DataFrame:

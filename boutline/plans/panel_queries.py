@@ -280,7 +280,6 @@ def _(t):
      UNION ALL SELECT g.segment, g.n, g.t, g.v, CASE WHEN g.v = d.v THEN d.len + 1 ELSE 1 END, CASE WHEN g.v = d.v THEN g.v ELSE d.stable END, d.any_stable OR g.v = d.v FROM d JOIN g ON g.segment = d.segment AND g.n = d.n + 1)
    SELECT segment, n, v, stable FROM d""")
 def _(t):
-    from pyspark.sql import Window
     g = t.samples.select("segment", "t", "seq", F.expr("cast(held div 6 as int)").alias("v"))
-    out = debounce(blocked(g, "t", B), ["segment"], ["t", "seq"], "v", 2)
-    return out.select("segment", F.row_number().over(Window.partitionBy("segment").orderBy("t", "seq")).cast("long").alias("n"), "v", "stable")
+    out = debounce(blocked(g, "t", B), ["segment"], ["t", "seq"], "v", 2, number="n")
+    return out.select("segment", "n", "v", "stable")

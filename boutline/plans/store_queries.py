@@ -67,10 +67,7 @@ def _(t):
 
 
 def fresh_folder(t):
-    base = shared_folder(t.spark)
-    if base is None:
-        raise ValueError("a round trip needs a shared folder: set spark.checkpoint.dir")
-    return f"{base.rstrip('/')}/written-{uuid.uuid4().hex}"
+    return f"{shared_folder(t.spark).rstrip('/')}/written-{uuid.uuid4().hex}"
 
 
 @query("gauge_csv", """SELECT t, max(CASE WHEN slot = 0 THEN CAST(floor(value) AS INTEGER) END) AS gauge_p1, max(CASE WHEN slot = 1 THEN CAST(floor(value) AS INTEGER) END) AS gauge_p2,
@@ -277,7 +274,7 @@ def _(t):
    SELECT char, word, n, "rank"::INTEGER AS "rank" FROM (SELECT *, row_number() OVER (PARTITION BY char ORDER BY n DESC, word) AS "rank" FROM n) WHERE "rank" <= 6""")
 def _(t):
     name = F.col("p_name")
-    state = F.concat(F.lit("Atk"), F.upper(F.left(name, F.lit(1))), F.substring(F.replace(name, F.lit(" "), F.lit("")), 2, 100), F.lit("_"), F.col("p_type"), F.col("p_size").cast("string"))
+    state = F.concat(F.lit("Atk"), F.upper(F.left(name, F.lit(1))), F.expr("substring(replace(p_name, ' ', ''), 2)"), F.lit("_"), F.col("p_type"), F.col("p_size").cast("string"))
     return L.system_words(t.part.select(F.col("p_brand").alias("char"), state.alias("state")))
 
 

@@ -9,7 +9,6 @@ from boutline.plans.log_queries import WASTED_SQL
 from boutline.plans.registry import query
 from boutline.plans.testviews import BUSY_FRAMES, US
 from boutline.streaming import online as S
-from boutline.streaming.watch import watch_table
 
 
 @query("stream_apm", """SELECT user_id, date_trunc('day', ts) AS day, count(*) AS n, round(count(*) / 1440.0::DOUBLE, 9) AS apm FROM events GROUP BY 1, 2""")
@@ -32,17 +31,14 @@ def _(t):
 @query("stream_wasted", f"WITH RECURSIVE {WASTED_SQL} SELECT match_id, slot, frame, seq, action, gap FROM wasted WHERE wasted")
 def _(t):
     return drained(t, S.online_wasted(
-        watch_table(t.spark, t.folder, t.events.schema, pattern="events.parquet").filter("event_type <> 'error'").select(
+        t.spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/{{events.parquet}}").filter("event_type <> 'error'").select(
             F.expr("user_id div 2").alias("match_id"), (F.col("user_id") % 2).cast("int").alias("slot"), F.expr(f"{US} div 600000000").alias("frame"),
             F.col("event_id").alias("seq"), F.col("event_type").alias("action")), BUSY_FRAMES))
 
 
 def drained(t, stream):
     """What a stream yields from the files there are, through a parquet sink in the shared folder."""
-    base = shared_folder(t.spark)
-    if base is None:
-        raise ValueError("a stream needs a shared folder: set spark.checkpoint.dir")
-    out = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    out = f"{shared_folder(t.spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     q = stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start()
     q.awaitTermination()
     return t.spark.read.schema(stream.schema).parquet(f"{out}/rows")

@@ -115,22 +115,35 @@ def test_clock(spark):
     assert one(spark, S.panel_value(F.lit("-46(-1)"))) is None and one(spark, S.panel_value(F.lit("-46(-1)"), signed=True)) == -46
 
 
-@pytest.mark.parametrize("limit", [4096, 1])
-def test_closed_set_refuses_ties_and_scraps(spark, monkeypatch, limit):
-    monkeypatch.setattr(C, "BANK_LIMIT", limit)
+def test_closed_set_refuses_ties_and_scraps(spark):
     roster = spark.createDataFrame([("HULK",), ("DOCTORDOOM",), ("STORM",), ("STERM",)], "key string")
     reads = spark.createDataFrame([("FUL",), ("DOCTORDOOK",), ("STARM",), ("STORM",), ("ZZZZZZ",)], "text string")
     got = {r.text: r.name for r in C.fuzzy_snap(reads, roster).collect()}
     assert got == {"FUL": None, "DOCTORDOOK": "DOCTORDOOM", "STARM": None, "STORM": "STORM", "ZZZZZZ": None}
 
 
-@pytest.mark.parametrize("limit", [4096, 1])
-def test_template_margin_is_between_names(spark, monkeypatch, limit):
-    monkeypatch.setattr(C, "BANK_LIMIT", limit)
+def test_template_margin_is_between_names(spark):
     tpl = spark.createDataFrame([("a", [0.0, 0.0]), ("a", [0.01, 0.0]), ("b", [1.0, 1.0])], "name string, vec array<float>")
     reads = spark.createDataFrame([(1, [0.0, 0.01]), (2, [0.5, 0.5])], "id int, vec array<float>")
     got = {r.id: r.name for r in C.template_match(reads, tpl, key="id", max_dist=0.13, min_margin=0.02).collect()}
     assert got == {1: "a", 2: None}
+    twice = spark.createDataFrame([(1, [0.0, 0.01]), (1, [1.0, 0.99])], "id int, vec array<float>")
+    assert sorted(r.name for r in C.template_match(twice, tpl, key="id", max_dist=0.13, min_margin=0.02).collect()) == ["a", "b"]
+    assert [r.name for r in C.template_match(twice, tpl.limit(0), key="id", max_dist=0.13, min_margin=0.02).collect()] == [None, None]
+
+
+def test_long_tokens_and_inputs_stay_whole(spark):
+    long = "A" * 5000
+    scripts = spark.createDataFrame([(1, f"-MISSION-\n-LIST-\n|{long}\n")], "id int, text string")
+    assert long in {r.value for r in X.trial_missions(scripts, "id", "text").collect()}
+    from boutline.operators.lookup import command_join
+
+    entry = "5" + "L" * 100
+    commands = spark.createDataFrame([("c", 1, entry)], "char string, entry int, key string")
+    wiki = spark.createDataFrame([("c", "j.none")], "char string, input string")
+    given = command_join(commands, wiki).first().input
+    assert len(given) > 64
+    assert command_join(commands, wiki.selectExpr("char", f"'j.{given}' AS input")).first().wiki == f"j.{given}"
 
 
 class Blocks(HTMLParser):
@@ -143,7 +156,7 @@ class Blocks(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag in X.SKIP_TAGS:
             self.hidden += 1
-        elif tag in X.KEEP_TAGS.split("|"):
+        elif tag in X.KEEP_TAGS:
             self.open.append((tag, []))
         elif tag == "br" and self.open:
             self.open[-1][1].append(" ")
