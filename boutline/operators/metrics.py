@@ -74,6 +74,12 @@ def metric_series(metrics: DataFrame, players: DataFrame, key: str) -> DataFrame
         "display_name", "match_id", "slot", "value")
 
 
+def profile_characters(players: DataFrame, me: DataFrame, limit: int = 8) -> DataFrame:
+    """The characters a player is seen with most. ``me`` holds one name."""
+    mine = players.join(F.broadcast(me.select("display_name")), "display_name", "left_semi")
+    return mine.groupBy("character_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "character_id").limit(limit)
+
+
 def profile_rates(metrics: DataFrame, players: DataFrame, me: DataFrame, keys: list[str]) -> DataFrame:
     """Exact medians of rates, the player's against everybody else's. ``me`` holds one name."""
     tagged = metrics.filter(F.col("key").isin(keys)).join(players, ["match_id", "slot"]).join(

@@ -52,6 +52,25 @@ def drill_counts(drills: DataFrame, keep: int = 200) -> DataFrame:
     return n.join(log, "route")
 
 
+def clip_deaths(kos: DataFrame, matches: DataFrame, *, pre=5.0, post=2.0, fps=60) -> DataFrame:
+    """Where to cut the recording for each death: ``pre`` seconds before, less at its very start, and ``post`` after."""
+    offset = F.col("video_offset_frames") / fps
+    want = F.col("frame") / fps + offset - pre
+    return kos.select("match_id", "slot", "frame").distinct().join(matches.select("match_id", "video_offset_frames", "duration_frames"), "match_id").select(
+        "match_id", "slot", "frame", F.greatest(F.lit(0.0), want).alias("start"), (pre + post + F.least(F.lit(0.0), want)).alias("duration"),
+        (F.greatest(F.lit(0.0), want) > F.col("duration_frames") / fps + offset).alias("past_end"))
+
+
+def recent_awards(awards: DataFrame, keep: int = 500) -> DataFrame:
+    """The last ``keep`` paid awards of each user, found through each day's last ones. ``awards(user, event, ref, t, seq)``."""
+    paid = awards.withColumn("xp", award_points(F.col("event"))).filter("xp is not null").withColumn("key", award_key(F.col("event"), F.col("ref"), F.col("t"), F.col("seq")))
+    once = paid.groupBy("user", "event", "key", "xp").agg(F.min(F.struct("t", "seq")).alias("_at"))
+    order = F.desc("_at")
+    day = once.withColumn("_r", F.row_number().over(Window.partitionBy("user", F.to_date("_at.t")).orderBy(order))).filter(F.col("_r") <= keep)
+    last = day.withColumn("rank", F.row_number().over(Window.partitionBy("user").orderBy(order))).filter(F.col("rank") <= keep)
+    return last.select("user", "rank", "event", "xp", F.col("_at.seq").alias("seq"))
+
+
 def clip_plan(clusters: DataFrame, matches: DataFrame, inputs: DataFrame, *, pre=4.0, post=3.0, min_severity=2, limit=8, fps=60) -> DataFrame:
     """Where to cut the recording for the strongest moments of each match."""
     from boutline.operators.moments import top_moments

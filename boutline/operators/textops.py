@@ -25,6 +25,12 @@ def combo_lines(posts: DataFrame, key: str, text: str) -> DataFrame:
     return parse_combos(lines, "line", only_lines=True).select(key, "pos", F.btrim("line").alias("line"), "steps", "confidence")
 
 
+def best_lines(lines: DataFrame, key: str) -> DataFrame:
+    """The combo lines of a text (``combo_lines``), best first: by confidence, then steps, then place."""
+    best = Window.partitionBy(key).orderBy(F.desc("confidence"), F.size("steps").desc(), "pos")  # lines of one text
+    return lines.withColumn("rank", F.row_number().over(best))
+
+
 def transcript_segments(files: DataFrame, key: str, text: str) -> DataFrame:
     """(key, pos, t, text) from subtitle blocks or a pasted panel, whichever the file holds."""
     arrows = files.filter(F.col(text).contains("-->"))

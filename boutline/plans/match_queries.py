@@ -72,6 +72,11 @@ def _(t):
     return MT.metric_series(metrics_of(t), t.players, "apm").withColumn("value", F.round("value", 6))
 
 
+@query("profile_characters", f"""WITH {ME_SQL} SELECT character_id, count(*) AS n FROM v_players WHERE display_name IN (SELECT display_name FROM me) GROUP BY 1 ORDER BY n DESC, character_id LIMIT 8""")
+def _(t):
+    return MT.profile_characters(t.players, me_of(t))
+
+
 @query("profile_report", f"""WITH {METRICS_SQL}, {ME_SQL},
   x AS (SELECT key, value, display_name IN (SELECT display_name FROM me) AS mine FROM metrics JOIN v_players USING (match_id, slot)
     WHERE key IN ('apm', 'attack_pm', 'movement_pm', 'utility_pm', 'n_click', 'n_view')),

@@ -245,6 +245,22 @@ def _(t):
     return c.select("match_id", "slot", "kind", "frame", "severity", "rank", *[F.round(x, 6).alias(x) for x in ("start", "pre", "duration")], "past_end", "presses")
 
 
+@query("clip_deaths", """WITH k AS (SELECT DISTINCT k.match_id, k.slot, k.frame, frame / 60.0::DOUBLE + (video_offset_frames - 1000) / 60.0::DOUBLE - 5.0 AS want, duration_frames / 60.0::DOUBLE + (video_offset_frames - 1000) / 60.0::DOUBLE AS ends FROM v_kos k JOIN v_matches USING (match_id))
+   SELECT match_id, slot, frame, round(greatest(0.0, want), 6) AS start, round(7.0 + least(0.0, want), 6) AS duration, greatest(0.0, want) > ends AS past_end FROM k""")
+def _(t):
+    c = PR.clip_deaths(t.kos, t.matches.withColumn("video_offset_frames", F.col("video_offset_frames") - 1000))
+    return c.withColumns({x: F.round(x, 6) for x in ("start", "duration")})
+
+
+@query("recent_awards", f"""WITH a AS (SELECT user_id, {CASE_EVENT} AS event, CAST(event_id % 4 AS VARCHAR) AS ref, CAST(ts AS DATE) AS d, ts, event_id FROM events),
+   k AS (SELECT user_id, event, CASE WHEN event IN ('drill_logged', 'matchup_answered') THEN CAST(event_id AS VARCHAR) WHEN event = 'team_saved' THEN ref || d ELSE ref END AS key, ts, event_id FROM a),
+   p AS (SELECT user_id, event, key, min(ts) AS ts, arg_min(event_id, (ts, event_id)) AS seq FROM k GROUP BY 1, 2, 3)
+   SELECT "user", "rank", event, CASE event WHEN 'team_saved' THEN 25 WHEN 'card_viewed' THEN 3 WHEN 'mode_open' THEN 15 WHEN 'drill_logged' THEN 10 ELSE 4 END AS xp, seq
+   FROM (SELECT user_id AS "user", event, seq, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, seq DESC) AS INTEGER) AS "rank" FROM p) WHERE "rank" <= 5""")
+def _(t):
+    return PR.recent_awards(awards_of(t), keep=5)
+
+
 @query("matchup", """WITH pr AS (SELECT DISTINCT 'Brand#' || (a.character_id + 1) AS them, 'Brand#' || (b.character_id + 1) AS you FROM v_players a JOIN v_players b ON a.match_id = b.match_id AND a.slot = 0 AND b.slot = 1)
    SELECT them, x.input AS move, you, y.input, y.startup, y.damage, -x.on_block - y.startup AS spare, CASE WHEN y.type = 'tokon' THEN 150 WHEN y.type = 'super' AND contains(y.input, '632146') THEN 100 WHEN y.type = 'super' THEN 50 ELSE 0 END AS cost,
      CASE WHEN x.reach - y.reach <= 0 THEN 'reaches' WHEN x.reach - y.reach <= 60 THEN 'close' WHEN x.reach - y.reach IS NOT NULL THEN 'may not reach' END AS verdict,

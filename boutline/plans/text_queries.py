@@ -58,6 +58,14 @@ def _(t):
     return X.combo_lines(posts, "id", "text").select("id", "pos", F.array_join("steps", " ").alias("steps"), "line")
 
 
+@query("best_lines", f"""WITH {COMBO_SQL}, {parse_sql('texts')}, c AS (SELECT id // 8 AS post, id, steps, round_even(recognised / candidates::DOUBLE, 2) AS confidence, text AS line FROM parsed JOIN texts USING (id)
+   WHERE len(string_split(steps, ' ')) >= 3 AND candidates > 0)
+   SELECT post, line, CAST(row_number() OVER (PARTITION BY post ORDER BY confidence DESC, len(string_split(steps, ' ')) DESC, id) AS INTEGER) AS "rank" FROM c WHERE confidence >= 0.5""")
+def _(t):
+    lines = X.parse_combos(combo_texts(t).withColumnRenamed("l_orderkey", "pos"), "text", only_lines=True)
+    return X.best_lines(lines.withColumn("post", F.expr("pos div 8")), "post").select("post", F.col("text").alias("line"), "rank")
+
+
 SOURCES_SQL = f"""{COMBO_SQL}, {parse_sql('texts')}, so AS (SELECT o_custkey AS source, o_orderkey AS t, steps, o_orderkey % 2 AS k FROM parsed JOIN orders ON o_orderkey = id WHERE len(string_split(steps, ' ')) >= 3),
    sc AS (SELECT source, steps, arg_min(t, (k, t)) AS t, CASE min(k) WHEN 0 THEN 'screen' ELSE 'speech' END AS "from" FROM so GROUP BY 1, 2)"""
 
