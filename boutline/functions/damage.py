@@ -3,8 +3,11 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# fixed values: colour thresholds and ramp weights
 FRESH_SAT = 0.22      # below this the arc is white
 FRESH_ESTIMATE = 0.12
+WARM_SAT, WARM_VAL, WARM_TO, WARM_FROM = 0.40, 0.45, 70.0, 335.0
+SAT_WEIGHT, SAT_FULL, HUE_WEIGHT, HUE_ZERO = 0.35, 0.85, 0.65, 60.0
 
 
 def hsv(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
@@ -20,7 +23,7 @@ def hsv(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
 
 
 def is_warm(hue: Column, sat: Column, val: Column) -> Column:
-    return (sat > 0.40) & (val > 0.45) & ((hue <= 70.0) | (hue >= 335.0))
+    return (sat > WARM_SAT) & (val > WARM_VAL) & ((hue <= WARM_TO) | (hue >= WARM_FROM))
 
 
 def signed_hue(hue: Column) -> Column:
@@ -34,5 +37,5 @@ def unit(x: Column) -> Column:
 
 def ramp(hue: Column, sat: Column) -> Column:
     """Damage 0..1 from signed hue and saturation; white or unknown hue is zero."""
-    warm = unit(0.35 * F.least(F.lit(1.0), sat / 0.85) + 0.65 * unit((60.0 - hue) / 60.0))
+    warm = unit(SAT_WEIGHT * F.least(F.lit(1.0), sat / SAT_FULL) + HUE_WEIGHT * unit((HUE_ZERO - hue) / HUE_ZERO))
     return F.when(hue.isNull() | (sat < FRESH_SAT), F.lit(0.0)).otherwise(warm)

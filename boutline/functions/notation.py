@@ -27,6 +27,7 @@ SLIPS = (
 HUD_WORDS = ("magik", "hits", "hit", "good", "great", "perfect", "punish", "leader", "p1", "p2", "damage", "combo", "highest", "counter")
 HINT = r"(?i)(?<![A-Za-z0-9])(?:j\.)?[1-9]{0,6}[LMHU](?![A-Za-z])|(?<![A-Za-z])(?:236|214|623|22|41236|63214)|>|xx"
 
+# fixed values: how a text shows which buttons it names
 LETTERS_SEEN = r"(^|[^A-Za-z])[1-9]?[BCD]([^A-Za-z]|$)"
 BUTTONS_SEEN = r"(^|[^A-Za-z])[1-9]?j?\.?[LMHU]([^A-Za-z]|$)"
 
@@ -119,14 +120,18 @@ def keep_text(joined: Column) -> tuple[Column, Column, Column]:
     return (F.size(real) >= 3) | hint, F.size(real), hint
 
 
+# fixed values: the two token forms of a trial script, the letters of its buttons, and a command-list input
+NORMAL_TOKEN = r"^NmlAtk(AIR)?(\d?)([A-E])(\w*)$"
+SPECIAL_TOKEN = r"^(Special|Ultimate|Super)Skill(Air)?(\d+)([A-E])(\w*)$"
+TRIAL_LETTERS = (("E", "M+H"), ("A", "L"), ("B", "M"), ("C", "H"), ("D", "U"))
+COMMAND_INPUT = r"^(\d*)\s*([LMHUA](?:\+[LMHUA])?|QS|QA|T|QD)?"
 TRIAL_JUMPS = ("CmnVJump", "CmnBJump", "CmnFJump", "CmnVHighJump", "CmnBHighJump", "CmnFHighJump", "CmnHomingJump", "CmnAirJump")  # fixed values
 TRIAL_ATTACKS = ("NmlAtk", "SpecialSkill", "UltimateSkill", "SuperSkill", "Shot_")  # fixed values
 
 
 def display_move(token: Column) -> Column:
     """A trial token in display notation; unknown tokens stand as they are."""
-    normal = r"^NmlAtk(AIR)?(\d?)([A-E])(\w*)$"
-    special = r"^(Special|Ultimate|Super)Skill(Air)?(\d+)([A-E])(\w*)$"
+    normal, special = NORMAL_TOKEN, SPECIAL_TOKEN
 
     def tail(rx, i):
         rest = F.regexp_extract(token, rx, i)
@@ -146,7 +151,7 @@ def display_move(token: Column) -> Column:
 
 def wiki_letters(text: Column) -> Column:
     """Trial letters A-E to inputs."""
-    for old, new in (("E", "M+H"), ("A", "L"), ("B", "M"), ("C", "H"), ("D", "U")):
+    for old, new in TRIAL_LETTERS:
         text = F.replace(text, F.lit(old), F.lit(new))
     return text
 
@@ -171,7 +176,7 @@ def wiki_step(step: Column) -> Column:
 def expand_inputs(key: Column) -> Column:
     """Wiki inputs a command-list key covers; later alternatives inherit the prefix of the inputs so far."""
     k = F.regexp_replace(F.btrim(F.split_part(key, F.lit("("), F.lit(1))), r" ?\+ ?", "+")
-    rx = r"^(\d*)\s*([LMHUA](?:\+[LMHUA])?|QS|QA|T|QD)?"
+    rx = COMMAND_INPUT
     empty = F.array().cast("array<string>")
 
     def add(acc, alt):

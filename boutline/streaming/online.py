@@ -65,8 +65,20 @@ def _batch_sessions(events: DataFrame, keys: list[str], gap: str) -> DataFrame:
         F.min("ts").alias("start"), (F.max("ts") + pause).cast(stamp).alias("end"), F.sum("n").alias("n")).select(*keys, "start", "end", "n")
 
 
-def awards(stream: DataFrame, late: str = "1 day") -> DataFrame:
-    """Awards paid once per key while the watermark remembers it. ``stream(user, event, ref, t, seq)``."""
-    paid = stream.withColumn("xp", award_points(F.col("event"))).filter("xp is not null").withColumn(
-        "key", award_key(F.col("event"), F.col("ref"), F.col("t"), F.col("seq")))
-    return paid.withWatermark("t", late).dropDuplicates(["user", "key"]).select("user", "key", "event", "xp", "t")
+def keyed_awards(rows: DataFrame) -> DataFrame:
+    """``user, key, event, xp, t, seq`` of rows that earn something. ``rows(user, event, ref, t, seq)``."""
+    return rows.withColumn("xp", award_points(F.col("event"))).filter("xp is not null").select(
+        "user", award_key(F.col("event"), F.col("ref"), F.col("t"), F.col("seq")).alias("key"), "event", "xp", "t", "seq")
+
+
+def pay_awards(stream: DataFrame, folder: str, log: str, **trigger):
+    """Starts a query that pays each (user, key) once, however late it comes: what was paid is a table in ``folder``, and a batch adds
+    what it lacks, so no state grows in memory and a batch that runs twice pays nothing twice."""
+
+    def pay(batch: DataFrame, _: int) -> None:
+        first = keyed_awards(batch).groupBy("user", "key").agg(F.min(F.struct("t", "seq", "event", "xp")).alias("_f")).select("user", "key", "_f.event", "_f.xp", "_f.t", "_f.seq")
+        paid = batch.sparkSession.read.schema(first.schema).parquet(folder).select("user", "key")
+        first.join(paid, ["user", "key"], "left_anti").write.mode("append").parquet(folder)
+
+    keyed_awards(stream.sparkSession.createDataFrame([], stream.schema)).select("user", "key", "event", "xp", "t", "seq").write.mode("append").parquet(folder)
+    return stream.writeStream.foreachBatch(pay).option("checkpointLocation", log).trigger(**(trigger or {"availableNow": True})).start()

@@ -138,7 +138,7 @@ def test_long_tokens_and_inputs_stay_whole(spark):
     assert long in {r.value for r in X.trial_missions(scripts, "id", "text").collect()}
     from boutline.operators.lookup import command_join
 
-    entry = "5" + "L" * 100
+    entry = "2" * 100 + "L"
     commands = spark.createDataFrame([("c", 1, entry)], "char string, entry int, key string")
     wiki = spark.createDataFrame([("c", "j.none")], "char string, input string")
     given = command_join(commands, wiki).first().input

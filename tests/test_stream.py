@@ -82,8 +82,14 @@ def test_awards_pay_once(spark, tmp_path):
              (1, "team_saved", None, "2024-01-02 10:00:00", 4), (1, "drill_logged", None, "2024-01-01 10:00:00", 5), (1, "drill_logged", None, "2024-01-01 10:00:01", 6), (1, "unknown", None, "2024-01-01 10:00:00", 7)]
     df = spark.createDataFrame(rows_, "user long, event string, ref string, t string, seq long").withColumn("t", F.to_timestamp("t"))
     df.coalesce(1).write.parquet(f"{tmp_path}/aw")
-    got = drain(S.awards(W.watch_table(spark, f"{tmp_path}/aw", df.schema)), tmp_path, "paid")
-    assert got.agg(F.sum("xp")).first()[0] == 3 + 25 + 25 + 10 + 10
+    for late in (None, "2023-06-01 10:00:00"):  # an award that comes half a year late, and one of a key that was paid
+        if late:
+            spark.createDataFrame([(1, "card_viewed", "x", late, 8), (1, "mode_open", "m", late, 9)], "user long, event string, ref string, t string, seq long").withColumn(
+                "t", F.to_timestamp("t")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/aw")
+        S.pay_awards(W.watch_table(spark, f"{tmp_path}/aw", df.schema), f"{tmp_path}/paid", f"{tmp_path}/log").awaitTermination()
+        got = spark.read.parquet(f"{tmp_path}/paid")
+        assert got.agg(F.sum("xp")).first()[0] == 3 + 25 + 25 + 10 + 10 + (15 if late else 0)
+        assert got.select("user", "key").distinct().count() == got.count()
 
 
 def test_windowed_activity_streams_as_it_batches(spark, tmp_path):
