@@ -24,11 +24,15 @@ from boutline.llm.common import arrow_map
 ORDERS, SLOTS_EACH, BITS = (3, 5), 3, 20
 LEAST, NEAR, PER_LANG = 3, 0.5, 4000
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = re.compile(r"[^\W\d_]")  # letters, and a few other signs
 PLAIN = np.arange(256, dtype=np.uint8)
 PLAIN[[b for b in range(128) if not chr(b).isalpha()]] = 32
 
 
+def lettered(text: str | None) -> bool:
+    return text is not None and any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 def grams(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams of all texts as 64-bit hashes, and the text of each. Windows without a letter, or over two spaces in a row, do not count."""
     space, none = (pa.scalar(x, pa.large_string()) for x in (" ", ""))
@@ -83,8 +87,8 @@ class Model:
         total, counts = self.counts(texts)
         best = counts.argmax(1)
         score = np.minimum(1.0, counts[np.arange(len(best)), best] / np.maximum(total, 1))
-        lettered = [t is not None and LETTER.search(t) is not None for t in texts.to_pylist()]
-        return [self.langs[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), lettered)], np.where(lettered, score, 0.0).tolist()
+        told = [lettered(t) for t in texts.to_pylist()]
+        return [self.langs[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), told)], np.where(told, score, 0.0).tolist()
 
 
 def fit(docs: DataFrame, use: Column, per_lang: int = PER_LANG) -> Model:
@@ -161,7 +165,7 @@ def keep_known(docs: DataFrame, model: Model, least: float) -> DataFrame:
         if held.value.langs:
             keep = [name != UNKNOWN and s >= least for name, s in zip(*held.value.predict(batch.column("text")))]
         else:
-            keep = [t is not None and LETTER.search(t) is not None for t in batch.column("text").to_pylist()]
+            keep = [lettered(t) for t in batch.column("text").to_pylist()]
         some = batch.filter(pa.array(keep, pa.bool_()))
         return {name: some.column(i) for i, name in enumerate(names)}
 

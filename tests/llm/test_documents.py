@@ -77,6 +77,11 @@ def test_language(spark, odd, real, none):
     assert 2 not in {r.doc_id for r in langid.keep_known(odd, empty, 0.25).collect()}
 
 
+@pytest.mark.parametrize("text,want", [(None, False), ("", False), ("12 ½ ² _!", False), ("½a", True), ("日", True)])
+def test_letters(text, want):
+    assert langid.lettered(text) == want
+
+
 def test_language_masks_match_sets(real):
     """The filters answer for every n-gram put in, and seldom for others."""
     rng = np.random.default_rng(5)
