@@ -7,7 +7,8 @@ neighbours only, so equal substrings are cut alike inside wherever they stand. A
 names are the symbols of the next level.
 
 The fingerprint is a signature of SLOTS minimum hashes over a text's phrase names at LEVELS (about ten and thirty bytes long, the
-repeats of a name counted as names of their own), and over the last name of a text that is shorter. The share of equal slots estimates how many names two texts have in common."""
+repeats of a name counted as names of their own), and over the names or bytes at a lower level of a text that has FEW or less
+of them there. The share of equal slots estimates how many names two texts have in common."""
 
 import hashlib
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from boutline.llm.bytesops import BYTE_VALUE, mix, text_bytes
 from boutline.llm.common import numbered, pieces
 
-ROUNDS, LEVELS, SLOTS = 3, (2, 3), 64
+ROUNDS, LEVELS, SLOTS, FEW = 3, (2, 3), 64, 16
 FACTORS = np.random.default_rng(41).integers(1, 2**63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 EMPTY = "-" * (4 * SLOTS)
 BUCKETS_EACH = 4
@@ -61,14 +62,11 @@ def signatures(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     out = np.full((rows, SLOTS), -1, np.int32)
     symbol, text = BYTE_VALUE[raw], np.repeat(np.arange(rows), np.diff(bounds))
     kept = []
-    for level in range(1, max(LEVELS) + 1):
-        symbol, text = phrases(symbol, text)
-        if level in LEVELS:
-            kept.append((text, symbol + np.uint64(level)))
-        else:
-            size = np.bincount(text, minlength=rows)
-            alone = size[text] == 1
-            kept.append((text[alone], symbol[alone]))
+    for level in range(max(LEVELS) + 1):
+        if level:
+            symbol, text = phrases(symbol, text)
+        few = slice(None) if level in LEVELS else (np.bincount(text, minlength=rows) <= FEW)[text]
+        kept.append((text[few], symbol[few] + np.uint64(level)))
     text, name = (np.concatenate([k[i] for k in kept]) for i in (0, 1))
     if not len(text):
         return out
