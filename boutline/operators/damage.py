@@ -5,23 +5,17 @@ from pyspark.sql import functions as F
 
 from boutline.functions.damage import FRESH_SAT
 from boutline.operators import timejoin
+from boutline.operators.quantiles import order_stats
 from boutline.operators.seq import cut_runs
 
 
 def arc_reading(pixels: DataFrame, key: str) -> DataFrame:
-    """Upper medians of hue, saturation and value over the pixels of one reading that belong to the arc.
-
-    ``percentile_disc`` is a partial aggregate over distinct values, so a large picture is reduced map-side.
-    An upper median is the discrete percentile of the mirrored order.
-    """
+    """Upper medians of hue, saturation and value over the pixels of one reading that belong to the arc, exact for readings of any size."""
     white = (F.col("sat") < FRESH_SAT) & (F.col("val") > 0.70)
-    kept = pixels.filter(F.col("warm") | white)
-
-    def middle(c):
-        return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {c} DESC)")
-
-    read = kept.withColumn("_h", F.when(F.col("warm"), F.col("signed"))).groupBy(key).agg(
-        middle("_h").alias("hue"), middle("sat").alias("sat"), middle("val").alias("val"))
+    kept = pixels.filter(F.col("warm") | white).select(key, F.when(F.col("warm"), F.col("signed")).cast("double").alias("hue"), F.col("sat").cast("double"), F.col("val").cast("double"))
+    long = kept.select(key, F.expr("stack(3, 'hue', hue, 'sat', sat, 'val', val) AS (_name, _value)"))
+    middle = order_stats(long, [key, "_name"], "_value", {"_m": F.floor(F.col("n") / 2) + 1})
+    read = middle.groupBy(key).agg(*[F.max(F.when(F.col("_name") == c, F.col("_m"))).alias(c) for c in ("hue", "sat", "val")])
     zero = F.lit(0.0)
     return pixels.select(key).distinct().join(read, key, "left").select(
         key, "hue", F.coalesce("sat", zero).alias("sat"), F.coalesce("val", zero).alias("val"))
