@@ -19,9 +19,15 @@ from boutline.plans.testviews import FRAME_BLOCK
 from boutline.sources.files import read_documents, read_gauge, scan_files, write_documents, write_gauge
 
 
-@query("src_scan")
+@query("src_scan", """SELECT source, sum(strlen(replace(coalesce(text, ''), chr(10), ' ')) + 1)::BIGINT AS bytes, count(*) AS lines, sum(length(replace(coalesce(text, ''), chr(10), ' ')))::BIGINT AS chars FROM documents GROUP BY 1""")
 def _(t):
-    return scan_files(t.spark, t.folder, "*.parquet").select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "length")
+    """The documents' lines written as text files by source, found again by folder and name and read as whole files."""
+    folder = fresh_folder(t)
+    line = F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" "))
+    t.spark.read.parquet(f"{t.folder}/documents.parquet").select("source", line.alias("value")).write.partitionBy("source").text(folder)
+    files = scan_files(t.spark, folder, "*.txt").select(F.regexp_extract("path", "source=([^/]+)/", 1).alias("source"), "length", F.decode("content", "UTF-8").alias("body"))
+    marks = F.length("body") - F.length(F.replace("body", F.lit("\n"), F.lit("")))
+    return files.groupBy("source").agg(F.sum("length").alias("bytes"), F.sum(marks).alias("lines"), F.sum(F.length("body") - marks).alias("chars"))
 
 
 @query("ingest_new", """SELECT DISTINCT 'bh_' || substr(sha256(text), 1, 16) AS id FROM documents WHERE 'bh_' || substr(sha256(text), 1, 16) NOT IN (SELECT 'bh_' || substr(sha256(text), 1, 16) FROM documents WHERE lang = 'fr')""")

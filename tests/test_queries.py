@@ -31,4 +31,4 @@ def test_registry_is_consistent():
 
 
 def test_most_queries_are_checked_by_sql():
-    assert set(registry.QUERIES) - set(registry.ORACLES) == {"page_blocks", "tier_list", "page_sections", "src_scan"}
+    assert set(registry.QUERIES) - set(registry.ORACLES) == {"page_blocks", "tier_list", "page_sections"}
