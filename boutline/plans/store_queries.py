@@ -92,6 +92,32 @@ def _(t):
     return ST.index_rows(documents_of(t))["metrics"].withColumn("value", F.round("value", 6))
 
 
+@query("index_matches", "SELECT match_id, patch, duration_frames, fps FROM v_matches")
+def _(t):
+    return ST.index_rows(documents_of(t))["matches"].select("match_id", "patch", "duration_frames", "fps")
+
+
+@query("index_players", "SELECT match_id, slot, display_name, character_id FROM v_players JOIN v_matches USING (match_id)")
+def _(t):
+    return ST.index_rows(documents_of(t))["players"].select("match_id", "slot", "display_name", "character_id")
+
+
+@query("index_moments", f"WITH RECURSIVE {CLUSTERS_SQL} SELECT match_id, slot, kind, frame, severity FROM clusters JOIN v_matches USING (match_id)")
+def _(t):
+    return ST.index_rows(documents_of(t))["moments"].select("match_id", "slot", "kind", "frame", "severity")
+
+
+@query("index_children", """WITH n AS (SELECT match_id, slot, display_name FROM v_players JOIN v_matches USING (match_id) WHERE has_video),
+   o AS (SELECT match_id, slot + 2 AS slot, 'old' AS display_name FROM v_players JOIN v_matches USING (match_id) WHERE level_id > 10)
+   SELECT * FROM n UNION ALL SELECT * FROM o WHERE match_id NOT IN (SELECT match_id FROM v_matches WHERE has_video)""")
+def _(t):
+    """A match that comes in again takes all its stored children with it, also those the new one lacks."""
+    new = t.matches.filter("has_video").select("match_id")
+    found = t.players.join(new, "match_id").select("match_id", "slot", "display_name")
+    stored = t.players.join(t.matches.filter("level_id > 10").select("match_id"), "match_id").select("match_id", (F.col("slot") + 2).alias("slot"), F.lit("old").alias("display_name"))
+    return ST.replace_slices(stored, found, new, "match_id")
+
+
 @query("index_upsert", """WITH n AS (SELECT match_id, patch, duration_frames FROM v_matches WHERE has_video), o AS (SELECT match_id, 'old' AS patch, 0::BIGINT AS duration_frames FROM v_matches WHERE level_id > 10)
    SELECT coalesce(n.match_id, o.match_id) AS match_id, coalesce(n.patch, o.patch) AS patch, coalesce(n.duration_frames, o.duration_frames) AS duration_frames FROM n FULL JOIN o ON n.match_id = o.match_id""")
 def _(t):
