@@ -3,8 +3,8 @@
 A document is its set of distinct word shingles; documents with equal sets are one node. Every node has MINS minwise tokens. In each of TREES
 independent trees a node follows one or two paths: a path is extended by the minwise token at a coordinate that the path itself
 chooses (two coordinates with chance 1/4, so that two sets with similarity 0.8 share one path a level in the mean). Groups of nodes
-on one path that are larger than LEAF branch again, up to LEVELS deep, unless DENSE of them resemble their smallest member, since
-branching does not part a group of near copies; smaller ones are compared exhaustively, first by a 128-bit sketch of the minwise
+on one path that are larger than LEAF branch again, up to LEVELS deep; from level DENSE_FROM on they do not if DENSE of them resemble
+their smallest member, since branching does not part a group of near copies; smaller ones are compared exhaustively, first by a 128-bit sketch of the minwise
 tokens, then on full sets. Two sets of similarity 0.8 miss each other in all trees with a chance of about
 1e-4 if their groups branch three times, 1e-8 if they do not branch.
 
@@ -25,7 +25,8 @@ from boutline.llm.bytesops import LOWER, mix, segment_hashes, text_bytes, words
 from boutline.llm.common import arrow_map, pieces, skew_join, staged
 
 SHINGLE, PERCENT = 5, 80
-TREES, LEVELS, MINS, LEAF, BLOCK, DENSE = 10, 6, 64, 200, 256, 0.75
+TREES, LEVELS, MINS, LEAF, BLOCK = 10, 6, 64, 200, 256
+DENSE, DENSE_FROM = 0.75, 4
 ALIKE = 40  # of 64 two-bit tokens; expected 54 at similarity 0.8, 20 for strangers
 _rng = np.random.default_rng(77)
 MULTIPLY = _rng.integers(1, 2**31, MINS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -201,7 +202,7 @@ def descend(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
             break
         pairs.append(large.filter((F.col("pn") != F.col("node")) & (alike() >= ALIKE)).select(F.col("pn").alias("a"), F.col("node").alias("b")))
         shares = staged(large.groupBy("path", "_n").agg(F.avg((alike() >= ALIKE).cast("int")).alias("share")), "shares")
-        dense = (F.col("share") >= DENSE) | F.lit(level == LEVELS)
+        dense = (F.col("share") >= DENSE) & F.lit(level >= DENSE_FROM) | F.lit(level == LEVELS)
         large = large.drop("_n")
         members.append(skew_join(large, shares.filter(dense), "path", total).select("path", "node"))
         if level < LEVELS:
