@@ -1,12 +1,14 @@
 """Near duplicates by a chosen-path set similarity join.
 
-A document is its set of distinct word shingles; documents with equal sets are one node. Every node has MINS minwise tokens. In each of TREES
-independent trees a node follows one or two paths: a path is extended by the minwise token at a coordinate that the path itself
-chooses (two coordinates with chance 1/4, so that two sets with similarity 0.8 share one path a level in the mean). Groups of nodes
-on one path that are larger than LEAF branch again, up to LEVELS deep; from level DENSE_FROM on they do not if DENSE of them resemble
-their smallest member, since branching does not part a group of near copies; smaller ones are compared exhaustively, first by a 128-bit sketch of the minwise
-tokens, then on full sets. Two sets of similarity 0.8 miss each other in all trees with a chance of about
-1e-4 if their groups branch three times, 1e-8 if they do not branch.
+A document is its set of distinct word shingles; documents with equal sets are one node. Every node has MINS minwise tokens, and MORE
+further ones of eight bits. In each of TREES independent trees a node follows one or two paths: a path is extended by the minwise token of
+its tree and level (of two tokens with chance 1/4, so that two sets with similarity 0.8 share one path a level in the mean); no two trees or
+levels look at the same token. Groups of nodes on one path that are larger than LEAF branch again, up to LEVELS deep; from level DENSE_FROM on
+they do not if DENSE of them resemble their smallest member, since branching does not part a group of near copies; smaller ones are compared
+exhaustively, first by a 128-bit sketch of the minwise tokens, then on full sets. Nodes that branch more than SHALLOW times in any tree walk
+DEEP_TREES further trees among themselves. So a pair that is missed either parted within SHALLOW levels in each of TREES trees, or in
+each of TREES + DEEP_TREES trees; at similarity 0.8 each has a chance of about 1e-4 at most, whatever the depth (1e-8 where groups do not
+branch); tests hold the tokens against this.
 
 What matters is which documents are connected, so a group need not list its pairs: (1) each leaf proposes a maximum spanning
 forest of its sketch-alike pairs, each larger group pairs of its members with its smallest; all are confirmed on full sets, and links are joined to
@@ -27,6 +29,8 @@ from boutline.llm.common import arrow_map, pieces, skew_join, staged
 SHINGLE, PERCENT = 5, 80
 TREES, LEVELS, MINS, LEAF, BLOCK = 10, 6, 64, 200, 256
 DENSE, DENSE_FROM = 0.75, 4
+SHALLOW, DEEP_TREES = 3, 10
+MORE = 2 * (TREES * (LEVELS - SHALLOW) + DEEP_TREES * LEVELS)
 ALIKE = 40  # of 64 two-bit tokens; expected 54 at similarity 0.8, 20 for strangers
 _rng = np.random.default_rng(77)
 MULTIPLY = _rng.integers(1, 2**31, MINS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -34,6 +38,8 @@ SHIFT = _rng.integers(0, 2**32, MINS, dtype=np.uint32)
 PLACE = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 PAIRS = np.uint64(0x5555555555555555)
 EDGE_BLOCK = 200
+MULTIPLY_MORE = _rng.integers(1, 2**31, MORE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+SHIFT_MORE = _rng.integers(0, 2**32, MORE, dtype=np.uint32)
 
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -56,15 +62,20 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     return out
 
 
-def minwise(items: np.ndarray) -> np.ndarray:
-    """MINS minimum hashes of a set (32 bits each)."""
+def minwise(items: np.ndarray, multiply: np.ndarray = MULTIPLY, shift: np.ndarray = SHIFT) -> np.ndarray:
+    """A minimum hash of a set (32 bits) for each of ``multiply``."""
     x = (items >> np.uint64(32)).astype(np.uint32)
-    out = np.full(MINS, 2**32 - 1, np.uint32)
-    for a in range(0, len(x), 4096):
-        np.minimum(out, (MULTIPLY[:, None] * x[None, a:a + 4096] + SHIFT[:, None]).min(1), out=out)
+    out = np.full(len(multiply), 2**32 - 1, np.uint32)
+    for a in range(0, len(x), 1024):
+        np.minimum(out, (multiply[:, None] * x[None, a:a + 1024] + shift[:, None]).min(1), out=out)
     return out
 
 
+def short_tokens(items: np.ndarray) -> np.ndarray:
+    """MORE minwise tokens of eight bits, four in a word: a chance match of two of them adds a path to look at, and loses none."""
+    return (mix(minwise(items, MULTIPLY_MORE, SHIFT_MORE).astype(np.uint64)) & np.uint64(255)).astype(np.uint8).view(np.int32)
+
+
 def sketch(mins: np.ndarray) -> tuple[int, int]:
     """Two bits of each minwise token, in two words."""
     two = mix(mins.astype(np.uint64)) & np.uint64(3)
@@ -79,14 +90,14 @@ def matches(a1, a2, b1, b2) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n_shingles, d1, d2`` (a digest of the set), ``s1, s2`` (sketch), ``mins`` per row."""
+    """``doc_id, n_shingles, d1, d2`` (a digest of the set), ``s1, s2`` (sketch), ``mins`` (minwise and short tokens) per row."""
 
     def run(batch):
         out = {k: [] for k in ("n_shingles", "d1", "d2", "s1", "s2", "mins")}
         for items in shingle_sets(batch.column("text"), width):
             m = minwise(items)
             d = np.frombuffer(hashlib.blake2b(items.tobytes(), digest_size=16).digest(), np.int64)
-            for name, v in zip(out, (len(items), int(d[0]), int(d[1]), *sketch(m), m.view(np.int32))):
+            for name, v in zip(out, (len(items), int(d[0]), int(d[1]), *sketch(m), np.concatenate([m.view(np.int32), short_tokens(items)]))):
                 out[name].append(v)
         return out | {"doc_id": batch.column("doc_id")}
 
@@ -95,31 +106,47 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 
 
 def coordinate(tree: np.ndarray, level: int, option: int) -> np.ndarray:
-    """The minwise token that a level of a tree looks at; below the third level those of other trees serve again."""
-    return ((tree + 3 * max(0, level - 3)) % TREES) * 6 + ((level - 1) % 3) * 2 + option
+    """The token that a level of a tree looks at: under MINS a minwise token, from there on a short one. Each has one use."""
+    first = (tree * SHALLOW + level - 1) * 2 if level <= SHALLOW else MINS + (tree * (LEVELS - SHALLOW) + level - SHALLOW - 1) * 2
+    further = MINS + 2 * TREES * (LEVELS - SHALLOW) + ((tree - TREES) * LEVELS + level - 1) * 2
+    return np.where(tree < TREES, first, further) + option
+
+
+def branch(tokens: np.ndarray, at: np.ndarray, tree: np.ndarray, path: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, trees and paths one level further: ``at`` are rows of ``tokens``, with their tree and path."""
+    take, went, new = [], [], []
+    for option in (0, 1):
+        go = np.arange(len(at)) if option == 0 else np.flatnonzero((mix(path ^ PLACE[0]) & np.uint64(3)) == 0)
+        value = tokens[at[go], coordinate(tree[go], level, option)].astype(np.uint64)
+        take.append(at[go])
+        went.append(tree[go])
+        new.append(mix(path[go] * PLACE[1] + ((np.uint64(option) << np.uint64(32)) | value) * PLACE[2]))
+    return np.concatenate(take), np.concatenate(went), np.concatenate(new)
+
+
+def entered(rows: int, trees: range) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``at, tree, path`` of rows that enter every one of ``trees``."""
+    tree = np.tile(np.arange(trees.start, trees.stop), rows)
+    return np.repeat(np.arange(rows), len(trees)), tree, mix(tree.astype(np.uint64) + np.uint64(1))
 
 
-def branched(rows: DataFrame, level: int) -> DataFrame:
-    """``node, tree, path, s1, s2`` one level further for rows with ``mins``; at level 1 every node enters every tree."""
+def spelled_out(mins: np.ndarray) -> np.ndarray:
+    """All tokens of rows of ``mins`` (32-bit words), one a column."""
+    return np.concatenate([mins[:, :MINS], np.ascontiguousarray(mins[:, MINS:]).view(np.uint8)], axis=1)
+
+
+def branched(rows: DataFrame, level: int, trees: range) -> DataFrame:
+    """``node, tree, path, s1, s2`` one level further for rows with ``mins``; at level 1 every node enters every one of ``trees``."""
 
     def run(batch):
         n = batch.num_rows
-        mins = np.asarray(batch.column("mins").flatten(), dtype=np.int32).view(np.uint32).reshape(n, MINS)
+        tokens = spelled_out(np.asarray(batch.column("mins").flatten(), dtype=np.int32).view(np.uint32).reshape(n, MINS + MORE // 4))
         if level == 1:
-            at = np.repeat(np.arange(n), TREES)
-            tree = np.tile(np.arange(TREES), n)
-            path = mix(tree.astype(np.uint64) + np.uint64(1))
+            at, tree, path = entered(n, trees)
         else:
             at, tree, path = np.arange(n), batch.column("tree").to_numpy().astype(np.int64), batch.column("path").to_numpy().view(np.uint64)
-        take, went, new = [], [], []
-        for option in (0, 1):
-            go = np.arange(len(at)) if option == 0 else np.flatnonzero((mix(path ^ PLACE[0]) & np.uint64(3)) == 0)
-            value = mins[at[go], coordinate(tree[go], level, option)].astype(np.uint64)
-            take.append(at[go])
-            went.append(tree[go])
-            new.append(mix(path[go] * PLACE[1] + ((np.uint64(option) << np.uint64(32)) | value) * PLACE[2]))
-        take = np.concatenate(take)
-        return {"node": batch.column("node").take(take), "tree": np.concatenate(went), "path": np.concatenate(new).view(np.int64),
+        take, tree, path = branch(tokens, at, tree, path, level)
+        return {"node": batch.column("node").take(take), "tree": tree, "path": path.view(np.int64),
                 "s1": batch.column("s1").take(take), "s2": batch.column("s2").take(take)}
 
     return arrow_map(rows, run, "node bigint, tree int, path bigint, s1 bigint, s2 bigint", text=None)
@@ -186,11 +213,11 @@ def leaf_pairs(rows: DataFrame) -> DataFrame:
     return rows.select("path", "node", "s1", "s2").repartition("path").sortWithinPartitions("path", "node").mapInArrow(run, "path bigint, a bigint, b bigint")
 
 
-def descend(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Walks all trees over ``nodes`` (node, s1, s2, mins). Gives proposed pairs (a, b) and members (path, node) of the groups to be
-    looked at again."""
-    paths = staged(branched(nodes, 1), "paths")
-    pairs, leaves, members = [], [], []
+def walked(nodes: DataFrame, trees: range) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame], DataFrame | None]:
+    """Walks ``trees`` over ``nodes`` (node, s1, s2, mins). Gives leaves (path, node, s1, s2), proposed pairs (a, b), members (path, node)
+    of large groups, and the nodes that branch more than SHALLOW times, if any."""
+    paths = staged(branched(nodes, 1, trees), "paths")
+    pairs, leaves, members, deep = [], [], [], None
     for level in range(1, LEVELS + 1):
         total = paths.count()
         sizes = paths.groupBy("path").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("node", "s1", "s2")).alias("p")).filter("_n > 1")
@@ -207,11 +234,20 @@ def descend(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         members.append(skew_join(large, shares.filter(dense), "path", total).select("path", "node"))
         if level < LEVELS:
             open_ = skew_join(large, shares.filter(~dense), "path", total).select("node", "tree", "path", "s1", "s2")
-            paths = staged(branched(open_.join(nodes.select("node", "mins"), "node"), level + 1), "paths")
-    every = leaves[0]
-    for x in leaves[1:]:
-        every = every.unionByName(x)
-    found = staged(leaf_pairs(every), "leaves")
+            if level == SHALLOW:
+                deep = staged(nodes.join(open_.select("node").distinct(), "node", "left_semi"), "deep")
+            paths = staged(branched(open_.join(nodes.select("node", "mins"), "node"), level + 1, trees), "paths")
+    return leaves, pairs, members, deep
+
+
+def descend(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Walks the trees over ``nodes`` (node, s1, s2, mins), and the further ones over those that went deep. Gives proposed pairs (a, b)
+    and members (path, node) of the groups to be looked at again."""
+    leaves, pairs, members, deep = walked(nodes, range(TREES))
+    if deep is not None and not deep.isEmpty():
+        further = walked(deep, range(TREES, TREES + DEEP_TREES))
+        leaves, pairs, members = leaves + further[0], pairs + further[1], members + further[2]
+    found = staged(leaf_pairs(union(leaves)), "leaves")
     pairs.append(found.select("a", "b"))
     members.append(found.select("path", F.explode(F.array("a", "b")).alias("node")).distinct())
     return union(pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), union(members)

@@ -164,6 +164,49 @@ def test_large_near_group_is_searched_whole(spark, monkeypatch):
     assert got == brute(ids, texts, 2)
 
 
+@pytest.mark.parametrize("level", range(1, 7))
+def test_near_pairs_meet_at_any_depth(level):
+    """Pairs of similarity 0.8 whose groups branch ``level`` times in every tree: about 1e-4 of them may part in all trees they walk."""
+    rng, n = np.random.default_rng(31), 20_000
+    trees = near.TREES if level <= near.SHALLOW else near.TREES + near.DEEP_TREES
+    one = np.concatenate([rng.integers(0, 2**32, (n, near.MINS)), rng.integers(0, 256, (n, near.MORE))], axis=1)
+    two = np.where(rng.random(one.shape) < 0.8, one, one + 1)
+    met = np.zeros(n, bool)
+    for tree in range(trees):
+        keys = []
+        for tokens in (one, two):
+            at, which, path = near.entered(n, range(tree, tree + 1))
+            for k in range(1, level + 1):
+                at, which, path = near.branch(tokens, at, which, path, k)
+            keys.append(np.unique(np.stack([at.astype(np.uint64), path]), axis=1))
+        both, k = np.unique(np.concatenate(keys, axis=1), axis=1, return_counts=True)
+        met[both[0, k > 1].astype(np.int64)] = True
+    assert np.count_nonzero(~met) <= 6, np.count_nonzero(~met)
+
+
+def test_near_coordinates_have_one_use():
+    used = [int(near.coordinate(np.array([t]), level, o)[0]) for t in range(near.TREES + near.DEEP_TREES) for level in range(1, near.LEVELS + 1) for o in (0, 1)]
+    assert len(set(used)) == len(used) and max(used) < near.MINS + near.MORE
+
+
+def test_near_pairs_in_deep_groups(spark, monkeypatch):
+    """Texts that share most of their frequent shingles branch six times; pairs at the edge of the threshold are still found."""
+    monkeypatch.setattr(near, "LEAF", 2)
+    rng = np.random.default_rng(12)
+    common = [f"c{x}" for x in range(70)]
+    texts = []
+    for i in range(60):
+        base = common + [f"own{i}x{x}" for x in range(50)]
+        texts += [" ".join(base), edits(rng, base, 6)]
+    deep, walked = [], near.walked
+    monkeypatch.setattr(near, "walked", lambda nodes, trees: deep.append(trees) or walked(nodes, trees))
+    ids = list(range(len(texts)))
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near.near_duplicates(df, 2).collect()}
+    assert got == brute(ids, texts, 2)
+    assert deep == [range(near.TREES), range(near.TREES, near.TREES + near.DEEP_TREES)]
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 101), (103, 102), (101, 103), (200, 200)]
     got = {r.node: r.root for r in near.components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
