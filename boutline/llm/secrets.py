@@ -2,9 +2,11 @@
 
 The lexer walks over a text's assignments: ``name = value``, ``name: value``, ``"name": value``, ``name => value``,
 ``NAME=value``, ``<name>value<``, ``-D name=value``. A value is a chain of quoted strings and names joined by ``+`` or ``.``, or
-one bare word. Names that were given a literal are constants of that text; a name whose value is another name takes that
-name's literals, so ``k = "..."; client_secret = k`` scores the literal at the first place for the second name. Each
-(name, literal) pair gets a score: what the name says (FULL, HALF, LESS below), less where the literal looks like a placeholder,
+one bare word; strings have any length, and those in back quotes, three quotes or without an end on their line go over lines. Leading
+dashes of a name and a type between name and ``=`` are skipped; strings are searched for assignments too. Names that were given a literal are
+constants of that text, wherever they are given it; a name whose value is another name takes that name's literals, so
+``k = "..."; client_secret = k`` scores the literal at the first place for the second name. The joined value of a chain and each of its
+parts get a score for the name: what the name says (FULL, HALF, LESS below), less where the literal looks like a placeholder,
 a word or a path, more where its letters are many and mixed. A score of THRESHOLD or more is a find."""
 
 import math
@@ -25,11 +27,15 @@ HALF = ("auth", "authorization", "key", "cred", "creds", "pass", "salt", "signat
 LESS = ("public", "count", "length", "limit", "max", "min", "size", "name", "type", "path", "file", "url", "id", "index", "expiry", "ttl", "hint", "field", "label", "policy")
 PLACEHOLDER = re.compile(r"(?i)^(x+|\*+|\.+|-+|changeme|example.*|your.*|none|null|nil|true|false|undefined|todo|test|dummy|placeholder|redacted|<.*>|\$\{.*\}|\$\(.*\)|%\(.*\)s|\{\{.*\}\})$")
 THRESHOLD = 1.0
-LITERAL_LEAST, LITERAL_MOST = 6, 4096
+LITERAL_LEAST = 6
 
 NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*"
-PAIR = re.compile(rf"""(?<![A-Za-z0-9_.\-])({NAME})(?:["'\]]\]?)?\x20*(?::=|=>|=(?!=)|:(?!:)|>)\x20*""", re.ASCII)
-PART = re.compile(rf"""("(?:[^"\\\n]|\\.){{0,{LITERAL_MOST}}}"|'(?:[^'\\\n]|\\.){{0,{LITERAL_MOST}}}'|`[^`\n]{{0,{LITERAL_MOST}}}`)|({NAME})(?![A-Za-z0-9+/=_$\-])""", re.ASCII)
+PAIR = re.compile(rf"""(?<![A-Za-z0-9_.\-])-*({NAME})(?:["'\]]\]?)?\x20*(:=|=>|=(?!=)|:(?!:)|>)\x20*""", re.ASCII)
+TYPE = re.compile(r"""(?:&'[a-z]+\x20)?[A-Za-z_&*\[](?:[A-Za-z0-9_.&*|?!\]\x20]|\[[^\]\n"'`=:]*+\]|<[^\n"'`=:;>]*+>+)*+(?:(?<=\x20)=|=(?=\x20*["'`]))(?![=>])\x20*""", re.ASCII)
+TRIPLE = r"""\"{3}(?s:.)*?\"{3}|'{3}(?s:.)*?'{3}"""
+LINE = r"""\"[^"\\\n]*+(?:\\(?s:.)[^"\\\n]*+)*+\"|'[^'\\\n]*+(?:\\(?s:.)[^'\\\n]*+)*+'"""
+LINES = r"""\"[^"\\]*+(?:\\(?s:.)[^"\\]*+)*+\"|'[^'\\]*+(?:\\(?s:.)[^'\\]*+)*+'|`[^`]*+`"""
+PART = re.compile(rf"""({TRIPLE})|({LINE}|{LINES})|({NAME})(?![A-Za-z0-9+/=_$\-])""", re.ASCII)
 BARE = re.compile(r"[A-Za-z0-9+/_.=$!@#%^&*~\-]+", re.ASCII)
 JOIN = re.compile(r"\x20*(?:\+|\.\.)\x20*", re.ASCII)
 HUMP = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+", re.ASCII)
@@ -55,45 +61,74 @@ def literal_weight(value: str) -> float:
     return min(1.0, n / 32 + max(0.0, bits - 2) / 4 + (kinds - 2) / 4)
 
 
+def assignments(text: str) -> list[tuple[int, str, list, tuple[int, int] | None]]:
+    """Place and name of each assignment, the spans and names of its chain, and a bare word to take where no literal is reached."""
+    out, regions, seen = [], [(0, len(text))], set()
+    while regions:
+        at, end = regions.pop()
+        while m := PAIR.search(text, at, end):
+            typed = TYPE.match(text, m.end(), end) if m[2] == ":" else None
+            at, where, parts, bare = m.end(), (typed or m).end(), [], None
+            first = where
+            while p := PART.match(text, where, end):
+                width = 3 if p[1] is not None else 1
+                parts.append(p[3] if p[3] is not None else (p.start() + width, p.end() - width))
+                where = p.end()
+                j = JOIN.match(text, where, end)
+                if not j:
+                    break
+                where = j.end()
+            inner = [p for p in parts if not isinstance(p, str)]
+            if not inner and (b := BARE.match(text, first, end)) and not PAIR.match(text, first, end):
+                bare = b.span()
+            if parts or bare:
+                out.append((m.start(), m[1], parts, bare))
+            if not typed and (inner or bare):
+                at = max(at, where if inner else bare[1])
+            regions += [p for p in inner if p not in seen]
+            seen.update(inner)
+    return sorted(out, key=lambda x: x[0])
+
+
 def pairs(text: str) -> list[tuple[str, list[tuple[int, int]]]]:
-    """Names and the spans of the literals they are given, constants followed within the text."""
+    """Names and the spans of the literals they are given, constants followed within the text: first those given before, then, from the
+    end and once more from the start, those given after their use."""
     known: dict[str, list] = {}
-    out, at = [], 0
-    while m := PAIR.search(text, at):
-        at, spans = m.end(), []
-        where = at
-        while p := PART.match(text, where):
-            if p[1] is not None:
-                spans.append((p.start() + 1, p.end() - 1))
-            elif p[2] in known:
-                spans += known[p[2]]
-            elif where == m.end():
-                break
-            where = p.end()
-            j = JOIN.match(text, where)
-            if not j:
-                break
-            where = j.end()
-        if not spans and (b := BARE.match(text, m.end())) and not PAIR.match(text, m.end()):
-            spans, where = [b.span()], b.end()
+    given = assignments(text)
+    out: list = [None] * len(given)
+    ahead = []  # names not known before their use
+
+    def settle(i: int) -> None:
+        _, name, parts, bare = given[i]
+        spans = [s for p in parts for s in (known.get(p, []) if isinstance(p, str) else [p])]
+        spans = list(dict.fromkeys(spans)) or ([bare] if bare else [])
         if spans:
-            known[m[1]] = spans
-            out.append((m[1], spans))
-            at = max(at, where)
-    return out
+            out[i] = (name, spans)
+            known[name] = spans
+
+    for i, (_, _, parts, _) in enumerate(given):
+        ahead.append({p for p in parts if isinstance(p, str) and p not in known})
+        settle(i)
+    later = [i for i, names in enumerate(ahead) if names & known.keys()]
+    for i in later[::-1] + later:
+        settle(i)
+    return [x for x in out if x]
 
 
 def literals(text: str) -> list[tuple[int, int]]:
-    """Spans of literals that score THRESHOLD or more for a name they reach."""
+    """Spans of literals that score THRESHOLD or more for a name they reach, alone or joined with the others of their chain."""
     found = set()
     if not (":" in text or "=" in text or ">" in text):
         return []
     for name, spans in pairs(text):
         weight = name_weight(name)
         if weight:
-            for s, e in spans:
-                if LITERAL_LEAST <= e - s <= LITERAL_MOST and weight / 2 + literal_weight(text[s:e]) >= THRESHOLD + (weight < 2) * 0.5:
-                    found.add((s, e))
+            def enough(value):
+                return len(value) >= LITERAL_LEAST and weight / 2 + literal_weight(value) >= THRESHOLD + (weight < 2) * 0.5
+
+            if len(spans) > 1 and enough("".join(text[s:e] for s, e in spans)):
+                found.update(x for x in spans if x[0] < x[1])
+            found.update((s, e) for s, e in spans if enough(text[s:e]))
     return sorted(found)
 
 

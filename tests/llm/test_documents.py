@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -242,6 +243,25 @@ def test_assigned_literals(text, want):
     assert {text[s:e] for s, e in secrets.literals(text)} == want
 
 
+@pytest.mark.parametrize("text,want", [
+    ('signing_key = "' + "aB3$" * 1250 + '"', {"aB3$" * 1250}), ("signing_key = " + "aB3" * 2000, {"aB3" * 2000}),
+    ('client_secret: str = "aB3$kdkd83jdK2"', {"aB3$kdkd83jdK2"}), ("const clientSecret: string = 'aB3$kdkd83jdK2';", {"aB3$kdkd83jdK2"}),
+    ('client_secret: Optional[str] = "aB3$kdkd83jdK2"', {"aB3$kdkd83jdK2"}), ("const CLIENT_SECRET: &'static str = \"aB3$kdkd83jdK2\";", {"aB3$kdkd83jdK2"}),
+    ('client_secret = "ab1X9" + "Zq77k"', {"ab1X9", "Zq77k"}), ("run --client-secret=aB3kdkd83jdK2 -v", {"aB3kdkd83jdK2"}),
+    ('cmd = "run --client-secret=aB3kdkd83jdK2"', {"aB3kdkd83jdK2"}), ('client_secret = k\nk = j\nj = "ZX81abcDEF993kQ"', {"ZX81abcDEF993kQ"}),
+    ('private_key = """aB3$kd\nkd83jdK2"""', {"aB3$kd\nkd83jdK2"}), ("private_key = `aB3$kd\nkd83jdK2`", {"aB3$kd\nkd83jdK2"}),
+    ('private_key="aB3$kd\nkd83jdK2"', {"aB3$kd\nkd83jdK2"})])
+def test_whole_literals(text, want):
+    assert {text[s:e] for s, e in secrets.literals(text)} == want
+
+
+@pytest.mark.parametrize("text", ["token: " * 30_000, "a: b " * 30_000, 'k = "' * 30_000, "-" * 200_000, ("pwd = " + 3 * "\x27") * 9_999, "a: " + "b " * 90_000, "a: b<" * 30_000, "x: [" * 30_000])
+def test_lexer_takes_linear_time(text):
+    began = time.process_time()
+    secrets.literals(text)
+    assert time.process_time() - began < 5
+
+
 def test_secret_spans(odd, real, none):
     for df in (odd, real):
         for r, g in zip(df.collect(), secret_scan.secret_spans(df).collect(), strict=True):
