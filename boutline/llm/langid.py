@@ -1,14 +1,14 @@
 """Language identification by language-bitmask n-gram filters.
 
 One Bloom filter per language is kept bit-sliced: slot s of the table is a word whose bit l says whether slot s is set in the filter
-of language l. The SLOTS_EACH slots of an n-gram, joined by AND, so give all languages that contain it in one look-up. A text's n-grams are
+of language l; where there are more than 64 languages there is a table for each 64 of them. The SLOTS_EACH slots of an n-gram, joined by AND, so give all languages that contain it in one look-up. A text's n-grams are
 counted by language (a popcount per bit), the share that the filters answer by chance is taken out of each count, and
 the language with the largest corrected count is the text's.
 
 n-grams are ORDERS bytes of lower-cased UTF-8, with all signs that are no letters made spaces and spaces put around the text. A
 language contains an n-gram if it has it LEAST times or more and at a rate of at least NEAR times that of any other language. Filters are fitted on
 at most about ``per_lang`` labelled rows a language (a sample by hash of doc_id, so the model and its fitting are bounded);
-the table has 2**BITS slots, which bounds what is collected and sent to the tasks (8 MB)."""
+a table has 2**BITS slots, which bounds what is collected and sent to the tasks (8 MB for each 64 languages)."""
 
 import re
 
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boutline.llm.bytesops import mix, text_bytes
-from boutline.llm.common import arrow_map
+from boutline.llm.common import arrow_map, staged
 
 ORDERS, SLOTS_EACH, BITS = (3, 5), 3, 20
 LEAST, NEAR, PER_LANG = 3, 0.5, 4000
@@ -57,11 +57,11 @@ def slots(h: np.ndarray, bits: int = BITS) -> list[np.ndarray]:
 
 
 class Model:
-    """Languages, the bit-sliced table, and the chance that each language's filter answers for an n-gram it does not hold."""
+    """Languages, the bit-sliced tables (one for each 64 languages), and the chance that each language's filter answers for an n-gram it does not hold."""
 
     def __init__(self, langs: list[str], table: np.ndarray):
-        self.langs, self.table = langs, table
-        fill = np.array([np.count_nonzero(table & np.uint64(1 << i)) / max(1, len(table)) for i in range(len(langs))])
+        self.langs, self.tables = langs, np.atleast_2d(table)
+        fill = np.array([np.count_nonzero(self.tables[i // 64] & np.uint64(1 << i % 64)) / max(1, self.tables.shape[1]) for i in range(len(langs))])
         self.chance = np.minimum(fill ** SLOTS_EACH, 0.99)
 
     def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -70,15 +70,17 @@ class Model:
         hits, total = np.zeros((rows, many)), np.zeros(rows)
         for order in ORDERS:
             h, doc = grams(texts, order)
-            found = np.full(len(h), 2**64 - 1, np.uint64)
-            for s in slots(h):
-                found &= self.table[s]
             total += np.bincount(doc, minlength=rows)
-            for low in range(0, many, 8):  # eight languages at a time: a histogram of their masks for each text
-                part = ((found >> np.uint64(low)) & np.uint64(255)).astype(np.int64)
-                bins = np.bincount(doc * 256 + part, minlength=rows * 256).reshape(rows, 256)
-                width = min(8, many - low)
-                hits[:, low:low + width] += bins @ ((np.arange(256)[:, None] >> np.arange(width)) & 1)
+            at = slots(h)
+            for first in range(0, many, 64):
+                found = np.full(len(h), 2**64 - 1, np.uint64)
+                for one in at:
+                    found &= self.tables[first // 64][one]
+                for low in range(0, min(64, many - first), 8):  # eight languages at a time: a histogram of their masks for each text
+                    part = ((found >> np.uint64(low)) & np.uint64(255)).astype(np.int64)
+                    bins = np.bincount(doc * 256 + part, minlength=rows * 256).reshape(rows, 256)
+                    width = min(8, many - first - low)
+                    hits[:, first + low:first + low + width] += bins @ ((np.arange(256)[:, None] >> np.arange(width)) & 1)
         return total, np.maximum(0.0, (hits - total[:, None] * self.chance) / (1 - self.chance))
 
     def predict(self, texts: pa.Array) -> tuple[list[str], list[float]]:
@@ -95,15 +97,14 @@ def fit(docs: DataFrame, use: Column, per_lang: int = PER_LANG) -> Model:
     """Filters from ``text`` and ``lang`` of rows that meet ``use``, where neither is null."""
     known = docs.filter(use & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    if len(sizes) > 64:
-        raise ValueError("a slot has 64 bits: at most 64 languages")
     langs = sorted(sizes, key=lambda name: (-sizes[name], name))  # of equal counts the commonest language wins
     if not langs:
         return Model([], np.zeros(1, np.uint64))
-    place = F.create_map(*[F.lit(x) for i, name in enumerate(langs) for x in (name, i)])
-    share = F.create_map(*[F.lit(x) for name in langs for x in (name, min(1.0, per_lang / sizes[name]))])
+    spark = docs.sparkSession
+    kind = known.schema["lang"].dataType.simpleString()
+    named = spark.createDataFrame([(name, i, min(1.0, per_lang / sizes[name])) for i, name in enumerate(langs)], f"lang {kind}, l int, _share double")
     luck = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1_000_003)) / 1_000_003
-    sample = known.filter(luck < share[F.col("lang")]).select("text", place[F.col("lang")].alias("l"))
+    sample = known.select("doc_id", "lang", "text").join(F.broadcast(named), "lang").filter(luck < F.col("_share")).select("text", "l")
 
     def count(batch):
         lang = batch.column("l").to_numpy()
@@ -117,22 +118,28 @@ def fit(docs: DataFrame, use: Column, per_lang: int = PER_LANG) -> Model:
         return {name: np.concatenate(v) if v else [] for name, v in out.items()}
 
     found = arrow_map(sample, count, "l int, n int, h bigint, k bigint").groupBy("l", "n", "h").agg(F.sum("k").alias("k"))
-    per = found.groupBy("n", "h").agg(F.collect_list(F.struct("l", "k")).alias("c"))  # a language each at most
     totals = arrow_map(sample, lambda b: _totals(b), "l int, n int, k bigint").groupBy("l", "n").agg(F.sum("k").alias("k")).collect()
-    of = {(r["l"], r["n"]): r["k"] for r in totals}
-    total = F.create_map(*[F.lit(x) for (i, n), k in of.items() for x in (i * 100 + n, float(k))])
-    rated = per.select("h", F.transform("c", lambda c: F.struct(c["l"].alias("l"), c["k"].alias("k"), (c["k"] / total[c["l"] * 100 + F.col("n")]).alias("r"))).alias("c"))
+    total = spark.createDataFrame([(r["l"], r["n"], float(r["k"])) for r in totals], "l int, n int, _all double")
+    rates = found.join(F.broadcast(total), ["l", "n"]).withColumn("r", F.col("k") / F.col("_all"))
+    rated = rates.groupBy("n", "h").agg(F.collect_list(F.struct("l", "k", "r")).alias("c"))  # a language each at most
     top = F.array_max(F.transform("c", lambda c: c["r"]))
     mine = F.filter("c", lambda c: (c["k"] >= LEAST) & (c["r"] >= NEAR * F.col("top")))
-    masks = rated.select("h", "c", top.alias("top")).select("h", F.aggregate(mine, F.lit(0).cast("bigint"), lambda a, c: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), c["l"]))).alias("mask")).filter("mask <> 0")
+    held = rated.select("h", "c", top.alias("top")).select("h", mine.alias("c"))
+    held = held.select("h", "c", F.explode(F.array_distinct(F.transform("c", lambda c: F.floor(c["l"] / 64).cast("int")))).alias("word"))
+    ours = F.filter("c", lambda c: F.floor(c["l"] / 64) == F.col("word"))
+    masks = held.select("h", "word", F.aggregate(ours, F.lit(0).cast("bigint"), lambda a, c: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), c["l"] % 64))).alias("mask"))
 
     def spread(batch):
         h = batch.column("h").to_numpy().view(np.uint64)
-        return {"slot": np.concatenate(slots(h)), "mask": np.tile(batch.column("mask").to_numpy(), SLOTS_EACH)}
-
-    rows = arrow_map(masks, spread, "slot bigint, mask bigint", text=None).groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()  # 2**BITS rows at most
-    table = np.zeros(1 << BITS, np.uint64)
-    table[rows.column("slot").to_numpy()] = rows.column("mask").to_numpy().view(np.uint64)
+        return {"word": np.tile(batch.column("word").to_numpy(), SLOTS_EACH), "slot": np.concatenate(slots(h)), "mask": np.tile(batch.column("mask").to_numpy(), SLOTS_EACH)}
+
+    words = -(-len(langs) // 64)
+    rows = arrow_map(masks, spread, "word int, slot bigint, mask bigint", text=None).groupBy("word", "slot").agg(F.bit_or("mask").alias("mask"))
+    rows = staged(rows, "masks") if words > 1 else rows
+    table = np.zeros((words, 1 << BITS), np.uint64)
+    for word in range(words):  # 2**BITS rows at most at a time
+        some = rows.filter(F.col("word") == word).toArrow()
+        table[word, some.column("slot").to_numpy()] = some.column("mask").to_numpy().view(np.uint64)
     return Model(langs, table)
 
 

@@ -78,6 +78,19 @@ def test_language(spark, odd, real, none):
     assert 2 not in {r.doc_id for r in langid.keep_known(odd, empty, 0.25).collect()}
 
 
+def test_more_languages_than_bits(spark):
+    """Every one of 150 languages, each of words of its own, is told from the others."""
+    rng = np.random.default_rng(3)
+    words = [["".join(chr(97 + x) for x in rng.integers(0, 26, 9)) for _ in range(6)] for _ in range(150)]
+    rows = [(i * 4 + k, " ".join(rng.permutation(words[i] * 3)), f"l{i}") for i in range(150) for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.fit(docs, F.lit(True))
+    assert model.tables.shape[0] == 3
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs, model).collect()}
+    assert got == {i: name for i, _, name in rows}
+    assert langid.keep_known(docs, model, 0.25).count() == len(rows)
+
+
 @pytest.mark.parametrize("text,want", [(None, False), ("", False), ("12 ½ ² _!", False), ("½a", True), ("日", True)])
 def test_letters(text, want):
     assert langid.lettered(text) == want
