@@ -3,18 +3,22 @@
 A document is its set of distinct word shingles; documents with equal sets are one node. Every node has MINS minwise tokens, and MORE
 further ones of eight bits. In each of TREES independent trees a node follows one or two paths: a path is extended by the minwise token of
 its tree and level (of two tokens with chance 1/4, so that two sets with similarity 0.8 share one path a level in the mean); no two trees or
-levels look at the same token. Groups of nodes on one path that are larger than LEAF branch again, up to LEVELS deep; from level DENSE_FROM on
-they do not if DENSE of them resemble their smallest member, since branching does not part a group of near copies; smaller ones are compared
+levels look at the same token. Groups of nodes on one path that are larger than LEAF branch again, up to LEVELS deep; smaller ones are compared
 exhaustively, first by a 128-bit sketch of the minwise tokens, then on full sets. Nodes that branch more than SHALLOW times in any tree walk
 DEEP_TREES further trees among themselves. So a pair that is missed either parted within SHALLOW levels in each of TREES trees, or in
 each of TREES + DEEP_TREES trees; at similarity 0.8 each has a chance of about 1e-4 at most, whatever the depth (1e-8 where groups do not
 branch); tests hold the tokens against this.
 
-What matters is which documents are connected, so a group need not list its pairs: (1) each leaf proposes a maximum spanning
-forest of its sketch-alike pairs, each larger group pairs of its members with its smallest; all are confirmed on full sets, and links are joined to
-components. (2) Groups in which more than one component is left are looked at again: every member outside the commonest component is
-compared with every member of another component, in blocks of BLOCK by BLOCK, on full sets. Members of one component need no look.
-So no link between components is lost in a group of any size, and a group of copies costs about its size."""
+What matters is which documents are connected, so a group need not list its pairs, and **a group whose members already are one component is
+closed**: no link inside it can join anything. The trees are walked in turn, and what a turn proposes is confirmed on full sets and joined to
+components before the next begins:
+(1) the first look takes the first level of FIRST trees, cuts its groups into blocks of about LEAF and proposes a maximum spanning forest of
+each block's sketch-alike pairs, and pairs of a large group's members with its smallest; a large group of copies is one component after it.
+(2) TREES trees, then (3) DEEP_TREES further ones walk as said above over groups that still hold several components, and propose between
+different components only. (4) Groups in which more than one component is left are looked at again, each once (it is named by its smallest
+member, whatever trees it was met in): every member outside the commonest component is compared with every member of another component, in
+blocks of BLOCK by BLOCK, by sketches, and those with an alike partner on full sets. So no link between components is lost in a group of any
+size, and a group of copies costs about its size."""
 
 import hashlib
 
@@ -22,14 +26,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from boutline.llm.bytesops import LOWER, mix, segment_hashes, text_bytes, words
 from boutline.llm.common import arrow_map, pieces, skew_join, staged
 
 SHINGLE, PERCENT = 5, 80
 TREES, LEVELS, MINS, LEAF, BLOCK = 10, 6, 64, 200, 256
-DENSE, DENSE_FROM = 0.75, 4
 SHALLOW, DEEP_TREES = 3, 10
+FIRST = 2
 MORE = 2 * (TREES * (LEVELS - SHALLOW) + DEEP_TREES * LEVELS)
 ALIKE = 40  # of 64 two-bit tokens; expected 54 at similarity 0.8, 20 for strangers
 _rng = np.random.default_rng(77)
@@ -38,6 +43,7 @@ SHIFT = _rng.integers(0, 2**32, MINS, dtype=np.uint32)
 PLACE = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 PAIRS = np.uint64(0x5555555555555555)
 EDGE_BLOCK = 200
+FEW = 200_000  # rows of two or three numbers that are broadcast at most; more are joined by a shuffle
 MULTIPLY_MORE = _rng.integers(1, 2**31, MORE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 SHIFT_MORE = _rng.integers(0, 2**32, MORE, dtype=np.uint32)
 
@@ -136,7 +142,7 @@ def spelled_out(mins: np.ndarray) -> np.ndarray:
 
 
 def branched(rows: DataFrame, level: int, trees: range) -> DataFrame:
-    """``node, tree, path, s1, s2`` one level further for rows with ``mins``; at level 1 every node enters every one of ``trees``."""
+    """``node, root, tree, path, s1, s2`` one level further for rows with ``mins``; at level 1 every node enters every one of ``trees``."""
 
     def run(batch):
         n = batch.num_rows
@@ -146,14 +152,14 @@ def branched(rows: DataFrame, level: int, trees: range) -> DataFrame:
         else:
             at, tree, path = np.arange(n), batch.column("tree").to_numpy().astype(np.int64), batch.column("path").to_numpy().view(np.uint64)
         take, tree, path = branch(tokens, at, tree, path, level)
-        return {"node": batch.column("node").take(take), "tree": tree, "path": path.view(np.int64),
+        return {"node": batch.column("node").take(take), "root": batch.column("root").take(take), "tree": tree, "path": path.view(np.int64),
                 "s1": batch.column("s1").take(take), "s2": batch.column("s2").take(take)}
 
-    return arrow_map(rows, run, "node bigint, tree int, path bigint, s1 bigint, s2 bigint", text=None)
+    return arrow_map(rows, run, "node bigint, root bigint, tree int, path bigint, s1 bigint, s2 bigint", text=None)
 
 
-def forest(pairs: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Pairs (a, b) of a maximum spanning forest of (likeness, a, b)."""
+def forest(pairs: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int]]:
+    """Pairs (a, b) of a maximum spanning forest of (likeness, a, b, root of a, root of b) over the roots."""
     head: dict[int, int] = {}
 
     def find(x):
@@ -163,8 +169,8 @@ def forest(pairs: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
         return x
 
     out = []
-    for _, a, b in sorted(pairs, key=lambda p: (-p[0], p[1], p[2])):
-        x, y = find(a), find(b)
+    for _, a, b, ra, rb in sorted(pairs, key=lambda p: (-p[0], p[1], p[2])):
+        x, y = find(ra), find(rb)
         if x != y:
             head[max(x, y)] = min(x, y)
             out.append((a, b))
@@ -172,12 +178,13 @@ def forest(pairs: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
 
 
 def leaf_pairs(rows: DataFrame) -> DataFrame:
-    """``path, a, b``: the spanning forest of each path's sketch-alike nodes. Paths have LEAF rows at most."""
+    """``key, a, b``: a spanning forest of each path's sketch-alike nodes of different roots; key is the smallest of these nodes.
+    Each of the nodes is also given alone (a = b). Every path is compared exhaustively, so paths must be small."""
 
     def groups(batches):
         kept = None
         for batch in batches:
-            cols = [batch.column(c).to_numpy() for c in ("path", "node", "s1", "s2")]
+            cols = [batch.column(c).to_numpy() for c in ("path", "node", "root", "s1", "s2")]
             if kept is not None:
                 cols = [np.concatenate(x) for x in zip(kept, cols)]
             if not len(cols[0]):
@@ -189,16 +196,14 @@ def leaf_pairs(rows: DataFrame) -> DataFrame:
             yield kept
 
     def run(batches):
-        for path, node, s1, s2 in groups(batches):
+        for path, node, root, s1, s2 in groups(batches):
             s1, s2 = s1.view(np.uint64), s2.view(np.uint64)
-            found = []
-            for d in range(1, LEAF):
-                i = np.flatnonzero(path[d:] == path[:-d]) if len(path) > d else ()
-                if not len(i):
-                    break
+            found, d = [], 1
+            while len(path) > d and len(i := np.flatnonzero(path[d:] == path[:-d])):
                 m = matches(s1[i], s2[i], s1[i + d], s2[i + d])
-                ok = (m >= ALIKE) & (node[i] != node[i + d])
-                found.append(np.stack([path[i[ok]], m[ok], node[i[ok]], node[i[ok] + d]]))
+                ok = (m >= ALIKE) & (root[i] != root[i + d])
+                found.append(np.stack([path[i[ok]], m[ok], node[i[ok]], node[i[ok] + d], root[i[ok]], root[i[ok] + d]]))
+                d += 1
             if not found:
                 continue
             all_ = np.concatenate(found, 1)
@@ -207,50 +212,76 @@ def leaf_pairs(rows: DataFrame) -> DataFrame:
                 continue
             out = []
             for part in np.split(all_, np.flatnonzero(np.diff(all_[0])) + 1, axis=1):
-                out += [(int(part[0, 0]), a, b) for a, b in forest(list(zip(*part[1:].tolist())))]
-            yield pa.RecordBatch.from_pydict({name: pa.array([r[k] for r in out], pa.int64()) for k, name in enumerate(("path", "a", "b"))})
+                alike_ones = np.unique(part[2:4]).tolist()
+                key = alike_ones[0]
+                out += [(key, a, a) for a in alike_ones]
+                out += [(key, a, b) for a, b in forest(list(zip(*part[1:].tolist())))]
+            yield pa.RecordBatch.from_pydict({name: pa.array([r[k] for r in out], pa.int64()) for k, name in enumerate(("key", "a", "b"))})
 
-    return rows.select("path", "node", "s1", "s2").repartition("path").sortWithinPartitions("path", "node").mapInArrow(run, "path bigint, a bigint, b bigint")
+    narrow = rows.select("path", "node", "root", "s1", "s2").repartition("path").sortWithinPartitions("path", "node")
+    return narrow.mapInArrow(run, "key bigint, a bigint, b bigint")
+
+
+def grouped(paths: DataFrame) -> DataFrame:
+    """Rows of ``paths`` in open groups (more than one root on a path), with the group's size ``_n`` and its smallest member (pn, pr, p1, p2)."""
+    sizes = paths.groupBy("path").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("node", "root", "s1", "s2")).alias("p"),
+                                      F.min("root").alias("_r"), F.max("root").alias("_t")).filter("_r < _t")
+    sizes = staged(sizes.select("path", "_n", F.col("p.node").alias("pn"), F.col("p.root").alias("pr"), F.col("p.s1").alias("p1"), F.col("p.s2").alias("p2")), "sizes")
+    return staged(skew_join(paths, sizes, "path", paths.count()), "groups")
+
+
+def with_smallest(large: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members of ``large`` groups with the group's smallest member b, if they are alike and of different roots."""
+    return large.filter((F.col("pr") != F.col("root")) & (alike() >= ALIKE)).select(F.col("node").alias("a"), F.col("pn").alias("b"))
+
+
+def first_look(nodes: DataFrame) -> DataFrame:
+    """Proposed pairs (a, b) of the groups on the first level of FIRST trees; see the module."""
+    here = grouped(staged(branched(nodes, 1, range(FIRST)), "paths"))
+    block = F.pmod(F.xxhash64("node"), F.ceil(2 * F.col("_n") / LEAF))
+    blocks = here.withColumn("path", F.when(F.col("_n") <= LEAF, F.col("path")).otherwise(F.xxhash64("path", block)))
+    return proposed([leaf_pairs(blocks).filter("a <> b").select("a", "b"), with_smallest(here.filter(F.col("_n") > LEAF))])
 
 
 def walked(nodes: DataFrame, trees: range) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame], DataFrame | None]:
-    """Walks ``trees`` over ``nodes`` (node, s1, s2, mins). Gives leaves (path, node, s1, s2), proposed pairs (a, b), members (path, node)
-    of large groups, and the nodes that branch more than SHALLOW times, if any."""
+    """Walks ``trees`` over ``nodes`` (node, root, s1, s2, mins), along groups of several roots. Gives leaves (path, node, root, s1, s2),
+    proposed pairs (a, b), members (key, node) of groups that are large to the end, and the nodes that branch more than SHALLOW times, if any."""
     paths = staged(branched(nodes, 1, trees), "paths")
     pairs, leaves, members, deep = [], [], [], None
     for level in range(1, LEVELS + 1):
-        total = paths.count()
-        sizes = paths.groupBy("path").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("node", "s1", "s2")).alias("p")).filter("_n > 1")
-        sizes = staged(sizes.select("path", "_n", F.col("p.node").alias("pn"), F.col("p.s1").alias("p1"), F.col("p.s2").alias("p2")), "sizes")
-        here = staged(skew_join(paths, sizes, "path", total), "groups")
-        leaves.append(here.filter(F.col("_n") <= LEAF).select("path", "node", "s1", "s2"))
+        here = grouped(paths)
+        leaves.append(here.filter(F.col("_n") <= LEAF).select("path", "node", "root", "s1", "s2"))
         large = here.filter(F.col("_n") > LEAF)
         if large.isEmpty():
             break
-        pairs.append(large.filter((F.col("pn") != F.col("node")) & (alike() >= ALIKE)).select(F.col("pn").alias("a"), F.col("node").alias("b")))
-        shares = staged(large.groupBy("path", "_n").agg(F.avg((alike() >= ALIKE).cast("int")).alias("share")), "shares")
-        dense = (F.col("share") >= DENSE) & F.lit(level >= DENSE_FROM) | F.lit(level == LEVELS)
-        large = large.drop("_n")
-        members.append(skew_join(large, shares.filter(dense), "path", total).select("path", "node"))
-        if level < LEVELS:
-            open_ = skew_join(large, shares.filter(~dense), "path", total).select("node", "tree", "path", "s1", "s2")
-            if level == SHALLOW:
-                deep = staged(nodes.join(open_.select("node").distinct(), "node", "left_semi"), "deep")
-            paths = staged(branched(open_.join(nodes.select("node", "mins"), "node"), level + 1, trees), "paths")
+        pairs.append(with_smallest(large))
+        if level == LEVELS:
+            members.append(large.select(F.col("pn").alias("key"), "node"))
+            break
+        if level == SHALLOW:
+            deep = staged(nodes.join(large.select("node").distinct(), "node", "left_semi"), "deep")
+        further = large.select("node", "root", "tree", "path", "s1", "s2")
+        paths = staged(branched(further.join(nodes.select("node", "mins"), "node"), level + 1, trees), "paths")
     return leaves, pairs, members, deep
 
 
-def descend(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Walks the trees over ``nodes`` (node, s1, s2, mins), and the further ones over those that went deep. Gives proposed pairs (a, b)
-    and members (path, node) of the groups to be looked at again."""
-    leaves, pairs, members, deep = walked(nodes, range(TREES))
-    if deep is not None and not deep.isEmpty():
-        further = walked(deep, range(TREES, TREES + DEEP_TREES))
-        leaves, pairs, members = leaves + further[0], pairs + further[1], members + further[2]
+def turn(nodes: DataFrame, trees: range) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """One walk: proposed pairs (a, b), members (key, node) of groups to be looked at again, and nodes that went deep."""
+    leaves, pairs, members, deep = walked(nodes, trees)
     found = staged(leaf_pairs(union(leaves)), "leaves")
-    pairs.append(found.select("a", "b"))
-    members.append(found.select("path", F.explode(F.array("a", "b")).alias("node")).distinct())
-    return union(pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), union(members)
+    members.append(found.filter("a = b").select("key", F.col("a").alias("node")))
+    return proposed([*pairs, found.filter("a <> b").select("a", "b")]), union(members).distinct(), deep
+
+
+def proposed(frames: list[DataFrame]) -> DataFrame:
+    """Each pair once, whichever way it was proposed; a pair with a group's smallest member keeps it as its b."""
+    both = union(frames).groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.max(F.col("b") < F.col("a")).alias("turned"))
+    return staged(both.select(F.when(F.col("turned"), F.col("y")).otherwise(F.col("x")).alias("a"), F.when(F.col("turned"), F.col("x")).otherwise(F.col("y")).alias("b")), "pairs")
+
+
+def few(df: DataFrame) -> DataFrame:
+    """A staged narrow table, to be broadcast if it has FEW rows at most."""
+    return F.broadcast(df) if df.count() <= FEW else df
 
 
 def alike():
@@ -277,7 +308,8 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets are similar. Each a's text goes to its b; a b with many pairs is shared by tasks."""
+    """Those of ``pairs`` (a, b) whose full sets are similar. Each a's text goes to its b; a b with many pairs (a group's smallest member)
+    is shared by tasks, and its text is sent once to each."""
     total = pairs.count()
     degree = staged(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("_n")), "degree")
     dealt = skew_join(pairs, degree, "b", total).withColumn("part", F.pmod(F.xxhash64("a"), F.ceil(F.col("_n") / EDGE_BLOCK)).cast("int"))
@@ -324,36 +356,87 @@ def components(links: DataFrame) -> DataFrame:
     return staged(out, "components")
 
 
-def second_look(members: DataFrame, known: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) between different components of one group; see the module."""
-    placed = staged(members.join(known, "node", "left").select("path", "node", F.coalesce("root", "node").alias("root")), "members")
+def joined(known: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``node, root`` after ``links`` (a, b) were added to the components ``known``."""
+    if known is None:
+        return components(links)
+    for end in ("a", "b"):
+        of = known.select(F.col("node").alias(end), F.col("root").alias("_r"))
+        links = links.join(of, end, "left").withColumn(end, F.coalesce("_r", end)).drop("_r")
+    step = components(links)
+    if step.isEmpty():
+        return known
+    moved = known.join(step.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
+    return staged(moved.unionByName(step.join(known.select("node"), "node", "left_anti")), "components")
+
+
+def second_look(members: DataFrame, known: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between different components of one group; see the module. ``nodes`` have node, s1, s2."""
+    placed = staged(members.join(few(known), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "members")
     total = placed.count()
-    by_root = placed.groupBy("path", "root").agg(F.count(F.lit(1)).alias("k"))
-    sizes = by_root.groupBy("path").agg(F.sum("k").alias("_n"), F.max(F.struct("k", "root")).alias("most")).filter(F.col("_n") > F.col("most.k"))
-    sizes = staged(sizes.select("path", "_n", F.col("most.root").alias("main"), F.ceil(F.col("_n") / BLOCK).alias("nm"),
+    by_root = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k"))
+    # a group of two nodes is a pair that was compared already
+    sizes = by_root.groupBy("key").agg(F.sum("k").alias("_n"), F.max(F.struct("k", "root")).alias("most")).filter((F.col("_n") > F.col("most.k")) & (F.col("_n") > 2))
+    sizes = staged(sizes.select("key", "_n", F.col("most.root").alias("main"), F.ceil(F.col("_n") / BLOCK).alias("nm"),
                                 F.ceil((F.col("_n") - F.col("most.k")) / BLOCK).alias("nq")), "open")
-    rows = staged(skew_join(placed, sizes, "path", total), "looked")
-    many = rows.select("path", "node", "root", F.pmod(F.xxhash64("node"), "nm").alias("mb"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nq") - 1)).alias("qb"), F.lit(False).alias("asks"))
-    asks = rows.filter("root <> main").select("path", "node", "root", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nm") - 1)).alias("mb"),
+    if sizes.isEmpty():
+        return sizes.select(F.col("key").alias("a"), F.col("key").alias("b"))
+    rows = staged(skew_join(placed, sizes, "key", total).join(nodes.select("node", "s1", "s2"), "node"), "looked")
+    many = rows.select("key", "node", "root", "s1", "s2", F.pmod(F.xxhash64("node"), "nm").alias("mb"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nq") - 1)).alias("qb"), F.lit(False).alias("asks"))
+    asks = rows.filter("root <> main").select("key", "node", "root", "s1", "s2", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nm") - 1)).alias("mb"),
                                               F.pmod(F.xxhash64("node", F.lit(7)), "nq").alias("qb"), F.lit(True).alias("asks"))
-    full = many.unionByName(asks).join(texts, "node").select("path", "mb", "qb", "asks", "node", "root", "s1", "s2", "text")
+
+    def narrow(batches):
+        """Those of a cell that have an alike partner of another root on the other side."""
+        def answer(cell):
+            ask, node, root, s1, s2 = (np.array(c) for c in zip(*[r[3:] for r in cell]))
+            s1, s2, hit = s1.astype(np.int64).view(np.uint64), s2.astype(np.int64).view(np.uint64), np.zeros(len(ask), bool)
+            held = np.flatnonzero(~ask)
+            for i in np.flatnonzero(ask):
+                ok = held[(root[held] != root[i]) & (matches(s1[held], s2[held], s1[i], s2[i]) >= ALIKE)]
+                hit[ok] = True
+                hit[i] = len(ok) > 0
+            out = [cell[i] for i in np.flatnonzero(hit)]
+            return pa.RecordBatch.from_pydict({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate(
+                (("key", pa.int64()), ("mb", pa.int64()), ("qb", pa.int64()), ("asks", pa.bool_()), ("node", pa.int64()), ("root", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())))})
+
+        cell = []
+        for batch in batches:
+            for row in zip(*[batch.column(c).to_pylist() for c in ("key", "mb", "qb", "asks", "node", "root", "s1", "s2")]):
+                if cell and cell[0][:3] != row[:3]:
+                    yield answer(cell)
+                    cell = []
+                cell.append(row)
+        if cell:
+            yield answer(cell)
+
+    cells = many.unionByName(asks).select("key", "mb", "qb", "asks", "node", "root", "s1", "s2").repartition("key", "mb", "qb").sortWithinPartitions("key", "mb", "qb")
+    alike_rows = staged(cells.mapInArrow(narrow, "key bigint, mb bigint, qb bigint, asks boolean, node bigint, root bigint, s1 bigint, s2 bigint"), "alike")
+    full = alike_rows.join(texts_of(docs, alike_rows.select("node")), "node")
 
     def run(batches):
         key, held = None, []
         for batch in batches:
             for some in pieces(batch):
                 links = []
-                cols = [some.column(c).to_pylist() for c in ("path", "mb", "qb", "asks", "node", "root", "s1", "s2")]
-                for path, mb, qb, ask, node, root, s1, s2, items in zip(*cols, shingle_sets(some.column("text"), width)):
-                    if key != (path, mb, qb):
-                        key, held, head = (path, mb, qb), [], {}
+                cols = [some.column(c).to_pylist() for c in ("key", "mb", "qb", "asks", "node", "root", "s1", "s2")]
+                for group, mb, qb, ask, node, root, s1, s2, items in zip(*cols, shingle_sets(some.column("text"), width)):
+                    if key != (group, mb, qb):
+                        key, held, head = (group, mb, qb), [], {}
                     if not ask:
                         held.append((node, root, s1, s2, items))
                     elif held:
                         links += compared((node, root, s1, s2, items), held, head, percent)
                 yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
-    return full.repartition("path", "mb", "qb").sortWithinPartitions("path", "mb", "qb", "asks", "node").mapInArrow(run, "a bigint, b bigint")
+    return full.repartition("key", "mb", "qb").sortWithinPartitions("key", "mb", "qb", "asks", "node").mapInArrow(run, "a bigint, b bigint")
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``node, text`` of the ``wanted`` nodes, each once."""
+    wanted = staged(wanted.distinct(), "wanted")
+    named = docs.select(F.col("doc_id").cast("bigint").alias("node"), "text").join(few(wanted), "node", "left_semi")
+    return staged(named, "texts")
 
 
 def compared(one, held, head: dict, percent: int) -> list[tuple[int, int]]:
@@ -385,20 +468,33 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
 
     A text that is null or has no words has an empty set and is linked with nothing, as is a row without doc_id (component_id null, kept).
     Rows that share a doc_id count as one document. An empty table gives nothing; other columns are not read. doc_id must be an integer."""
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError(f"doc_id must be an integer, not {docs.schema['doc_id'].dataType.simpleString()}")
     marks = staged(signatures(docs, width), "marks")
     able = marks.filter("n_shingles > 0 and doc_id is not null")
     classes = staged(able.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("_n"), F.first("s1").alias("s1"),
                                                   F.first("s2").alias("s2"), F.first("mins").alias("mins")), "classes")
-    pairs, members = descend(classes.select("node", "s1", "s2", "mins"))
-    pairs = staged(pairs, "pairs")
-    wanted = members.select("node").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
-    marked = wanted.join(classes.select("node", "s1", "s2"), "node")
-    texts = staged(docs.select(F.col("doc_id").cast("bigint").alias("node"), "text").join(marked, "node"), "texts")
-    links = staged(confirmed(pairs, texts, width, percent), "confirmed")
-    known = components(links)
-    more = staged(second_look(members, known, texts, width, percent), "more")
-    if not more.isEmpty():
-        known = components(links.unionByName(more))
+    known = None
+
+    def rooted(some):
+        """``some`` nodes with their roots so far."""
+        own = F.coalesce("root", "node").alias("root")
+        return some.join(few(known), "node", "left").select("node", own, "s1", "s2", "mins") if known is not None else some.select("node", F.col("node").alias("root"), "s1", "s2", "mins")
+
+    def settle(pairs):
+        """The components after those of ``pairs`` that are similar are added."""
+        links = confirmed(pairs, texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("node"))), width, percent)
+        return joined(known, links)
+
+    nodes = classes.select("node", "s1", "s2", "mins")
+    known = settle(first_look(rooted(nodes)))
+    pairs, members, deep = turn(rooted(nodes), range(TREES))
+    known = settle(pairs)
+    if deep is not None and not deep.isEmpty():
+        pairs, further, _ = turn(rooted(deep.drop("root")), range(TREES, TREES + DEEP_TREES))
+        members = members.unionByName(further).distinct()
+        known = settle(pairs)
+    known = joined(known, staged(second_look(members, known, nodes, docs, width, percent), "more"))
     ends = classes.select("d1", "d2", "node", "_n").join(known, "node", "left").select("d1", "d2", "_n", F.coalesce("root", "node").alias("component_id"))
     linked = skew_join(able.select("doc_id", "n_shingles", "d1", "d2"), staged(ends, "ends"), ["d1", "d2"], marks.count())
     alone = marks.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -408,7 +504,12 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
 
 def keep_first(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, all columns, that are kept: one of each group, the one with the smallest doc_id. Repeated rows of that
-    doc_id are one row, whichever sorts first; rows without doc_id stay."""
-    kept = near_duplicates(docs, width, percent).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.filter(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter(F.col("doc_id").isNull()))
+    doc_id are one row, the one whose columns come first as JSON text; rows without doc_id stay."""
+    kept = near_duplicates(docs, width, percent).filter("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_kept")).agg(F.count(F.lit(1)).alias("_rows"))
+    kept = staged(kept, "kept")
+    one = kept.filter("_rows = 1").select("_kept")
+    named = docs.filter(F.col("doc_id").isNotNull()).join(one, F.col("doc_id") == F.col("_kept"), "left_semi")
+    again = docs.join(kept.filter("_rows > 1").select("_kept"), F.col("doc_id") == F.col("_kept"), "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    again = again.groupBy("doc_id").agg(F.min_by(row, F.to_json(row)).alias("_row")).select("_row.*")
+    return named.unionByName(again).unionByName(docs.filter(F.col("doc_id").isNull()))
