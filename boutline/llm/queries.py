@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from boutline.llm import bpe, fingerprint, langid, near, packing, quality, quality_sql, secret_scan, shard, tokenfile, wordpiece
+from boutline.llm import bpe, fingerprint, langid, near, packing, periodic, quality, quality_sql, secret_scan, shard, tokenfile, wordpiece
 
 QUERIES, ORACLES = {}, {}
 
@@ -84,3 +84,8 @@ def op8(spark, sf_dir):
 @query("op9_byte_bpe")
 def op9(spark, sf_dir):
     return bpe.round_trip(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
+
+
+@query("op11_periodic_runs")
+def op11(spark, sf_dir):
+    return periodic.run_digests(documents(spark, sf_dir), places=periodic.planted_places)
