@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from boutline.llm import bpe, fingerprint, langid, near, packing, periodic, quality, quality_sql, secret_scan, shard, tokenfile, wordpiece
+from boutline.llm import bpe, decontaminate, fingerprint, langid, near, packing, periodic, quality, quality_sql, ranked, secret_scan, shard, tokenfile, wordpiece
 
 QUERIES, ORACLES = {}, {}
 
@@ -89,3 +89,17 @@ def op9(spark, sf_dir):
 @query("op11_periodic_runs")
 def op11(spark, sf_dir):
     return periodic.run_digests(documents(spark, sf_dir), places=periodic.planted_places)
+
+
+def benchmark(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
+@query("op12_ranked_search", ranked.SEARCH)
+def op12(spark, sf_dir):
+    return ranked.search(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
+@query("op13_decontamination", decontaminate.CONTAMINATION)
+def op13(spark, sf_dir):
+    return decontaminate.contamination(documents(spark, sf_dir), benchmark(spark, sf_dir))
