@@ -13,7 +13,10 @@ What matters is which documents are connected, so a group need not list its pair
 closed**: no link inside it can join anything. The trees are walked in turn, and what a turn proposes is confirmed on full sets and joined to
 components before the next begins:
 (1) the first look takes the first level of FIRST trees, cuts its groups into blocks of about LEAF and proposes a maximum spanning forest of
-each block's sketch-alike pairs, and pairs of a large group's members with its smallest; a large group of copies is one component after it.
+each block's sketch-alike pairs, and pairs of a large group's members with its smallest; a large group of copies is one component after it,
+often with a fringe of others that are nearly, but not, similar to it. Such a family (`families`: members alike with the root of a component
+of more than LEAF nodes that makes up half of them) is searched whole, once, as in (4), and its pairs are never compared again: a group of
+members of one family is closed, too, and one with LEAF others at most is closed when these are set down to be compared with the family in (4).
 (2) TREES trees, then (3) DEEP_TREES further ones walk as said above over groups that still hold several components, and propose between
 different components only. (4) Groups in which more than one component is left are looked at again, each once (it is named by its smallest
 member, whatever trees it was met in): every member outside the commonest component is compared with every member of another component, in
@@ -142,7 +145,7 @@ def spelled_out(mins: np.ndarray) -> np.ndarray:
 
 
 def branched(rows: DataFrame, level: int, trees: range) -> DataFrame:
-    """``node, root, tree, path, s1, s2`` one level further for rows with ``mins``; at level 1 every node enters every one of ``trees``."""
+    """``node, root, seen, tree, path, s1, s2`` one level further for rows with ``mins``; at level 1 every node enters every one of ``trees``."""
 
     def run(batch):
         n = batch.num_rows
@@ -152,10 +155,10 @@ def branched(rows: DataFrame, level: int, trees: range) -> DataFrame:
         else:
             at, tree, path = np.arange(n), batch.column("tree").to_numpy().astype(np.int64), batch.column("path").to_numpy().view(np.uint64)
         take, tree, path = branch(tokens, at, tree, path, level)
-        return {"node": batch.column("node").take(take), "root": batch.column("root").take(take), "tree": tree, "path": path.view(np.int64),
+        return {"node": batch.column("node").take(take), "root": batch.column("root").take(take), "seen": batch.column("seen").take(take), "tree": tree, "path": path.view(np.int64),
                 "s1": batch.column("s1").take(take), "s2": batch.column("s2").take(take)}
 
-    return arrow_map(rows, run, "node bigint, root bigint, tree int, path bigint, s1 bigint, s2 bigint", text=None)
+    return arrow_map(rows, run, "node bigint, root bigint, seen bigint, tree int, path bigint, s1 bigint, s2 bigint", text=None)
 
 
 def forest(pairs: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int]]:
@@ -178,13 +181,13 @@ def forest(pairs: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int]]
 
 
 def leaf_pairs(rows: DataFrame) -> DataFrame:
-    """``key, a, b``: a spanning forest of each path's sketch-alike nodes of different roots; key is the smallest of these nodes.
+    """``key, a, b``: a spanning forest of each path's sketch-alike nodes of different roots and families; key is the smallest of these nodes.
     Each of the nodes is also given alone (a = b). Every path is compared exhaustively, so paths must be small."""
 
     def groups(batches):
         kept = None
         for batch in batches:
-            cols = [batch.column(c).to_numpy() for c in ("path", "node", "root", "s1", "s2")]
+            cols = [batch.column(c).to_numpy() for c in ("path", "node", "root", "seen", "s1", "s2")]
             if kept is not None:
                 cols = [np.concatenate(x) for x in zip(kept, cols)]
             if not len(cols[0]):
@@ -196,12 +199,12 @@ def leaf_pairs(rows: DataFrame) -> DataFrame:
             yield kept
 
     def run(batches):
-        for path, node, root, s1, s2 in groups(batches):
+        for path, node, root, seen, s1, s2 in groups(batches):
             s1, s2 = s1.view(np.uint64), s2.view(np.uint64)
             found, d = [], 1
             while len(path) > d and len(i := np.flatnonzero(path[d:] == path[:-d])):
                 m = matches(s1[i], s2[i], s1[i + d], s2[i + d])
-                ok = (m >= ALIKE) & (root[i] != root[i + d])
+                ok = (m >= ALIKE) & (root[i] != root[i + d]) & (seen[i] != seen[i + d])
                 found.append(np.stack([path[i[ok]], m[ok], node[i[ok]], node[i[ok] + d], root[i[ok]], root[i[ok] + d]]))
                 d += 1
             if not found:
@@ -218,40 +221,63 @@ def leaf_pairs(rows: DataFrame) -> DataFrame:
                 out += [(key, a, b) for a, b in forest(list(zip(*part[1:].tolist())))]
             yield pa.RecordBatch.from_pydict({name: pa.array([r[k] for r in out], pa.int64()) for k, name in enumerate(("key", "a", "b"))})
 
-    narrow = rows.select("path", "node", "root", "s1", "s2").repartition("path").sortWithinPartitions("path", "node")
+    narrow = rows.select("path", "node", "root", "seen", "s1", "s2").repartition("path").sortWithinPartitions("path", "node")
     return narrow.mapInArrow(run, "key bigint, a bigint, b bigint")
 
 
 def grouped(paths: DataFrame) -> DataFrame:
-    """Rows of ``paths`` in open groups (more than one root on a path), with the group's size ``_n`` and its smallest member (pn, pr, p1, p2)."""
-    sizes = paths.groupBy("path").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("node", "root", "s1", "s2")).alias("p"),
-                                      F.min("root").alias("_r"), F.max("root").alias("_t")).filter("_r < _t")
-    sizes = staged(sizes.select("path", "_n", F.col("p.node").alias("pn"), F.col("p.root").alias("pr"), F.col("p.s1").alias("p1"), F.col("p.s2").alias("p2")), "sizes")
+    """Rows of ``paths`` in open groups (several roots and not all of one family), with the group's size ``_n`` and its smallest member
+    (pn, pr, ps, p1, p2)."""
+    sizes = paths.groupBy("path").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("node", "root", "seen", "s1", "s2")).alias("p"),
+                                      F.min("root").alias("r1"), F.max("root").alias("r2"), F.min("seen").alias("s1"), F.max("seen").alias("s2")).filter("r1 < r2 and s1 < s2")
+    sizes = staged(sizes.select("path", "_n", *[F.col(f"p.{c}").alias(n) for c, n in (("node", "pn"), ("root", "pr"), ("seen", "ps"), ("s1", "p1"), ("s2", "p2"))]), "sizes")
     return staged(skew_join(paths, sizes, "path", paths.count()), "groups")
 
 
 def with_smallest(large: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members of ``large`` groups with the group's smallest member b, if they are alike and of different roots."""
-    return large.filter((F.col("pr") != F.col("root")) & (alike() >= ALIKE)).select(F.col("node").alias("a"), F.col("pn").alias("b"))
+    """Pairs (a, b) of members of ``large`` groups with the group's smallest member b, if they are alike and of different roots and families."""
+    return large.filter((F.col("pr") != F.col("root")) & (F.col("ps") != F.col("seen")) & (alike() >= ALIKE)).select(F.col("node").alias("a"), F.col("pn").alias("b"))
 
 
-def first_look(nodes: DataFrame) -> DataFrame:
-    """Proposed pairs (a, b) of the groups on the first level of FIRST trees; see the module."""
+def first_look(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Proposed pairs (a, b) of the groups on the first level of FIRST trees, and the rows of the large ones; see the module."""
     here = grouped(staged(branched(nodes, 1, range(FIRST)), "paths"))
     block = F.pmod(F.xxhash64("node"), F.ceil(2 * F.col("_n") / LEAF))
     blocks = here.withColumn("path", F.when(F.col("_n") <= LEAF, F.col("path")).otherwise(F.xxhash64("path", block)))
-    return proposed([leaf_pairs(blocks).filter("a <> b").select("a", "b"), with_smallest(here.filter(F.col("_n") > LEAF))])
+    large = here.filter(F.col("_n") > LEAF)
+    return proposed([leaf_pairs(blocks).filter("a <> b").select("a", "b"), with_smallest(large)]), large
+
+
+def families(large: DataFrame, known: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``key, node``: members of ``large`` groups that are alike with the root (key) of the group's largest component, where that component has more than
+    LEAF of the group's nodes and is half of them or more."""
+    placed = staged(large.select("path", "node", "s1", "s2").join(few(known), "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
+    most = placed.groupBy("path", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("path").agg(F.max(F.struct("k", "root")).alias("m"), F.sum("k").alias("_n")).filter(F.col("m.k") > LEAF)
+    hubs = most.select("path", "_n", F.col("m.root").alias("key")).join(nodes.select(F.col("node").alias("key"), F.col("s1").alias("p1"), F.col("s2").alias("p2")).dropDuplicates(["key"]), "key")
+    near = skew_join(placed, staged(hubs, "hubs"), "path", placed.count()).filter((alike() >= ALIKE) | (F.col("root") == F.col("key")))
+    near = staged(near.groupBy("key", "node").agg(F.max(F.col("root") == F.col("key")).alias("own")), "near")
+    firm = near.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.count_if("own").alias("k")).filter(2 * F.col("k") >= F.col("_n"))
+    return staged(skew_join(near.select("key", "node"), staged(firm.select("key", "_n"), "firm"), "key", near.count()).select("key", "node"), "families")
+
+
+def without_families(large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``large`` without groups that are one family but for LEAF members at most, and these members (key of the family, node)."""
+    most = large.filter("seen <> node").groupBy("path", "seen", "_n").agg(F.count(F.lit(1)).alias("k")).filter(F.col("_n") - F.col("k") <= LEAF)
+    closed = few(staged(most.groupBy("path").agg(F.max(F.struct("k", "seen")).alias("m")).select("path", F.col("m.seen").alias("key")), "closed"))
+    others = large.join(closed, "path").filter(F.col("seen") != F.col("key")).select("key", "node")
+    return large.join(closed, "path", "left_anti"), others
 
 
 def walked(nodes: DataFrame, trees: range) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame], DataFrame | None]:
-    """Walks ``trees`` over ``nodes`` (node, root, s1, s2, mins), along groups of several roots. Gives leaves (path, node, root, s1, s2),
+    """Walks ``trees`` over ``nodes`` (node, root, seen, s1, s2, mins), along open groups. Gives leaves (path, node, root, seen, s1, s2),
     proposed pairs (a, b), members (key, node) of groups that are large to the end, and the nodes that branch more than SHALLOW times, if any."""
     paths = staged(branched(nodes, 1, trees), "paths")
     pairs, leaves, members, deep = [], [], [], None
     for level in range(1, LEVELS + 1):
         here = grouped(paths)
-        leaves.append(here.filter(F.col("_n") <= LEAF).select("path", "node", "root", "s1", "s2"))
-        large = here.filter(F.col("_n") > LEAF)
+        leaves.append(here.filter(F.col("_n") <= LEAF).select("path", "node", "root", "seen", "s1", "s2"))
+        large, others = without_families(here.filter(F.col("_n") > LEAF))
+        members.append(others)
         if large.isEmpty():
             break
         pairs.append(with_smallest(large))
@@ -260,7 +286,7 @@ def walked(nodes: DataFrame, trees: range) -> tuple[list[DataFrame], list[DataFr
             break
         if level == SHALLOW:
             deep = staged(nodes.join(large.select("node").distinct(), "node", "left_semi"), "deep")
-        further = large.select("node", "root", "tree", "path", "s1", "s2")
+        further = large.select("node", "root", "seen", "tree", "path", "s1", "s2")
         paths = staged(branched(further.join(nodes.select("node", "mins"), "node"), level + 1, trees), "paths")
     return leaves, pairs, members, deep
 
@@ -371,38 +397,45 @@ def joined(known: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def second_look(members: DataFrame, known: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) between different components of one group; see the module. ``nodes`` have node, s1, s2."""
-    placed = staged(members.join(few(known), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "members")
+    """Links (a, b) between different components of one group; see the module. ``nodes`` have node, seen, s1, s2."""
+    named = members.join(few(known), "node", "left").join(nodes.select("node", "seen", "s1", "s2"), "node")
+    placed = staged(named.select("key", "node", F.coalesce("root", "node").alias("root"), "seen", "s1", "s2"), "members")
     total = placed.count()
-    by_root = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k"))
+
+    def most(by):
+        """The value of ``by`` that most of a group share: its rows need no look among themselves."""
+        return placed.groupBy("key", by).agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.sum("k").alias("_n"), F.max(F.struct("k", by)).alias(f"of_{by}"))
+
     # a group of two nodes is a pair that was compared already
-    sizes = by_root.groupBy("key").agg(F.sum("k").alias("_n"), F.max(F.struct("k", "root")).alias("most")).filter((F.col("_n") > F.col("most.k")) & (F.col("_n") > 2))
-    sizes = staged(sizes.select("key", "_n", F.col("most.root").alias("main"), F.ceil(F.col("_n") / BLOCK).alias("nm"),
-                                F.ceil((F.col("_n") - F.col("most.k")) / BLOCK).alias("nq")), "open")
+    sizes = most("root").join(most("seen").drop("_n"), "key").withColumn("most", F.greatest("of_root.k", "of_seen.k")).filter((F.col("_n") > F.col("most")) & (F.col("_n") > 2))
+    sizes = staged(sizes.select("key", "_n", F.when(F.col("of_root.k") == F.col("most"), F.col("of_root.root")).alias("main"), F.col("of_seen.seen").alias("main_seen"),
+                                F.ceil(F.col("_n") / BLOCK).alias("nm"), F.ceil((F.col("_n") - F.col("most")) / BLOCK).alias("nq")), "open")
     if sizes.isEmpty():
         return sizes.select(F.col("key").alias("a"), F.col("key").alias("b"))
-    rows = staged(skew_join(placed, sizes, "key", total).join(nodes.select("node", "s1", "s2"), "node"), "looked")
-    many = rows.select("key", "node", "root", "s1", "s2", F.pmod(F.xxhash64("node"), "nm").alias("mb"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nq") - 1)).alias("qb"), F.lit(False).alias("asks"))
-    asks = rows.filter("root <> main").select("key", "node", "root", "s1", "s2", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nm") - 1)).alias("mb"),
+    rows = staged(skew_join(placed, sizes, "key", total), "looked")
+    many = rows.select("key", "node", "root", "seen", "s1", "s2", F.pmod(F.xxhash64("node"), "nm").alias("mb"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nq") - 1)).alias("qb"), F.lit(False).alias("asks"))
+    asks = rows.filter("if(main is not null, root <> main, seen <> main_seen)").select("key", "node", "root", "seen", "s1", "s2", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nm") - 1)).alias("mb"),
                                               F.pmod(F.xxhash64("node", F.lit(7)), "nq").alias("qb"), F.lit(True).alias("asks"))
 
+    fields = ("key", "mb", "qb", "asks", "node", "root", "seen", "s1", "s2")
+    kinds = [pa.bool_() if c == "asks" else pa.int64() for c in fields]
+
     def narrow(batches):
-        """Those of a cell that have an alike partner of another root on the other side."""
+        """Those of a cell that have an alike partner of another root and family on the other side."""
         def answer(cell):
-            ask, node, root, s1, s2 = (np.array(c) for c in zip(*[r[3:] for r in cell]))
+            ask, _, root, seen, s1, s2 = (np.array(c) for c in zip(*[r[3:] for r in cell]))
             s1, s2, hit = s1.astype(np.int64).view(np.uint64), s2.astype(np.int64).view(np.uint64), np.zeros(len(ask), bool)
             held = np.flatnonzero(~ask)
             for i in np.flatnonzero(ask):
-                ok = held[(root[held] != root[i]) & (matches(s1[held], s2[held], s1[i], s2[i]) >= ALIKE)]
+                ok = held[(root[held] != root[i]) & (seen[held] != seen[i]) & (matches(s1[held], s2[held], s1[i], s2[i]) >= ALIKE)]
                 hit[ok] = True
                 hit[i] = len(ok) > 0
             out = [cell[i] for i in np.flatnonzero(hit)]
-            return pa.RecordBatch.from_pydict({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate(
-                (("key", pa.int64()), ("mb", pa.int64()), ("qb", pa.int64()), ("asks", pa.bool_()), ("node", pa.int64()), ("root", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())))})
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=list(fields))
 
         cell = []
         for batch in batches:
-            for row in zip(*[batch.column(c).to_pylist() for c in ("key", "mb", "qb", "asks", "node", "root", "s1", "s2")]):
+            for row in zip(*[batch.column(c).to_pylist() for c in fields]):
                 if cell and cell[0][:3] != row[:3]:
                     yield answer(cell)
                     cell = []
@@ -410,8 +443,8 @@ def second_look(members: DataFrame, known: DataFrame, nodes: DataFrame, docs: Da
         if cell:
             yield answer(cell)
 
-    cells = many.unionByName(asks).select("key", "mb", "qb", "asks", "node", "root", "s1", "s2").repartition("key", "mb", "qb").sortWithinPartitions("key", "mb", "qb")
-    alike_rows = staged(cells.mapInArrow(narrow, "key bigint, mb bigint, qb bigint, asks boolean, node bigint, root bigint, s1 bigint, s2 bigint"), "alike")
+    cells = many.unionByName(asks).select(*fields).repartition("key", "mb", "qb").sortWithinPartitions("key", "mb", "qb")
+    alike_rows = staged(cells.mapInArrow(narrow, "key bigint, mb bigint, qb bigint, asks boolean, node bigint, root bigint, seen bigint, s1 bigint, s2 bigint"), "alike")
     full = alike_rows.join(texts_of(docs, alike_rows.select("node")), "node")
 
     def run(batches):
@@ -419,14 +452,14 @@ def second_look(members: DataFrame, known: DataFrame, nodes: DataFrame, docs: Da
         for batch in batches:
             for some in pieces(batch):
                 links = []
-                cols = [some.column(c).to_pylist() for c in ("key", "mb", "qb", "asks", "node", "root", "s1", "s2")]
-                for group, mb, qb, ask, node, root, s1, s2, items in zip(*cols, shingle_sets(some.column("text"), width)):
+                cols = [some.column(c).to_pylist() for c in fields]
+                for group, mb, qb, ask, node, root, seen, s1, s2, items in zip(*cols, shingle_sets(some.column("text"), width)):
                     if key != (group, mb, qb):
                         key, held, head = (group, mb, qb), [], {}
                     if not ask:
-                        held.append((node, root, s1, s2, items))
+                        held.append((node, root, seen, s1, s2, items))
                     elif held:
-                        links += compared((node, root, s1, s2, items), held, head, percent)
+                        links += compared((node, root, seen, s1, s2, items), held, head, percent)
                 yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     return full.repartition("key", "mb", "qb").sortWithinPartitions("key", "mb", "qb", "asks", "node").mapInArrow(run, "a bigint, b bigint")
@@ -440,15 +473,15 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def compared(one, held, head: dict, percent: int) -> list[tuple[int, int]]:
-    """Links of one node with those held that are not yet known to be connected with it, most alike first."""
+    """Links of one node with those held that are not yet known to be connected with it, most alike first; none within a family."""
 
     def find(x):
         while head.get(x, x) != x:
             x = head[x]
         return x
 
-    node, root, s1, s2, items = one
-    marks = np.array([h[2:4] for h in held], np.int64).view(np.uint64)
+    node, root, seen, s1, s2, items = one
+    marks = np.array([h[3:5] for h in held], np.int64).view(np.uint64)
     mine = np.array([s1, s2], np.int64).view(np.uint64)
     m = matches(marks[:, 0], marks[:, 1], mine[0], mine[1])
     out = []
@@ -456,7 +489,7 @@ def compared(one, held, head: dict, percent: int) -> list[tuple[int, int]]:
         if m[i] < ALIKE:
             break
         x, y = find(root), find(held[i][1])
-        if x != y and similar(items, held[i][4], percent):
+        if x != y and seen != held[i][2] and similar(items, held[i][5], percent):
             head[max(x, y)] = min(x, y)
             out.append((min(node, held[i][0]), max(node, held[i][0])))
     return out
@@ -474,26 +507,34 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     able = marks.filter("n_shingles > 0 and doc_id is not null")
     classes = staged(able.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("_n"), F.first("s1").alias("s1"),
                                                   F.first("s2").alias("s2"), F.first("mins").alias("mins")), "classes")
-    known = None
+    nodes = classes.select("node", F.col("node").alias("seen"), "s1", "s2", "mins")
 
-    def rooted(some):
+    def rooted(some, known):
         """``some`` nodes with their roots so far."""
-        own = F.coalesce("root", "node").alias("root")
-        return some.join(few(known), "node", "left").select("node", own, "s1", "s2", "mins") if known is not None else some.select("node", F.col("node").alias("root"), "s1", "s2", "mins")
+        return some.join(few(known), "node", "left").withColumn("root", F.coalesce("root", "node")).select("node", "root", "seen", "s1", "s2", "mins")
 
-    def settle(pairs):
+    def settle(pairs, known):
         """The components after those of ``pairs`` that are similar are added."""
         links = confirmed(pairs, texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("node"))), width, percent)
         return joined(known, links)
 
-    nodes = classes.select("node", "s1", "s2", "mins")
-    known = settle(first_look(rooted(nodes)))
-    pairs, members, deep = turn(rooted(nodes), range(TREES))
-    known = settle(pairs)
+    pairs, large = first_look(nodes.withColumn("root", F.col("node")))
+    known = settle(pairs, None)
+    family = families(large, known, nodes)
+    held = not family.isEmpty()
+    if held:
+        known = joined(known, staged(second_look(family, known, nodes, docs, width, percent), "more"))
+        named = staged(family.groupBy("node").agg(F.min("key").alias("_seen")), "family")
+        nodes = nodes.join(few(named), "node", "left").withColumn("seen", F.coalesce("_seen", "seen")).drop("_seen")
+    pairs, members, deep = turn(rooted(nodes, known), range(TREES))
+    known = settle(pairs, known)
     if deep is not None and not deep.isEmpty():
-        pairs, further, _ = turn(rooted(deep.drop("root")), range(TREES, TREES + DEEP_TREES))
+        pairs, further, _ = turn(rooted(deep.drop("root"), known), range(TREES, TREES + DEEP_TREES))
         members = members.unionByName(further).distinct()
-        known = settle(pairs)
+        known = settle(pairs, known)
+    if held:
+        members = staged(members, "members")
+        members = members.unionByName(family.join(few(staged(members.select("key").distinct(), "keys")), "key", "left_semi")).distinct()
     known = joined(known, staged(second_look(members, known, nodes, docs, width, percent), "more"))
     ends = classes.select("d1", "d2", "node", "_n").join(known, "node", "left").select("d1", "d2", "_n", F.coalesce("root", "node").alias("component_id"))
     linked = skew_join(able.select("doc_id", "n_shingles", "d1", "d2"), staged(ends, "ends"), ["d1", "d2"], marks.count())
