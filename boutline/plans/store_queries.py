@@ -1,7 +1,9 @@
 """Documents, index tables, audits, progress, clip plans and move tables."""
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boutline.operators import audit as A
@@ -16,7 +18,9 @@ from boutline.plans.match_queries import METRICS_SQL, metrics_of
 from boutline.plans.panel_queries import CAPS_SQL, SCORED_SQL, captions, scored
 from boutline.plans.registry import near, query
 from boutline.plans.testviews import FRAME_BLOCK
+from boutline.sources import versions as V
 from boutline.sources.files import read_documents, read_gauge, scan_files, write_documents, write_gauge
+from boutline.streaming.watch import watch_table
 
 
 @query("src_scan", """SELECT source, sum(strlen(replace(coalesce(text, ''), chr(10), ' ')) + 1)::BIGINT AS bytes, count(*) AS lines, sum(length(replace(coalesce(text, ''), chr(10), ' ')))::BIGINT AS chars FROM documents GROUP BY 1""")
@@ -126,6 +130,53 @@ def _(t):
     return ST.upsert(old, new, ["match_id"], "version").drop("version")
 
 
+def _stale_sql(name: str, columns: str) -> str:
+    """Stored matches in three batches with stale children, then two that come again; each match is as its last batch has it."""
+    return f"""SELECT {columns} FROM {name} WHERE match_id % 3 <> 0 OR match_id % 2 <> 0"""
+
+
+def _index_store(t):
+    """The four index tables of all matches, stored with children that no longer hold, then a third of the matches again: half of them
+    anew, half withdrawn, and the last batch twice."""
+    found = {n: settle(d) for n, d in ST.index_rows(documents_of(t)).items()}
+    folder = fresh_folder(t)
+    stale = dict(found)
+    stale["players"] = found["players"].unionByName(found["players"].withColumn("slot", F.col("slot") + 5))
+    stale["moments"] = found["moments"].unionByName(found["moments"].withColumn("kind", F.lit("stale")))
+    stale["metrics"] = found["metrics"].unionByName(found["metrics"].withColumn("key", F.lit("stale")))
+    V.replace_keys(t.spark, folder, stale, "match_id", found["matches"], "first", 8)
+    for batch, part in (("second", "match_id % 3 <> 0"), ("third", "match_id % 3 = 0"), ("third", "match_id % 3 = 0")):
+        keep = "match_id % 3 <> 0 or match_id % 2 <> 0"
+        V.replace_keys(t.spark, folder, {n: d.filter(part).filter(keep) for n, d in found.items()}, "match_id", found["matches"].filter(part), batch, 8)
+    return {n: V.read_version(t.spark, folder, n, d.schema) for n, d in found.items()}
+
+
+@query("index_store", f"""WITH RECURSIVE {CLUSTERS_SQL}, {METRICS_SQL},
+   pl AS (SELECT p.* FROM v_players p JOIN v_matches USING (match_id)), mo AS (SELECT c.* FROM clusters c JOIN v_matches USING (match_id)),
+   u AS ({_stale_sql("(SELECT match_id, 'matches' AS tbl, patch AS a FROM v_matches)", "match_id, tbl, a")}
+     UNION ALL {_stale_sql("(SELECT match_id, 'players' AS tbl, slot || display_name AS a FROM pl)", "match_id, tbl, a")}
+     UNION ALL {_stale_sql("(SELECT match_id, 'moments' AS tbl, slot || kind || frame AS a FROM mo)", "match_id, tbl, a")}
+     UNION ALL {_stale_sql("(SELECT match_id, 'metrics' AS tbl, slot || key AS a FROM metrics)", "match_id, tbl, a")})
+   SELECT match_id, tbl, count(*) AS n, min(a) AS first, max(a) AS last FROM u GROUP BY 1, 2""")
+def _(t):
+    s = _index_store(t)
+    tagged = [s["matches"].select("match_id", F.lit("matches").alias("tbl"), F.col("patch").alias("a")), s["players"].select("match_id", F.lit("players").alias("tbl"), F.concat("slot", "display_name").alias("a")),
+              s["moments"].select("match_id", F.lit("moments").alias("tbl"), F.concat("slot", "kind", "frame").alias("a")), s["metrics"].select("match_id", F.lit("metrics").alias("tbl"), F.concat("slot", "key").alias("a"))]
+    return reduce(DataFrame.unionByName, tagged).groupBy("match_id", "tbl").agg(F.count("*").alias("n"), F.min("a").alias("first"), F.max("a").alias("last"))
+
+
+@query("ingest_batches", """SELECT match_id, count(*) AS inputs, max(frame) AS last, count(DISTINCT slot)::BIGINT AS slots FROM v_inputs GROUP BY 1""")
+def _(t):
+    """Inputs of every match spread over three batches of a stream: a match is whole whichever batches its rows come in."""
+    folder = fresh_folder(t)
+    for k in range(3):
+        t.inputs.filter(F.pmod(F.xxhash64("seq"), F.lit(3)) == k).write.mode("append").parquet(f"{folder}/in/part={k}")
+    source = watch_table(t.spark, f"{folder}/in/part=*", t.inputs.schema, files_per_batch=5)
+    count = lambda r: {"counts": r.groupBy("match_id").agg(F.count("*").alias("inputs"), F.max("frame").alias("last"), F.count_distinct("slot").alias("slots"))}
+    V.ingest_stream(source, f"{folder}/store", "match_id", count, f"{folder}/log", 8).awaitTermination()
+    return V.read_version(t.spark, f"{folder}/store", "counts", "match_id long, inputs long, last long, slots long")
+
+
 @query("wire_projection", """SELECT m.match_id, (SELECT count(*) FROM v_kos k WHERE k.match_id = m.match_id)::INTEGER AS kos, false AS has_inputs FROM v_matches m""")
 def _(t):
     d = ST.wire_projection(documents_of(t))
@@ -199,6 +250,22 @@ def _(t):
     return ST.replace_slices(caps.drop("side"), found.drop("side"), done, "segment")
 
 
+@query("slice_sweeps", f"WITH {CAPS_SQL} SELECT segment, seq, t FROM caps WHERE side = 'L' OR segment NOT IN (SELECT match_id FROM v_matches WHERE has_video)")
+def _(t):
+    """A whole sweep, one of some slices, one that is refused since it left slices out, and one that is undone."""
+    folder, caps = fresh_folder(t), settle(captions(t).select("segment", "seq", "t", "side"))
+    every, some = caps.select("segment").distinct(), t.matches.filter("has_video").select(F.col("match_id").alias("segment"))
+    row = lambda d: d.select("segment", "seq", "t")
+    V.overwrite_slices(t.spark, folder, "captions", row(caps), "segment", every, every)
+    good = V.overwrite_slices(t.spark, folder, "captions", row(caps.filter("side = 'L'").join(some, "segment", "left_semi")), "segment", some)
+    try:
+        V.overwrite_slices(t.spark, folder, "captions", row(caps.limit(0)), "segment", some, every)
+    except V.PartialSweep:
+        V.overwrite_slices(t.spark, folder, "captions", row(caps.limit(0)), "segment", every, every)
+        V.restore(t.spark, folder, good)
+    return V.read_version(t.spark, folder, "captions", row(caps).schema)
+
+
 @query("caption_union", f"WITH {CAPS_SQL}, u AS ({_slices_sql('caps')}) SELECT segment, count(*) AS n, min(t) AS first, max(t) AS last FROM u GROUP BY 1")
 def _(t):
     done = t.matches.filter("has_video").select(F.col("match_id").alias("segment"))

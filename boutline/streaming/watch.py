@@ -5,7 +5,9 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from boutline.streaming.detect import stateful
 
 BINARY = "path string, modificationTime timestamp, length long, content binary"
 
@@ -29,28 +31,39 @@ def watch_table(spark: SparkSession, folder: str, schema, fmt: str = "parquet",
     return reader.load(folder)
 
 
-def settled_files(observed: DataFrame, quiet_seconds: float = 2.0) -> DataFrame:
-    """Paths whose size stayed the same for ``quiet_seconds``; growth restarts the wait; each path once.
-    ``observed(path, size, ts)`` is one row per poll and file."""
+class Settling(StatefulProcessor):
+    """Size and time since when it is so, of one path; what is known of a path is forgotten ``forget_ms`` after its last observation."""
+
+    def __init__(self, quiet_seconds: float, forget_ms: int):
+        self.quiet_seconds, self.forget_ms = quiet_seconds, forget_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "size long, since double, done boolean", ttlDurationMs=self.forget_ms)
 
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        size, since, done = state.get if state.exists else (-1, 0.0, False)
-        rows = pd.concat(frames).sort_values("at")
-        out = []
-        for now, new in zip(rows["at"], rows["size"]):
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        size, since, done = self.seen.get() if self.seen.exists() else (-1, 0.0, False)
+        polls, out = pd.concat(rows).sort_values("at"), []  # the polls of one file in one batch
+        for now, new in zip(polls["at"], polls["size"]):
             if done:
                 break
             if new != size:
                 size, since = int(new), float(now)
-            elif now - since >= quiet_seconds:
+            elif now - since >= self.quiet_seconds:
                 done = True
                 out.append((key[0], size))
-        state.update((size, since, done))
+        self.seen.update((size, since, done))
         yield pd.DataFrame(out, columns=["path", "size"])
 
+    def close(self) -> None:
+        pass
+
+
+def settled_files(observed: DataFrame, quiet_seconds: float = 2.0, forget: str = "1 day") -> DataFrame:
+    """Paths whose size stayed the same for ``quiet_seconds``; growth restarts the wait; each path once, unless it is not observed for
+    ``forget`` (of processing time), after which nothing is kept of it. ``observed(path, size, ts)`` is one row per poll and file."""
+    stateful(observed.sparkSession)
     timed = observed.select("path", "size", F.col("ts").cast("double").alias("at"))
-    return timed.groupBy("path").applyInPandasWithState(
-        step, "path string, size long", "size long, since double, done boolean", "append", GroupStateTimeout.NoTimeout)
+    return timed.groupBy("path").transformWithStateInPandas(Settling(quiet_seconds, int(pd.Timedelta(forget).total_seconds() * 1000)), "path string, size long", "Append", "ProcessingTime")
 
 
 def ingest_stream(source: DataFrame, build: Callable[[DataFrame], DataFrame], folder: str, by: list[str], checkpoint: str):
