@@ -6,7 +6,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boutline.functions.scalars import moment_id
 from boutline.operators import audit as A
+from boutline.operators import contract as C
 from boutline.operators import lookup as L
 from boutline.operators import progress as PR
 from boutline.operators import store as ST
@@ -222,6 +224,69 @@ def _(t):
     return A.audit(t.matches, t.players.filter("character_id > 2"), t.inputs, t.kos, clusters, metrics_of(t), t.action_model).withColumn("rate", F.round("rate", 6))
 
 
+RAW_SQL = """raw AS (SELECT m.match_id, patch, fps, duration_frames, level_id, has_video, (SELECT count(*) FROM v_players p WHERE p.match_id = m.match_id) AS np, (SELECT max(slot) FROM v_players p WHERE p.match_id = m.match_id) AS top FROM v_matches m),
+   faults AS (SELECT match_id, list_filter([
+     CASE WHEN match_id % 13 = 0 THEN '<root>: required analyzer_version' END,
+     CASE WHEN level_id % 5 = 0 THEN 'match/patch: type' END, CASE WHEN match_id % 7 = 0 THEN 'match/fps: minimum' END,
+     CASE WHEN level_id = 3 THEN 'match/outcome/1: enum' END, CASE WHEN match_id % 5 = 0 THEN 'match: additional replay' END,
+     CASE WHEN np = 0 THEN 'players: minItems' END, CASE WHEN np > 0 AND match_id % 11 = 0 THEN 'players/0/display_name: type' END,
+     CASE WHEN match_id % 3 = 0 THEN 'observations/inputs/1/frame: minimum' END, CASE WHEN match_id % 9 = 0 THEN 'analysis/moments/0/id: pattern' END,
+     CASE WHEN match_id % 4 = 1 AND match_id % 17 <> 0 THEN 'input references unknown slot 7' END], lambda x: x IS NOT NULL) AS errors FROM raw)"""
+
+
+def raw_documents(t):
+    """Match documents as text, with faults of every kind in some of them."""
+    named = F.array_sort(F.collect_list(F.struct("slot", F.to_json(F.struct("slot", "display_name")).alias("body"))))
+    who = t.players.groupBy("match_id").agg(named.alias("_p"), F.max("slot").alias("top"))
+    m = t.matches.join(who, "match_id", "left")
+    is_ = lambda test, yes, no: F.when(F.expr(test), yes).otherwise(no)
+    players = F.transform(F.coalesce("_p", F.array().cast("array<struct<slot:int,body:string>>")), lambda p, i: F.when((i == 0) & F.expr("match_id % 11 = 0"), F.concat(F.lit('{"slot": '), p["slot"].cast("string"), F.lit(', "display_name": 5}'))).otherwise(p["body"]))
+    inputs = F.concat(F.lit('[{"slot": null, "frame": 1, "action": "a"}, {"slot": '), is_("match_id % 4 = 1 and match_id % 17 <> 0", F.lit("7"), F.coalesce(F.col("top").cast("string"), F.lit("null"))),
+                      F.lit(', "frame": '), is_("match_id % 3 = 0", F.lit("-1"), F.lit("2")), F.lit(', "action": "b"}]'))
+    body = F.concat(
+        F.lit('{"schema_version": "1.1", '), is_("match_id % 13 = 0", F.lit(""), F.lit('"analyzer_version": "x", ')), F.lit('"match": {"id": "'), F.col("match_id").cast("string"), F.lit('", "game": "g", "patch": '),
+        is_("level_id % 5 = 0", F.lit("7"), F.concat(F.lit('"'), F.col("patch"), F.lit('"'))), F.lit(', "fps": '), is_("match_id % 7 = 0", F.lit("0"), F.lit("60")), F.lit(', "duration_frames": '), F.col("duration_frames").cast("string"),
+        F.lit(', "outcome": {"0": "win", "1": '), is_("level_id = 3", F.lit('"lost"'), F.lit('"loss"')), F.lit("}"), is_("match_id % 5 = 0", F.lit(', "replay": 1'), F.lit("")),
+        F.lit('}, "players": ['), F.array_join(players, ", "), F.lit('], "observations": {"inputs": '), inputs, F.lit('}, "analysis": {"moments": [{"id": "'), is_("match_id % 9 = 0", F.lit("x1"), F.lit("m_1")),
+        F.lit('", "frame": 3, "kind": "ko", "severity": 5}]}, "provenance": {"parser": "p"}}'))
+    return m.select("match_id", body.alias("body"))
+
+
+@query("doc_contract", f"WITH {RAW_SQL} SELECT match_id, array_to_string(errors, '; ') AS errors FROM faults")
+def _(t):
+    return C.valid(raw_documents(t), C.MATCH_DOCUMENT).select("match_id", F.array_join("errors", "; ").alias("errors"))
+
+
+def results_of(t):
+    """Final places, some of them shared and some of slots that no player has."""
+    return t.players.select("match_id", F.expr("case when character_id = 4 then slot + 3 else slot end").alias("slot"), F.expr("case when match_id % 6 = 0 then 1 else (slot + match_id) % 2 + 1 end").alias("place"))
+
+
+@query("audit_more", f"""WITH RECURSIVE {CLUSTERS_SQL}, {METRICS_SQL}, {RAW_SQL},
+   hero AS (SELECT DISTINCT CAST(n_nationkey AS INTEGER) AS character_id FROM nation WHERE n_nationkey % 8 <> 1),
+   o AS (SELECT match_id, coalesce(bool_and(frame >= f), true) AS ok FROM (SELECT match_id, frame, lag(frame) OVER (PARTITION BY match_id, slot ORDER BY seq) AS f FROM v_inputs) GROUP BY 1),
+   res AS (SELECT match_id, CASE WHEN character_id = 4 THEN slot + 3 ELSE slot END AS slot, CASE WHEN match_id % 6 = 0 THEN 1 ELSE (slot + match_id) % 2 + 1 END AS place FROM v_players),
+   fell AS (SELECT match_id, slot, count(*) AS k, min(frame * 1000000000 + seq) AS first FROM v_kos GROUP BY 1, 2), worst AS (SELECT match_id, slot FROM fell QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY k DESC, first) = 1),
+   win AS (SELECT match_id, slot FROM res QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY place, slot) = 1),
+   rk AS (SELECT match_id, count(*) AS n, count(DISTINCT place) AS places, bool_and(EXISTS (SELECT 1 FROM v_players p WHERE p.match_id = res.match_id AND p.slot = res.slot)) AS keys FROM res GROUP BY 1),
+   mo AS (SELECT c.match_id, count(*) AS n, count(DISTINCT (coalesce(CAST(slot AS VARCHAR), 'None'), frame, kind)) AS ids, coalesce(bool_and(frame BETWEEN 0 AND duration_frames - 3600 + 120), false) AS within FROM clusters c LEFT JOIN v_matches USING (match_id) GROUP BY 1),
+   c AS (SELECT 'hero id in table' AS "check", character_id IN (SELECT character_id FROM hero) AS ok, match_id FROM v_players WHERE character_id IS NOT NULL
+     UNION ALL SELECT 'inputs ordered per slot', ok, match_id FROM o UNION ALL SELECT 'result keys are slots', keys, match_id FROM rk UNION ALL SELECT 'result ranks distinct', places = n, match_id FROM rk
+     UNION ALL SELECT 'winner is not the most KO''d', w.slot <> x.slot, w.match_id FROM win w JOIN worst x ON x.match_id = w.match_id JOIN rk ON rk.match_id = w.match_id AND rk.n > 1
+     UNION ALL SELECT 'moment ids unique', n = ids, match_id FROM mo UNION ALL SELECT 'moments within duration', within, match_id FROM mo
+     UNION ALL SELECT 'metric minutes as duration', abs(value * 60 * fps - (duration_frames - 3600)) < fps * 30, match_id FROM metrics JOIN v_matches USING (match_id) WHERE key = 'minutes'
+     UNION ALL SELECT 'kos confidence honest', (level_id % 2 = 0) = (match_id IN (SELECT match_id FROM v_kos)), match_id FROM v_matches UNION ALL SELECT 'schema valid', len(errors) = 0, match_id FROM faults)
+   SELECT "check", count(*) AS n, count(*) FILTER (WHERE NOT ok) AS failed, min(CAST(match_id AS VARCHAR)) FILTER (WHERE NOT ok) AS example, round(count(*) FILTER (WHERE ok) / count(*)::DOUBLE, 6) AS rate FROM c GROUP BY 1""")
+def _(t):
+    """Durations are taken an hour of frames short here, so that trailing events fail."""
+    short = t.matches.withColumn("duration_frames", F.col("duration_frames") - 3600)
+    moments = cluster_moments(moments_of(t), 240, FRAME_BLOCK).withColumn("id", moment_id(F.col("match_id"), F.col("slot"), F.col("frame"), F.col("kind")))
+    claims = t.matches.select("match_id", F.expr("case when level_id % 2 = 0 then 'high' else 'missing' end").alias("kos"))
+    heroes = t.nation.filter("n_nationkey % 8 <> 1").select(F.col("n_nationkey").cast("int").alias("character_id"))
+    errors = C.valid(raw_documents(t), C.MATCH_DOCUMENT)
+    return A.audit_more(short, t.players, t.inputs, t.kos, moments, metrics_of(t), results_of(t), claims, heroes, errors).withColumn("rate", F.round("rate", 6))
+
+
 @query("monotone_check", """WITH s AS (SELECT conv_id, turn, length(text) AS v, length(text) - lag(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS d FROM conversations)
    SELECT conv_id, count(*) AS n, coalesce(bool_and(d > 0), true) OR coalesce(bool_and(d < 0), true) AS one_way, bool_and(v BETWEEN 50 AND 5000) AS in_range,
      (coalesce(bool_and(d > 0), true) OR coalesce(bool_and(d < 0), true)) AND bool_and(v BETWEEN 50 AND 5000) AND count(*) <= 16 AS ok FROM s GROUP BY 1""")
