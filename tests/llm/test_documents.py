@@ -268,6 +268,29 @@ def test_whole_literals(text, want):
     assert {text[s:e] for s, e in secrets.literals(text)} == want
 
 
+KEY = "aB3$kdkd83jdK2"
+
+
+@pytest.mark.parametrize("text,want", [
+    (f'client_secret\t=\t"{KEY}"', {KEY}), (f'client_secret =\n    "{KEY}"', {KEY}), (f'client_secret = \\\n  "{KEY}"', {KEY}), (f'client_secret = f"{KEY}"', {KEY}),
+    (f'client_secret = b"{KEY}"', {KEY}), (f"client_secret = r'{KEY}'", {KEY}), (f'client_secret = rb"{KEY}"', {KEY}), ('client_secret = ("aB3$kd" "kd83jdK2")', {"aB3$kd", "kd83jdK2"}),
+    ('client_secret = (\n  "aB3$kd"\n  "kd83jdK2"\n)', {"aB3$kd", "kd83jdK2"}), (f'credentials = {{"x": "{KEY}"}}', {KEY}), (f'credentials = {{"x": {{"y": ["a", "{KEY}"]}}, "z": 1}}', {KEY}),
+    (f'<add key="ClientSecret" value="{KEY}"/>', {KEY}), (f'<add value="{KEY}" name="ClientSecret"/>', {KEY}), (f'define("DB_PASSPHRASE", "{KEY}");', {KEY}),
+    (f'os.setenv("CLIENT_SECRET", "{KEY}")', {KEY}), (f'client_secret = os.environ.get("X", "{KEY}")', {KEY}), ('client_secret = os.environ.get("CLIENT_NAME")', set()),
+    (f"client_secret: |\n  {KEY}\nother: x", {KEY}), ("spec:\n  private_key: |-\n    aB3kd83jdK2\n    Zq77kLm0Pa\n  size: 4", {"aB3kd83jdK2", "Zq77kLm0Pa"}),
+    ('names = {"x": "aB3$kdkd83jdK2"}', set()), ('credentials = {"kind": "service", "region": "north"}', set()), (f'credentials = {{"x": "{KEY}"', set()), ('define("TITLE", "aB3$kdkd83jdK2")', set()),
+    ("client_secret = load_secret(name)", set()), ('tokens = tokenize("some longer words here")', set())])
+def test_literals_of_common_syntax(text, want):
+    assert {text[s:e] for s, e in secrets.literals(text)} == want
+
+
+@pytest.mark.parametrize("text", ["secret = {" * 20_000, "secret = [" * 9_000 + "'aB3$kdkd83jdK2'" + "]" * 9_000, "secret: |\n " * 20_000, 'define("secret", ' * 15_000, "secret =\n" * 20_000, 'secret = ("a" ' + '"b" ' * 50_000, "secret\t" * 30_000, 'key="secret" ' * 15_000, "new " * 40_000])
+def test_lexer_takes_linear_time_on_brackets(text):
+    began = time.process_time()
+    secrets.literals(text)
+    assert time.process_time() - began < 5
+
+
 @pytest.mark.parametrize("text", ["token: " * 30_000, "a: b " * 30_000, 'k = "' * 30_000, "-" * 200_000, ("pwd = " + 3 * "\x27") * 9_999, "a: " + "b " * 90_000, "a: b<" * 30_000, "x: [" * 30_000])
 def test_lexer_takes_linear_time(text):
     began = time.process_time()
