@@ -61,14 +61,17 @@ def system_words(states: DataFrame, top: int = 6) -> DataFrame:
 
 
 def command_join(commands: DataFrame, wiki: DataFrame) -> DataFrame:
-    """Inputs a command-list entry covers, with the wiki row found as is, else under its air form.
+    """Inputs a command-list entry covers, each with every wiki row it has: as is, under its air form, and of the same stem where the wiki
+    gives one row for all strengths (``236X``, also in the air). An input without a row comes once, with NULL.
     ``commands(char, entry, key)``, ``wiki(char, input)``."""
     ins = commands.select("char", "entry", F.explode(expand_inputs(F.col("key"))).alias("input"))
-    rows = wiki.select("char", F.col("input").alias("_w")).distinct()
-    plain = ins.join(rows.withColumnRenamed("_w", "input").withColumn("_as_is", F.lit(True)), ["char", "input"], "left")
-    air = rows.filter(F.col("_w").startswith("j.")).select("char", F.expr("substring(_w, 3)").alias("input"), F.lit(True).alias("_air")).distinct()
-    return plain.join(air, ["char", "input"], "left").select(
-        "char", "entry", "input", F.when(F.col("_as_is"), F.col("input")).when(F.col("_air"), F.concat(F.lit("j."), "input")).alias("wiki"))
+    w = wiki.select("char", F.col("input").alias("wiki")).distinct()
+    ground = F.regexp_replace("wiki", r"^(j\.|dc\.)", "")
+    exact = w.select("char", F.explode(F.array_compact(F.array(F.col("wiki"), F.when(F.col("wiki").startswith("j."), F.substring("wiki", 3, 1 << 20))))).alias("input"), "wiki")
+    stems = w.filter(ground.endswith("X")).select("char", F.expr(r"left(regexp_replace(wiki, '^(j[.]|dc[.])', ''), length(regexp_replace(wiki, '^(j[.]|dc[.])', '')) - 1)").alias("stem"), "wiki")
+    found = ins.join(exact, ["char", "input"]).unionByName(
+        ins.withColumn("stem", F.expr("left(input, length(input) - 1)")).join(stems, ["char", "stem"]).drop("stem")).distinct()
+    return ins.join(found, ["char", "entry", "input"], "left").select("char", "entry", "input", "wiki")
 
 
 def routes(trials: DataFrame, wiki: DataFrame) -> DataFrame:

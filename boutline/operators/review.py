@@ -112,10 +112,18 @@ def _only(facts: DataFrame) -> DataFrame:
     return rows.select(F.when(F.size("f") == 1, F.get("f", F.lit(0))).otherwise(F.raise_error(F.lit("facts must be one row"))).alias("facts"))
 
 
+def with_facts(deaths: DataFrame, facts: DataFrame) -> DataFrame:
+    """``deaths(match_id, slot, opp, ...)`` with the weapon facts of both players, ``mine`` and ``theirs``."""
+    mine = facts.select("match_id", "slot", F.col("facts").alias("mine"))
+    theirs = facts.select("match_id", F.col("slot").alias("opp"), F.col("facts").alias("theirs"))
+    return deaths.join(mine, ["match_id", "slot"]).join(theirs, ["match_id", "opp"])
+
+
 def review_deaths(kos, players, inputs, readings, facts, *, fps=60, window=180, pair_frames=6, width=4096) -> DataFrame:
     """Each death of the reviewed player: what was chosen, what it was worth, what was worth most.
 
-    ``facts`` is the weapon assumed for both sides, one row with a ``facts`` struct.
+    ``facts(match_id, slot, facts)`` are those of each player's weapon; deaths of a match where one of the two has none are left out. One row
+    with a ``facts`` struct alone is the weapon assumed for both sides of every match.
     """
     who = reviewed_slots(kos)
     opp = players.join(who.withColumnRenamed("slot", "me"), "match_id").filter(F.col("slot") != F.col("me")).groupBy("match_id").agg(
@@ -129,8 +137,10 @@ def review_deaths(kos, players, inputs, readings, facts, *, fps=60, window=180,
     mine = damage_at(chosen, readings).withColumnRenamed("damage", "my_damage").withColumnRenamed("slot", "me").withColumnRenamed("opp", "slot")
     both = damage_at(mine, readings).withColumnRenamed("damage", "their_damage").withColumnRenamed("slot", "opp").withColumnRenamed("me", "slot")
     key = ["match_id", "slot", "ko_frame", "option", "at_frame", "my_damage", "their_damage"]
-    ctx = both.select(*key).join(F.broadcast(_only(facts)), how="cross").select(
-        *key, F.col("facts").alias("mine"), F.col("facts").alias("theirs"))
+    if "slot" in facts.columns:
+        ctx = with_facts(both.select(*key, "opp"), facts).select(*key, "mine", "theirs")
+    else:
+        ctx = both.select(*key).join(F.broadcast(_only(facts)), how="cross").select(*key, F.col("facts").alias("mine"), F.col("facts").alias("theirs"))
     ev = expected_values(payoff_cells(ctx), tend.select("match_id", "a", "p"), key, ["match_id"])
     best = ev.groupBy(*key).agg(
         F.max_by(F.struct("d", "ev", "why"), F.struct("ev", (-F.col("ord")).alias("o"))).alias("_b"),

@@ -42,10 +42,10 @@ def _(t):
     return C.fuzzy_snap(t.part.select(text.alias("text")), t.part.select(F.col("p_name").alias("key")))
 
 
-@query("name_vote", """WITH n AS (SELECT match_id AS segment, CASE slot WHEN 0 THEN 'L' ELSE 'R' END AS side, event_type AS name, count(*) AS n, min(seq) AS f FROM v_ticks WHERE event_type <> 'error' AND value > 60 GROUP BY 1, 2, 3)
+@query("name_vote", """WITH n AS (SELECT match_id AS segment, CASE slot WHEN 0 THEN 'L' ELSE 'R' END AS side, event_type AS name, count(*) AS n, min(seq) AS f FROM v_ticks WHERE event_type <> 'error' GROUP BY 1, 2, 3)
    SELECT segment, side, CASE WHEN max(n) >= 2 THEN arg_max(name, (n, -f)) END AS name, string_agg(name || ':' || n, ',' ORDER BY name) AS seen FROM n GROUP BY 1, 2""")
 def _(t):
-    reads = t._ticks.filter("value > 60").select(
+    reads = t._ticks.select(
         F.col("match_id").alias("segment"), F.when(F.col("slot") == 0, "L").otherwise("R").alias("side"),
         F.when(F.col("event_type") != "error", F.col("event_type")).alias("name"), F.col("seq").alias("ord"))
     seen = F.array_join(F.transform(F.array_sort(F.map_entries("seen")), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")

@@ -199,12 +199,19 @@ def _(t):
     return R.payoff_cells(ctx).select("match_id", "d", "a", F.round("score", 9).alias("score"), "confidence", "row_confidence")
 
 
+def player_facts(t):
+    """Facts of each player's weapon, named by the character."""
+    weapon = F.concat(F.lit("Brand#"), (F.col("character_id") + 1).cast("string"))
+    return t.players.select("match_id", "slot", weapon.alias("weapon")).join(R.weapon_facts(t.moves_dim), "weapon").select("match_id", "slot", "facts")
+
+
 REVIEW_SQL = f"""{CHOICE_SQL}, {TEND_SQL}, {READINGS_SQL}, {FACTS_SQL},
   c1 AS (SELECT c.*, d.opp, at_frame / 60.0::DOUBLE AS sec FROM choice c JOIN deaths d USING (match_id, slot, ko_frame)),
   dm AS (SELECT c1.match_id, c1.ko_frame, arg_min(r.estimate, (abs(r.seconds - sec), r.seconds)) AS v FROM c1 JOIN readings r ON r.match_id = c1.match_id AND r.slot = c1.slot AND abs(r.seconds - sec) <= 1.5 GROUP BY 1, 2),
   dt AS (SELECT c1.match_id, c1.ko_frame, arg_min(r.estimate, (abs(r.seconds - sec), r.seconds)) AS v FROM c1 JOIN readings r ON r.match_id = c1.match_id AND r.slot = c1.opp AND abs(r.seconds - sec) <= 1.5 GROUP BY 1, 2),
-  ctx AS (SELECT c1.match_id, c1.slot, c1.ko_frame, c1.option, c1.at_frame, dm.v AS my_damage, dt.v AS their_damage, {_PREFIX} FROM c1 LEFT JOIN dm USING (match_id, ko_frame) LEFT JOIN dt USING (match_id, ko_frame),
-     wf d, wf a WHERE d.weapon = 'Brand#1' AND a.weapon = 'Brand#1'),
+  ctx AS (SELECT c1.match_id, c1.slot, c1.ko_frame, c1.option, c1.at_frame, dm.v AS my_damage, dt.v AS their_damage, {_PREFIX} FROM c1 LEFT JOIN dm USING (match_id, ko_frame) LEFT JOIN dt USING (match_id, ko_frame)
+     JOIN v_players pd ON pd.match_id = c1.match_id AND pd.slot = c1.slot JOIN wf d ON d.weapon = 'Brand#' || (pd.character_id + 1)
+     JOIN v_players pa ON pa.match_id = c1.match_id AND pa.slot = c1.opp JOIN wf a ON a.weapon = 'Brand#' || (pa.character_id + 1)),
   {cells_sql('ctx', 'match_id, slot, ko_frame, option, at_frame, my_damage, their_damage')},
   ev AS (SELECT match_id, slot, ko_frame, option, at_frame, my_damage, their_damage, d, ord, sum(score * p) AS ev, min(row_confidence) AS confidence FROM cells JOIN tend USING (match_id, a) GROUP BY ALL)"""
 
@@ -216,10 +223,8 @@ def _(t):
     tend = R.tendency(deaths, opp, frames, WINDOW, PAIR, FRAME_BLOCK).select("match_id", "a", "p")
     chosen = R.committed_options(deaths, frames, WINDOW, PAIR, FRAME_BLOCK).join(opp, "match_id").withColumn("seconds", F.col("at_frame") / 60.0)
     mine = D.damage_at(chosen, readings(t), width=SECOND_BLOCK).withColumnRenamed("damage", "my_damage").withColumnRenamed("slot", "me").withColumnRenamed("opp", "slot")
-    both = D.damage_at(mine, readings(t), width=SECOND_BLOCK).withColumnRenamed("damage", "their_damage")
-    facts = R.weapon_facts(t.moves_dim.filter("weapon = 'Brand#1'"))
-    ctx = both.select("match_id", "ko_frame", "my_damage", "their_damage", F.lit("Brand#1").alias("weapon")).join(facts, "weapon").select(
-        "match_id", "ko_frame", "my_damage", "their_damage", F.col("facts").alias("mine"), F.col("facts").alias("theirs"))
+    both = D.damage_at(mine, readings(t), width=SECOND_BLOCK).withColumnRenamed("damage", "their_damage").withColumnRenamed("slot", "opp").withColumnRenamed("me", "slot")
+    ctx = R.with_facts(both, player_facts(t)).select("match_id", "ko_frame", "my_damage", "their_damage", "mine", "theirs")
     return R.expected_values(R.payoff_cells(ctx), tend, ["match_id", "ko_frame"], ["match_id"]).select(
         "match_id", "ko_frame", "d", near(F.col("ev")).alias("ev"), "confidence")
 
@@ -230,7 +235,6 @@ def _(t):
   SELECT match_id, slot, ko_frame, option, at_frame, round(my_damage + 1e-9, 6) AS my_damage, round(their_damage + 1e-9, 6) AS their_damage, best, round(best_ev + 1e-9, 6) AS best_ev, round(ev + 1e-9, 6) AS ev,
     round(best_ev - ev + 1e-9, 6) AS gap, confidence FROM b""")
 def _(t):
-    facts = R.weapon_facts(t.moves_dim.filter("weapon = 'Brand#1'")).select("facts")
-    r = R.review_deaths(t.kos, t.players, t.presses, readings(t), facts, window=WINDOW, pair_frames=PAIR, width=FRAME_BLOCK)
+    r = R.review_deaths(t.kos, t.players, t.presses, readings(t), player_facts(t), window=WINDOW, pair_frames=PAIR, width=FRAME_BLOCK)
     return r.select("match_id", "slot", "ko_frame", "option", "at_frame", "best", "confidence",
                     *[near(F.col(c)).alias(c) for c in ("my_damage", "their_damage", "best_ev", "ev", "gap")])

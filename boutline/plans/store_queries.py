@@ -460,17 +460,22 @@ def _(t):
 
 KEYS = ("236L / M / H (Air OK)", "U / 2U / 3U", "L + M", "5H", "QS", "T / 6A", "22M")
 EXPANDED = {"236L / M / H (Air OK)": ["236L", "236M", "236H"], "U / 2U / 3U": ["5U", "2U", "3U"], "L + M": ["L+M"], "5H": ["5H"], "QS": [], "T / 6A": ["6A"], "22M": ["22M"]}
-CMD_SQL = "cmd AS (SELECT DISTINCT p_brand AS char, p_name AS entry, [" + ", ".join(f"'{k}'" for k in KEYS) + "][p_partkey % 7 + 1] AS key FROM part)"
-ROWS_SQL = "wk AS (SELECT DISTINCT p_brand AS char, ['236L', 'j.236M', '5U', 'j.2U', '5H', 'j.5L', 'L+M'][p_partkey % 7 + 1] AS input, CAST(p_size AS INTEGER) AS startup FROM part WHERE p_size < 25)"
-WIKI = ("236L", "j.236M", "5U", "j.2U", "5H", "j.5L", "L+M")
+CMD_SQL = "cmd AS (SELECT DISTINCT p_brand || '/' || p_size % 10 AS char, p_name AS entry, [" + ", ".join(f"'{k}'" for k in KEYS) + "][p_partkey % 7 + 1] AS key FROM part)"
+ROWS_SQL = "wk AS (SELECT DISTINCT p_brand || '/' || p_size % 10 AS char, ['236L', 'j.236M', '5U', 'j.2U', '5H', 'j.5L', 'L+M', '236X', 'j.22X', 'j.5H', 'j.5U'][p_partkey % 11 + 1] AS input, CAST(p_size AS INTEGER) AS startup FROM part)"
+WIKI = ("236L", "j.236M", "5U", "j.2U", "5H", "j.5L", "L+M", "236X", "j.22X", "j.5H", "j.5U")
+
+
+def fighter():
+    """Many fighters with a few rows each, so that some inputs have no row."""
+    return F.concat("p_brand", F.lit("/"), (F.col("p_size") % 10).cast("string")).alias("char")
 
 
 def wiki_rows(t):
-    return t.part.filter("p_size < 25").select(F.col("p_brand").alias("char"), F.element_at(F.array(*[F.lit(x) for x in WIKI]), (F.col("p_partkey") % 7 + 1).cast("int")).alias("input"), F.col("p_size").alias("startup")).distinct()
+    return t.part.select(fighter(), F.element_at(F.array(*[F.lit(x) for x in WIKI]), (F.col("p_partkey") % 11 + 1).cast("int")).alias("input"), F.col("p_size").alias("startup")).distinct()
 
 
 def commands(t):
-    return t.part.select(F.col("p_brand").alias("char"), F.col("p_name").alias("entry"), F.element_at(F.array(*[F.lit(x) for x in KEYS]), (F.col("p_partkey") % 7 + 1).cast("int")).alias("key")).distinct()
+    return t.part.select(fighter(), F.col("p_name").alias("entry"), F.element_at(F.array(*[F.lit(x) for x in KEYS]), (F.col("p_partkey") % 7 + 1).cast("int")).alias("key")).distinct()
 
 
 @query("input_expand", f"WITH {CMD_SQL}, x AS (SELECT DISTINCT key FROM cmd) SELECT key, CASE key " + " ".join(f"WHEN '{k}' THEN '{','.join(sorted(v))}'" for k, v in EXPANDED.items()) + " END AS inputs FROM x")
@@ -480,19 +485,20 @@ def _(t):
 
 
 @query("command_join", f"""WITH {CMD_SQL}, {ROWS_SQL}, x AS (SELECT char, entry, unnest(CASE key {' '.join(f"WHEN '{k}' THEN {v}::VARCHAR[]" for k, v in EXPANDED.items())} END) AS input FROM cmd)
-   SELECT char, entry, input, CASE WHEN (char, input) IN (SELECT (char, input) FROM wk) THEN input WHEN (char, 'j.' || input) IN (SELECT (char, input) FROM wk) THEN 'j.' || input END AS wiki FROM x""")
+   SELECT DISTINCT x.char, entry, x.input, wk.input AS wiki FROM x LEFT JOIN wk ON wk.char = x.char AND (wk.input = x.input OR wk.input = 'j.' || x.input
+     OR (wk.input LIKE '%X' AND substr(replace(wk.input, 'j.', ''), 1, length(replace(wk.input, 'j.', '')) - 1) = substr(x.input, 1, length(x.input) - 1)))""")
 def _(t):
     return L.command_join(commands(t), wiki_rows(t))
 
 
-@query("routes", f"""WITH {ROWS_SQL}, s AS (SELECT p_brand AS char, p_partkey AS route, list_concat([['jump', '236A', 'j.236B', '5E~N', '5D', '632146D ULT'][p_partkey % 6 + 1]], [['5C', 'jump', '5D', '236A'][p_size % 4 + 1]]) AS raw FROM part),
+@query("routes", f"""WITH {ROWS_SQL}, s AS (SELECT p_brand || '/' || p_size % 10 AS char, p_partkey AS route, list_concat([['jump', '236A', 'j.236B', '5E~N', '5D', '632146D ULT'][p_partkey % 6 + 1]], [['5C', 'jump', '5D', '236A'][p_size % 4 + 1]]) AS raw FROM part),
    m AS (SELECT * FROM (VALUES ('jump', 'jump', 0), ('236A', '236L', 0), ('j.236B', 'j.236M', 0), ('5E~N', '5M+H~N', 50), ('5D', '5U', 0), ('632146D ULT', '632146U', 100), ('5C', '5H', 0)) v(raw, input, spent)),
    e AS (SELECT char, route, i, m.input, spent, coalesce((SELECT min(startup) FROM wk WHERE wk.char = s.char AND wk.input = m.input), (SELECT min(startup) FROM wk WHERE wk.char = s.char AND wk.input = replace(m.input, 'j.', ''))) AS su FROM s, unnest(range(1, 3)) u(i) JOIN m ON m.raw = s.raw[i])
    SELECT char, route, string_agg(input, ' > ' ORDER BY i) AS inputs, count(*) AS steps, count(su) AS known, max(spent) AS cost FROM e GROUP BY 1, 2""")
 def _(t):
     pick = lambda xs, i: F.element_at(F.array(*[F.lit(x) for x in xs]), i.cast("int"))
     steps = F.array(pick(["jump", "236A", "j.236B", "5E~N", "5D", "632146D ULT"], F.col("p_partkey") % 6 + 1), pick(["5C", "jump", "5D", "236A"], F.col("p_size") % 4 + 1))
-    return L.routes(t.part.select(F.col("p_brand").alias("char"), F.col("p_partkey").alias("route"), steps.alias("steps")), wiki_rows(t))
+    return L.routes(t.part.select(fighter(), F.col("p_partkey").alias("route"), steps.alias("steps")), wiki_rows(t))
 
 
 @query("fastest_answers", """SELECT char, "rank"::INTEGER AS "rank", input, startup FROM (SELECT *, row_number() OVER (PARTITION BY char ORDER BY startup, input) AS "rank" FROM v_roster WHERE type <> 'assist' AND NOT starts_with(input, 'j.')) WHERE "rank" <= 5""")
