@@ -1,5 +1,6 @@
 """What the operators share: a folder all executors reach, staged tables, global row numbers, Arrow pieces and joins with hot keys."""
 
+import re
 import tempfile
 import uuid
 
@@ -14,9 +15,11 @@ PIECE_BYTES = 1 << 20
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session. Where nothing is set (tests on
-    one machine) a temporary folder is made and set for the session."""
+    one machine) a temporary folder is made and set for the session; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("a cluster must name a shared folder in spark.checkpoint.dir")
         folder = "file://" + tempfile.mkdtemp(prefix="boutline-shared-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")

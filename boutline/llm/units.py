@@ -4,6 +4,7 @@ A tokenizer that cuts texts by a pattern before it merges never lets a token rea
 characters, nor from an ASCII letter to an ASCII sign behind it. So the ids of a text are those of the units between such
 places, one after another. Texts that hold the opening of a special token are encoded whole."""
 
+import json
 import os
 from itertools import chain
 
@@ -115,11 +116,41 @@ class Units:
         return np.concatenate(flats), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
 
 
+class Whole:
+    """Texts encoded whole, for vocabularies that do not cut as the units assume."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def ids(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        data, at = raw.tobytes(), bounds.tolist()
+        lists = self.encode([data[a:b].decode() for a, b in zip(at, at[1:])])
+        return np.array([i for ids in lists for i in ids], np.uint32), np.cumsum([0] + [len(x) for x in lists]).astype(np.int64)
+
+
+# The pre-tokenizers and the normalizer for which `cuts` was made.
+BYTE_LEVEL = [("ByteLevel", False, True)]
+WORD_SPLIT = ["'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"]
+WORD_NORMAL = ["NFC", "Replace", "Lowercase"]
+
+
+def fits(described: dict, lead: bool) -> bool:
+    """Whether a tokenizer (its file) cuts texts as the units do and its added tokens open as `Units._special` expects."""
+    plain = all(t["content"].startswith("<|") and not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) for t in described.get("added_tokens") or [])
+    normal, first = described.get("normalizer"), described.get("pre_tokenizer") or {}
+    steps = first.get("pretokenizers", [first])
+    level = [(x.get("type"), x.get("add_prefix_space"), x.get("use_regex")) for x in steps]
+    if lead:
+        return plain and normal is None and level == BYTE_LEVEL
+    split = [x.get("pattern", {}).get("Regex") for x in steps[:1]]
+    return plain and split == WORD_SPLIT and level[1:] == [("ByteLevel", False, False)] and [x["type"] for x in (normal or {}).get("normalizers", [])] == WORD_NORMAL
+
+
 _held: dict = {}
 
 
-def library(path: str, lead: bool) -> Units:
-    """Units encoded by the tokenizers library from the vocabulary at ``path``; one per worker process."""
+def library(path: str, lead: bool) -> Units | Whole:
+    """Units (or whole texts, see `fits`) encoded by the tokenizers library from the vocabulary at ``path``; one per worker process."""
     if path not in _held:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker per core
         from tokenizers import Tokenizer
@@ -134,5 +165,5 @@ def library(path: str, lead: bool) -> Units:
                 out += [e.ids for e in tok.encode_batch_fast(units[a:a + SOME], add_special_tokens=False)]
             return out
 
-        _held[path] = Units(encode, lead, not lead)
+        _held[path] = Units(encode, lead, not lead) if fits(json.loads(tok.to_str()), lead) else Whole(encode)
     return _held[path]

@@ -160,3 +160,39 @@ def test_patterns_are_near_the_bound():
     assert (sum(c * t for c, t in used) == counts).all()
     assert all((c * sizes).sum() <= 64 for c, _ in used)
     assert sum(t for _, t in used) <= 1.01 * (sizes @ counts) / 64 + len(sizes) / 8
+
+
+def test_vocabularies_that_cut_otherwise(spark, odd, tmp_path):
+    """A special token that opens otherwise, or a pre-tokenizer of another kind: texts are encoded whole, ids as the library's."""
+    from tokenizers import pre_tokenizers
+
+    from boutline.llm import units
+
+    texts = [r.text or "" for r in odd.collect() if len(r.text or "") < 9000] + ["a <s> b<s>", " x [SEP]y  z"]
+    for k, change in enumerate((lambda t: t.add_special_tokens(["<s>", "[SEP]"]), lambda t: setattr(t, "pre_tokenizer", pre_tokenizers.ByteLevel(add_prefix_space=True)))):
+        tok = Tokenizer.from_file(BYTES)
+        change(tok)
+        path = str(tmp_path / f"{k}.json")
+        tok.save(path)
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+        rows = tokenfile.read_tokens(spark, tokenfile.write_tokens(docs, path, 2), with_ids=True).orderBy("doc_id").collect()
+        assert [list(r.ids) for r in rows] == [tok.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    for path, lead in ((BYTES, True), (WORDS, False)):
+        assert isinstance(units.library(path, lead), units.Units)
+
+
+def test_width_of_ids(spark, tmp_path):
+    """A vocabulary beyond 65,536 ids takes 32 bits an id; the files say so; the smallest doc_id is no null."""
+    tok = Tokenizer.from_file(BYTES)
+    tok.add_tokens([f"<|more{i}|>" for i in range(16_000)])
+    path = str(tmp_path / "wide.json")
+    tok.save(path)
+    docs = spark.createDataFrame([(-(2**63), "a<|more15999|>"), (None, "b"), (2**63 - 1, "")], "doc_id bigint, text string")
+    folder = tokenfile.write_tokens(docs, path, 2)
+    rows = {r.doc_id: list(r.ids) for r in tokenfile.read_tokens(spark, folder, with_ids=True).collect()}
+    assert rows == {d: tok.encode(t, add_special_tokens=False).ids + [2] for d, t in ((-(2**63), "a<|more15999|>"), (None, "b"), (2**63 - 1, ""))}
+    assert max(rows[-(2**63)]) > 1 << 16
+    with pytest.raises(ValueError):
+        tokenfile.write_tokens(docs, path, 2, wide=False)
+    with pytest.raises(ValueError):
+        tokenfile.read_tokens(spark, folder, wide=False)
