@@ -1,8 +1,12 @@
 """Event-log queries: presses, moments and their ranking."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from boutline.functions import games
 from boutline.operators import moments as M
+from boutline.operators.settle import shared_folder
 from boutline.plans.registry import query
 from boutline.plans.testviews import FRAME_BLOCK
 
@@ -53,6 +57,24 @@ def _(t):
     return M.press_edges(held, BITS, 7 * 24 * 3600 * 1000)
 
 
+@query("game_load", """WITH h AS (SELECT user_id // 2 AS match_id, CAST(user_id % 2 AS INTEGER) AS slot, epoch_us(ts) // 1000 AS frame, bit_or(CAST(event_id % 16 AS INTEGER)) AS state FROM events GROUP BY 1, 2, 3),
+  b AS (SELECT * FROM (VALUES (0, 'Up'), (1, 'Down'), (2, 'Left'), (3, 'Fire')) v(bit, action)),
+  e AS (SELECT match_id, slot, action, (state >> bit) & 1 AS on_, coalesce(lag((state >> bit) & 1) OVER (PARTITION BY match_id, slot, bit ORDER BY frame), 0) AS was FROM h, b)
+  SELECT match_id, slot, action, count(*) AS presses FROM e WHERE on_ = 1 AND was = 0 GROUP BY 1, 2, 3""")
+def _(t):
+    """Pads written as replay files of a game, a folder a match, loaded by the game's name and turned into presses by its own bits."""
+    folder = f"{shared_folder(t.spark).rstrip('/')}/replays-{uuid.uuid4().hex}"
+    ms = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz)) div 1000")
+    held = t.events.select(F.expr("user_id div 2").alias("match_id"), (F.col("user_id") % 2).cast("int").alias("slot"), ms.alias("frame"), (F.col("event_id") % 16).cast("int").alias("state")).groupBy(
+        "match_id", "slot", "frame").agg(F.bit_or("state").alias("state"))
+    lines = held.select("match_id", F.concat_ws(" ", "frame", "slot", "state").alias("value"))
+    lines.repartition("match_id").write.partitionBy("match_id").text(folder)
+    game = games.get("text_pad")
+    rows = game.load(t.spark, folder, extension=".txt").select(F.regexp_extract("path", "match_id=([0-9]+)", 1).cast("long").alias("match_id"), F.col("slot").alias("stream"), F.col("frame").alias("ts_ms"), "state")
+    edges = M.press_edges(rows, game.bits, 7 * 24 * 3600 * 1000)
+    return edges.groupBy("match_id", F.col("stream").alias("slot"), "action").agg(F.count("*").alias("presses"))
+
+
 @query("wasted_input", f"WITH RECURSIVE {WASTED_SQL} SELECT match_id, slot, frame, seq, action, gap FROM wasted WHERE wasted")
 def _(t):
     return M.wasted_inputs(t.inputs, t.action_model, FRAME_BLOCK).filter("wasted").select(
