@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boutline.functions import notation as N
+from boutline.functions.entities import unescape
 from boutline.functions.scalars import clock_seconds
 from boutline.operators.seq import along, blocked
 
@@ -64,17 +65,11 @@ def ocr_lines(words: DataFrame, min_conf: float = 50) -> DataFrame:
     return kept.groupBy("frame").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "line", "text"))), lambda w: w["text"]), "\n").alias("text"))
 
 
+# The tags whose text is kept, and those whose content is not.
 KEEP_TAGS = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "td", "th")
 SKIP_TAGS = ("script", "style", "nav", "footer", "noscript")
 
 
-def unescape(text: Column) -> Column:
-    """The entities pages use."""
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
-
-
 def page_blocks(pages: DataFrame, key: str, html: str) -> DataFrame:
     """(key, pos, kind, text) of headings, paragraphs, list items and cells outside skipped parts of a page.
 
@@ -117,13 +112,38 @@ def page_blocks(pages: DataFrame, key: str, html: str) -> DataFrame:
         key, "pos", F.col("_b.kind").alias("kind"), F.col("_b.text").alias("text"))
 
 
+GRAM, FEW_NAMES = 3, 256
+
+
+def naming(texts: DataFrame, names: DataFrame, text: str) -> DataFrame:
+    """Rows of ``texts`` with each of ``names(name, ...)`` that ``text`` contains, in whatever case; an empty name is in no text.
+
+    FEW_NAMES or fewer are sent to every task and looked for in turn. Of more, each is found by one of its grams of GRAM characters, the
+    one that fewest names have, so only texts with that gram are searched for it: taking a text apart into grams costs as much as
+    looking for some hundred names."""
+
+    def grams(low, n):
+        return F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
+
+    named = names.withColumn("_low", F.lower("name")).filter("_low <> ''")
+    if named.limit(FEW_NAMES + 1).count() <= FEW_NAMES:
+        return texts.withColumn("_text", F.lower(text)).join(F.broadcast(named), F.col("_text").contains(F.col("_low"))).drop("_text", "_low")
+    own = F.when(F.length("_low") >= GRAM, grams(F.col("_low"), GRAM)).otherwise(F.array("_low"))
+    each = named.select("_low").distinct().select("_low", F.explode(F.array_distinct(own)).alias("_gram"))
+    rare = each.join(each.groupBy("_gram").agg(F.count("*").alias("_n")), "_gram").groupBy("_low").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"))
+    low = F.lower(text)
+    found = F.array_distinct(F.concat(*[grams(low, n) for n in range(1, GRAM + 1)]))
+    placed = texts.withColumn("_text", low).withColumn("_gram", F.explode(found))
+    return placed.join(named.join(rare, "_low"), "_gram").filter(F.col("_text").contains(F.col("_low"))).drop("_gram", "_text", "_low")
+
+
 def tier_list(blocks: DataFrame, names: DataFrame, key: str) -> DataFrame:
     """First tier each name stands under: a tier heading carries forward, names count in short blocks only."""
     rx = r"(?i)\b([SABCDEF])[\s-]?Tier\b"
     marked = blocks.withColumn("_tier", F.when(F.col("kind").startswith("h") & F.col("text").rlike(rx), F.upper(F.regexp_extract("text", rx, 1))))
     w = Window.partitionBy(key).orderBy("pos")  # blocks of one page
     under = marked.withColumn("tier", F.last("_tier", True).over(w)).filter("tier is not null and _tier is null").filter(F.length("text") < 80)
-    hit = under.join(names.select("name"), F.lower(under.text).contains(F.lower(F.col("name"))))
+    hit = naming(under, names.select("name"), "text")
     return hit.groupBy(key, "name").agg(F.min_by("tier", "pos").alias("tier"))
 
 
@@ -181,7 +201,7 @@ def ref_integrity(claims: DataFrame, known: DataFrame) -> DataFrame:
 
 def roster_mention(texts: DataFrame, roster: DataFrame, key: str, text: str) -> DataFrame:
     """First roster name (roster order) each text contains. ``roster(name, ord)`` is a closed set."""
-    hit = texts.select(key, F.lower(text).alias("_t")).join(roster, F.col("_t").contains(F.lower("name")))
+    hit = naming(texts.select(key, F.col(text).alias("text")), roster, "text")
     return hit.groupBy(key).agg(F.min_by("name", "ord").alias("name"))
 
 
