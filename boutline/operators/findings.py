@@ -143,6 +143,18 @@ def capture_rates(segments: DataFrame, events: DataFrame, conv: DataFrame, *, th
         F.when(deep & (F.col("video") != F.col("_v")), F.try_divide(F.col(k) - F.col(f"_{k}"), F.abs(f"_{k}"))).alias(f"delta_{k}") for k in keys])
 
 
+def capture_takes(segments: DataFrame, grades: DataFrame) -> DataFrame:
+    """Per capture with playback: how many findings have a take (``takes``), and how often each tag was given (``tags``, the most frequent first).
+    ``grades(id, tags)`` with finding ids that begin with the capture."""
+    video = segments.groupBy("video").agg(F.sum("active_seconds").alias("_live")).filter("_live > 0").select("video")
+    mine = grades.select(F.split("id", ":")[0].try_cast(dict(segments.dtypes)["video"]).alias("video"), "id", "tags")
+    takes = mine.groupBy("video").agg(F.count_distinct("id").alias("takes"))
+    given = mine.select("video", F.explode("tags").alias("tag")).groupBy("video", "tag").agg(F.count("*").alias("n"))
+    tags = given.groupBy("video").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "tag", "n"))).alias("_t"))  # a game's tags
+    return video.join(takes, "video", "left").join(tags, "video", "left").select(
+        "video", F.coalesce("takes", F.lit(0)).alias("takes"), F.coalesce(F.transform("_t", lambda x: F.struct(x["tag"].alias("tag"), x["n"].alias("n"))), F.array().cast("array<struct<tag:string,n:bigint>>")).alias("tags"))
+
+
 def lag_notes(grades: DataFrame) -> DataFrame:
     """Windows of a segment the player called lag, from finding ids video:open:segment:t."""
     part = F.split("id", ":")

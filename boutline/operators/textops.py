@@ -253,7 +253,8 @@ def trial_missions(scripts: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def trial_routes(missions: DataFrame, key: str) -> DataFrame:
-    """Routes of missions with two attacks or more: jump variants collapsed, simple duplicates dropped."""
+    """Routes of missions with two attacks or more: jump variants collapsed, simple duplicates dropped; ``alts`` are the moves a mission takes
+    instead, as shown. ``mission`` counts from 1."""
     jump = F.col("value").isin(*N.TRIAL_JUMPS)
     seq = missions.filter("kind = 'seq'").groupBy(key, "mission").agg(  # one trial's steps
         F.transform(F.array_sort(F.collect_list(F.struct("pos", F.when(jump, "JUMP").otherwise(F.col("value")).alias("v")))), lambda s: s["v"]).alias("_raw"))
@@ -263,10 +264,12 @@ def trial_routes(missions: DataFrame, key: str) -> DataFrame:
         .otherwise(F.concat(acc, F.array(x))))
     numbers = missions.groupBy(key, "mission").agg(
         F.min_by(F.when(F.col("kind") == "num", F.col("value").try_cast("int")), F.when(F.col("kind") == "num", F.col("pos"))).alias("_n"),
-        F.max(F.coalesce((F.col("kind") == "tag") & (F.col("value") == "dam"), F.lit(False))).alias("_dam"))
+        F.max(F.coalesce((F.col("kind") == "tag") & (F.col("value") == "dam"), F.lit(False))).alias("_dam"),
+        F.array_sort(F.collect_list(F.when(F.col("kind") == "alt", F.struct("pos", "value")))).alias("_alts"))
     attack = "^(" + "|".join(N.TRIAL_ATTACKS) + ")"
     return seq.withColumn("steps", kept).filter(F.size(F.filter("steps", lambda s: s.rlike(attack))) >= 2).join(numbers, [key, "mission"]).select(
-        key, "mission", "steps", F.transform("steps", N.display_move).alias("shown"), F.when(F.col("_dam"), F.col("_n")).alias("damage_req"))
+        key, "mission", "steps", F.transform("steps", N.display_move).alias("shown"), F.when(F.col("_dam"), F.col("_n")).alias("damage_req"),
+        F.transform("_alts", lambda a: N.display_move(a["value"])).alias("alts"))
 
 
 def cancel_table(routes: DataFrame) -> DataFrame:

@@ -180,6 +180,14 @@ def _(t):
         "video", "tag").agg(F.count("*").alias("n"))
 
 
+@query("capture_takes", f"""WITH RECURSIVE {OPENF_SQL}, {GRADES_SQL}, g AS (SELECT CAST(split_part(id, ':', 1) AS BIGINT) AS video, id, tag FROM grades),
+   n AS (SELECT video, tag, count(*) AS n FROM g GROUP BY 1, 2), l AS (SELECT video FROM v_segments GROUP BY 1 HAVING sum(active_seconds) > 0)
+   SELECT video, (SELECT count(DISTINCT id) FROM g WHERE g.video = l.video) AS takes, coalesce((SELECT string_agg(tag || ':' || n, ', ' ORDER BY n DESC, tag) FROM n WHERE n.video = l.video), '') AS tags FROM l""")
+def _(t):
+    r = FI.capture_takes(t.segments, grades_of(open_findings_of(t)))
+    return r.select("video", "takes", F.array_join(F.transform("tags", lambda x: F.concat(x["tag"], F.lit(":"), x["n"].cast("string"))), ", ").alias("tags"))
+
+
 @query("lag_notes", f"""WITH RECURSIVE {OPENF_SQL}, {GRADES_SQL} SELECT split_part(id, ':', 1) AS video, CAST(split_part(id, ':', 3) AS BIGINT) AS segment, count(*) AS lag_windows FROM grades WHERE tag = 'lag' GROUP BY 1, 2""")
 def _(t):
     return FI.lag_notes(grades_of(open_findings_of(t)))

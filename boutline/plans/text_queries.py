@@ -290,6 +290,11 @@ def _(t):
     return routes_of(t).select("l_orderkey", "mission", F.array_join("steps", " ").alias("steps"), F.array_join("shown", " > ").alias("shown"), "damage_req")
 
 
+@query("trial_alternatives", f"""WITH {ROUTES_SQL} SELECT r.l_orderkey, CAST(r.mission - 1 AS BIGINT) AS mission, coalesce((SELECT string_agg('5C', ', ') FROM tk WHERE tk.l_orderkey = r.l_orderkey AND tk.mission = r.mission AND tk.kind = 'alt'), '') AS alts FROM routes r""")
+def _(t):
+    return routes_of(t).select("l_orderkey", (F.col("mission") - 1).alias("mission"), F.array_join("alts", ", ").alias("alts"))
+
+
 @query("cancel_table", f"""WITH {ROUTES_SQL}, f AS (SELECT list_filter(steps, lambda s: s LIKE 'NmlAtk%' OR s LIKE 'SpecialSkill%' OR s LIKE 'UltimateSkill%' OR s = 'JUMP') AS s FROM routes),
    p AS (SELECT s[i] AS a, s[i + 1] AS b FROM f, unnest(range(1, len(s))) u(i)) SELECT a, b, count(*) AS n FROM p GROUP BY 1, 2""")
 def _(t):
