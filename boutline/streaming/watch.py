@@ -32,16 +32,17 @@ def watch_table(spark: SparkSession, folder: str, schema, fmt: str = "parquet",
 
 
 class Settling(StatefulProcessor):
-    """Size and time since when it is so, of one path; what is known of a path is forgotten ``forget_ms`` after its last observation."""
+    """Size and time since when it is so, of one path; what is known of a path is forgotten once it was not observed for ``forget_ms``."""
 
     def __init__(self, quiet_seconds: float, forget_ms: int):
         self.quiet_seconds, self.forget_ms = quiet_seconds, forget_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "size long, since double, done boolean", ttlDurationMs=self.forget_ms)
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "size long, since double, done boolean, last double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        size, since, done = self.seen.get() if self.seen.exists() else (-1, 0.0, False)
+        size, since, done, last = self.seen.get() if self.seen.exists() else (-1, 0.0, False, 0.0)
         polls, out = pd.concat(rows).sort_values("at"), []  # the polls of one file in one batch
         for now, new in zip(polls["at"], polls["size"]):
             if done:
@@ -51,19 +52,26 @@ class Settling(StatefulProcessor):
             elif now - since >= self.quiet_seconds:
                 done = True
                 out.append((key[0], size))
-        self.seen.update((size, since, done))
+        last = max(last, float(polls["at"].max()))
+        self.seen.update((size, since, done, last))
+        self.handle.registerTimer(int(last * 1000) + self.forget_ms)
         yield pd.DataFrame(out, columns=["path", "size"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.seen.exists() and int(self.seen.get()[3] * 1000) + self.forget_ms <= timerValues.getCurrentWatermarkInMs():
+            self.seen.clear()
+        yield pd.DataFrame([], columns=["path", "size"])
+
     def close(self) -> None:
         pass
 
 
 def settled_files(observed: DataFrame, quiet_seconds: float = 2.0, forget: str = "1 day") -> DataFrame:
     """Paths whose size stayed the same for ``quiet_seconds``; growth restarts the wait; each path once, unless it is not observed for
-    ``forget`` (of processing time), after which nothing is kept of it. ``observed(path, size, ts)`` is one row per poll and file."""
+    ``forget`` (by the time of the polls), after which nothing is kept of it. ``observed(path, size, ts)`` is one row per poll and file."""
     stateful(observed.sparkSession)
-    timed = observed.select("path", "size", F.col("ts").cast("double").alias("at"))
-    return timed.groupBy("path").transformWithStateInPandas(Settling(quiet_seconds, int(pd.Timedelta(forget).total_seconds() * 1000)), "path string, size long", "Append", "ProcessingTime")
+    timed = observed.withWatermark("ts", "0 seconds").select("path", "size", F.col("ts").cast("double").alias("at"))
+    return timed.groupBy("path").transformWithStateInPandas(Settling(quiet_seconds, int(pd.Timedelta(forget).total_seconds() * 1000)), "path string, size long", "Append", "EventTime")
 
 
 def ingest_stream(source: DataFrame, build: Callable[[DataFrame], DataFrame], folder: str, by: list[str], checkpoint: str):

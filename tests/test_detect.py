@@ -69,3 +69,25 @@ def test_rows_wait_only_for_the_watermark(spark, tmp_path):
     rows = [(1, 0, f, f, "a") for f in range(0, 6000, 50)]
     got = run(spark, str(tmp_path), [rows], lambda s: D.wasted_presses(s, {"a": 60}, "10 seconds", forget="1 hour")).filter("kind = 'wasted'")
     assert got.agg(F.max("frame"), F.count("*")).first() == (5300, 106)
+
+
+def test_a_settled_path_is_forgotten(spark, tmp_path):
+    """A path is told once while it is polled, and again only after it was not seen for long."""
+    def poll(*rows):
+        spark.createDataFrame([(p, s, float(t)) for p, s, t in rows], "path string, size long, at double").select("path", "size", F.timestamp_seconds("at").alias("ts")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    def told():
+        schema = spark.createDataFrame([], "path string, size long, ts timestamp").schema
+        out = W.settled_files(W.watch_table(spark, f"{tmp_path}/in", schema, files_per_batch=1), 2.0, "1 minute")
+        out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/log").trigger(availableNow=True).start().awaitTermination()
+        return sorted(r.path for r in spark.read.schema(out.schema).parquet(f"{tmp_path}/out").collect())
+
+    poll(("a", 5, 0), ("a", 5, 3))
+    poll(("a", 5, 6), ("b", 1, 6))
+    assert told() == ["a"]
+    poll(("b", 1, 7), ("b", 1, 9))
+    assert told() == ["a", "b"]
+    poll(("c", 1, 300))
+    assert told() == ["a", "b"]
+    poll(("a", 5, 301), ("a", 5, 304))
+    assert told() == ["a", "a", "b"]
