@@ -270,7 +270,8 @@ def without_families(large: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def walked(nodes: DataFrame, trees: range) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame], DataFrame | None]:
     """Walks ``trees`` over ``nodes`` (node, root, seen, s1, s2, mins), along open groups. Gives leaves (path, node, root, seen, s1, s2),
-    proposed pairs (a, b), members (key, node) of groups that are large to the end, and the nodes that branch more than SHALLOW times, if any."""
+    proposed pairs (a, b), members (key, node) of groups that are large to the end, and the nodes (node) that branch more than SHALLOW times,
+    if any. Every level reads the tokens of its nodes again, so ``nodes`` should be a staged table."""
     paths = staged(branched(nodes, 1, trees), "paths")
     pairs, leaves, members, deep = [], [], [], None
     for level in range(1, LEVELS + 1):
@@ -285,7 +286,7 @@ def walked(nodes: DataFrame, trees: range) -> tuple[list[DataFrame], list[DataFr
             members.append(large.select(F.col("pn").alias("key"), "node"))
             break
         if level == SHALLOW:
-            deep = staged(nodes.join(large.select("node").distinct(), "node", "left_semi"), "deep")
+            deep = staged(large.select("node").distinct(), "deep")
         further = large.select("node", "root", "seen", "tree", "path", "s1", "s2")
         paths = staged(branched(further.join(nodes.select("node", "mins"), "node"), level + 1, trees), "paths")
     return leaves, pairs, members, deep
@@ -510,8 +511,9 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     nodes = classes.select("node", F.col("node").alias("seen"), "s1", "s2", "mins")
 
     def rooted(some, known):
-        """``some`` nodes with their roots so far."""
-        return some.join(few(known), "node", "left").withColumn("root", F.coalesce("root", "node")).select("node", "root", "seen", "s1", "s2", "mins")
+        """``some`` nodes with their roots so far, staged for the levels of a walk."""
+        placed = some.join(few(known), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        return staged(placed.select("node", "root", "seen", "s1", "s2", "mins"), "rooted")
 
     def settle(pairs, known):
         """The components after those of ``pairs`` that are similar are added."""
@@ -529,7 +531,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     pairs, members, deep = turn(rooted(nodes, known), range(TREES))
     known = settle(pairs, known)
     if deep is not None and not deep.isEmpty():
-        pairs, further, _ = turn(rooted(deep.drop("root"), known), range(TREES, TREES + DEEP_TREES))
+        pairs, further, _ = turn(rooted(nodes.join(few(deep), "node", "left_semi"), known), range(TREES, TREES + DEEP_TREES))
         members = members.unionByName(further).distinct()
         known = settle(pairs, known)
     if held:
@@ -546,11 +548,13 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
 def keep_first(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, all columns, that are kept: one of each group, the one with the smallest doc_id. Repeated rows of that
     doc_id are one row, the one whose columns come first as JSON text; rows without doc_id stay."""
-    kept = near_duplicates(docs, width, percent).filter("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_kept")).agg(F.count(F.lit(1)).alias("_rows"))
-    kept = staged(kept, "kept")
-    one = kept.filter("_rows = 1").select("_kept")
-    named = docs.filter(F.col("doc_id").isNotNull()).join(one, F.col("doc_id") == F.col("_kept"), "left_semi")
-    again = docs.join(kept.filter("_rows > 1").select("_kept"), F.col("doc_id") == F.col("_kept"), "left_semi")
+    ids = near_duplicates(docs, width, percent).filter("doc_id is not null").groupBy(F.col("doc_id").alias("_id"))
+    # only ids that need a look: those that go and those that stand on several rows
+    ids = staged(ids.agg(F.count(F.lit(1)).alias("_rows"), F.bool_or("kept").alias("_stays")).filter("_rows > 1 or not _stays"), "ids")
+    some, several = few(ids.select("_id")), few(ids.filter("_stays").select("_id"))
+    known = docs.filter(docs["doc_id"].isNotNull())
+    once = known.join(some, known["doc_id"] == some["_id"], "left_anti")
+    again = known.join(several, known["doc_id"] == several["_id"], "left_semi")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     again = again.groupBy("doc_id").agg(F.min_by(row, F.to_json(row)).alias("_row")).select("_row.*")
-    return named.unionByName(again).unionByName(docs.filter(F.col("doc_id").isNull()))
+    return once.unionByName(again).unionByName(docs.filter(docs["doc_id"].isNull()))
