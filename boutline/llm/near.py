@@ -397,10 +397,17 @@ def joined(known: DataFrame | None, links: DataFrame) -> DataFrame:
     return staged(moved.unionByName(step.join(known.select("node"), "node", "left_anti")), "components")
 
 
-def second_look(members: DataFrame, known: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) between different components of one group; see the module. ``nodes`` have node, seen, s1, s2."""
-    named = members.join(few(known), "node", "left").join(nodes.select("node", "seen", "s1", "s2"), "node")
-    placed = staged(named.select("key", "node", F.coalesce("root", "node").alias("root"), "seen", "s1", "s2"), "members")
+def places(known: DataFrame, family: DataFrame | None = None) -> DataFrame:
+    """``node, root, seen`` of every node that has a root in ``known`` (node, root) or a family in ``family`` (node, seen); what it lacks is null."""
+    if family is None:
+        return known.select("node", "root", F.lit(None).cast("bigint").alias("seen"))
+    return staged(known.join(family, "node", "full_outer"), "places")
+
+
+def second_look(members: DataFrame, at: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between different components of one group; see the module. ``at`` are their ``places``; ``nodes`` have node, s1, s2."""
+    named = members.join(few(at), "node", "left").join(nodes.select("node", "s1", "s2"), "node")
+    placed = staged(named.select("key", "node", F.coalesce("root", "node").alias("root"), F.coalesce("seen", "node").alias("seen"), "s1", "s2"), "members")
     total = placed.count()
 
     def most(by):
@@ -508,36 +515,35 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     able = marks.filter("n_shingles > 0 and doc_id is not null")
     classes = staged(able.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("_n"), F.first("s1").alias("s1"),
                                                   F.first("s2").alias("s2"), F.first("mins").alias("mins")), "classes")
-    nodes = classes.select("node", F.col("node").alias("seen"), "s1", "s2", "mins")
+    nodes = classes.select("node", "s1", "s2", "mins")
 
-    def rooted(some, known):
-        """``some`` nodes with their roots so far, staged for the levels of a walk."""
-        placed = some.join(few(known), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        return staged(placed.select("node", "root", "seen", "s1", "s2", "mins"), "rooted")
+    def rooted(some, at):
+        """``some`` nodes with their roots and families so far, staged for the levels of a walk."""
+        placed = some.join(few(at), "node", "left")
+        return staged(placed.select("node", F.coalesce("root", "node").alias("root"), F.coalesce("seen", "node").alias("seen"), "s1", "s2", "mins"), "rooted")
 
     def settle(pairs, known):
         """The components after those of ``pairs`` that are similar are added."""
         links = confirmed(pairs, texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("node"))), width, percent)
         return joined(known, links)
 
-    pairs, large = first_look(nodes.withColumn("root", F.col("node")))
+    pairs, large = first_look(nodes.withColumns({"root": F.col("node"), "seen": F.col("node")}))
     known = settle(pairs, None)
     family = families(large, known, nodes)
-    held = not family.isEmpty()
+    held, named = not family.isEmpty(), None
     if held:
-        known = joined(known, staged(second_look(family, known, nodes, docs, width, percent), "more"))
-        named = staged(family.groupBy("node").agg(F.min("key").alias("_seen")), "family")
-        nodes = nodes.join(few(named), "node", "left").withColumn("seen", F.coalesce("_seen", "seen")).drop("_seen")
-    pairs, members, deep = turn(rooted(nodes, known), range(TREES))
+        known = joined(known, staged(second_look(family, places(known), nodes, docs, width, percent), "more"))
+        named = staged(family.groupBy("node").agg(F.min("key").alias("seen")), "family")
+    pairs, members, deep = turn(rooted(nodes, places(known, named)), range(TREES))
     known = settle(pairs, known)
     if deep is not None and not deep.isEmpty():
-        pairs, further, _ = turn(rooted(nodes.join(few(deep), "node", "left_semi"), known), range(TREES, TREES + DEEP_TREES))
+        pairs, further, _ = turn(rooted(nodes.join(few(deep), "node", "left_semi"), places(known, named)), range(TREES, TREES + DEEP_TREES))
         members = members.unionByName(further).distinct()
         known = settle(pairs, known)
     if held:
         members = staged(members, "members")
         members = members.unionByName(family.join(few(staged(members.select("key").distinct(), "keys")), "key", "left_semi")).distinct()
-    known = joined(known, staged(second_look(members, known, nodes, docs, width, percent), "more"))
+    known = joined(known, staged(second_look(members, places(known, named), nodes, docs, width, percent), "more"))
     ends = classes.select("d1", "d2", "node", "_n").join(known, "node", "left").select("d1", "d2", "_n", F.coalesce("root", "node").alias("component_id"))
     linked = skew_join(able.select("doc_id", "n_shingles", "d1", "d2"), staged(ends, "ends"), ["d1", "d2"], marks.count())
     alone = marks.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
