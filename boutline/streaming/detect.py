@@ -1,9 +1,9 @@
 """Online detectors that give the same rows in whatever batches the input comes.
 
-An event waits in the state of its key until the watermark has passed it; then all events before the watermark are read in order, once. A
-timer at the earliest waiting event wakes the key, so a key whose input has ended is finished too. Events behind the watermark are late:
-they change nothing and come out as rows of their own, to be counted or kept. What a key holds in state is its events within the watermark's
-delay and its last event; a key that was idle for longer than ``forget`` gives even that up.
+An event waits in the state of its key's bucket until the watermark has passed it; then all events before the watermark are read in order,
+once. A timer at the earliest waiting event wakes the bucket, so a key whose input has ended is finished too. Events behind the watermark
+are late: they change nothing and come out as rows of their own, to be counted or kept. What is held of a key is its events within the
+watermark's delay and its last event; a key that was idle for longer than ``forget`` gives even that up.
 
 A stream that has ended is closed by a marker row (`end_marker`) in a second run, which moves the watermark past all events."""
 
@@ -16,6 +16,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 LATE, WASTED, IDLE = "late", "wasted", "idle"  # kinds of output rows
 FOUND = "kind string, match_id long, slot int, frame long, seq long, action string, gap long"
+EVENT = "match_id long, slot int, frame long, seq long, action string"
+BUCKETS = 512  # keys share so many buckets of state; a stream keeps the number it began with
+AT_ONCE = 10_000
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -32,73 +35,97 @@ def passed(rows: list[tuple], kind: str, gap_of) -> pd.DataFrame:
 
 
 class InOrder(StatefulProcessor):
-    """Reads each key's events in (frame, seq) order as the watermark passes them. ``judge(before, event)`` compares an event with the one
-    before it, both (frame, seq, action): it gives the event to report and its gap, or None."""
+    """Reads each key's events in (frame, seq) order as the watermark passes them. One call serves a bucket of keys, so the calls and the
+    state operations grow with the buckets, not with the keys. ``by`` are the places in (match, slot, frame, seq, action) that make up a
+    key. ``judge(before, event)`` compares an event with the one before it, both (frame, seq, action): it gives the event to report and
+    its gap, or None."""
 
-    def __init__(self, kind: str, judge, frame_ms: float, forget_ms: int | None):
-        self.kind, self.judge, self.frame_ms, self.forget_ms = kind, judge, frame_ms, forget_ms
+    def __init__(self, kind: str, by: list[int], judge, frame_ms: float, forget_ms: int | None):
+        self.kind, self.by, self.judge, self.frame_ms, self.forget_ms = kind, by, judge, frame_ms, forget_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "frame long, seq long, action string")
-        self.last = handle.getValueState("last", "frame long, seq long, action string")
+        self.waiting = handle.getListState("waiting", EVENT)
+        self.last = handle.getListState("last", EVENT + ", until long")  # one row a key, with when it may be forgotten
 
     def at(self, frame: int) -> int:
         return int(frame * self.frame_ms)
 
+    def key(self, event: tuple) -> tuple:
+        return tuple(event[i] for i in self.by)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         now, first = timerValues.getCurrentWatermarkInMs(), None
         for some in rows:
-            if pd.isna(key[0]):
-                continue
-            events = [(int(f), int(s), a) for f, s, a in zip(some["frame"], some["seq"], some["action"])]
-            late = [e for e in events if self.at(e[0]) < now]
-            early = [e for e in events if self.at(e[0]) >= now]
+            some = some[some["match_id"].notna()]
+            late, early = [], []
+            for e in zip(_ints(some["match_id"]), _ints(some["slot"]), map(int, some["frame"]), map(int, some["seq"]), some["action"]):
+                (late if self.at(e[2]) < now else early).append(e)
             if early:
                 self.waiting.appendList(early)
-                first = min([e[0] for e in early] + ([] if first is None else [first]))
+                first = min([e[2] for e in early] + ([] if first is None else [first]))
             if late:
-                yield passed([(key[0], key[1], *e) for e in late], LATE, [None] * len(late))
+                yield passed(late, LATE, [None] * len(late))
         if first is not None:
             self.handle.registerTimer(self.at(first) + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        held = sorted((tuple(e) for e in self.waiting.get()), key=lambda e: e[:2]) if self.waiting.exists() else []
-        ready = [e for e in held if self.at(e[0]) < now]
-        rest = held[len(ready):]
-        before = tuple(self.last.get()) if self.last.exists() else None
-        found, gaps = [], []
-        for e in ready:
-            told = self.judge(before, e) if before else None
-            if told:
-                found.append((key[0], key[1], *told[0]))
-                gaps.append(told[1])
-            before = e
-        if rest:
-            self.waiting.put(rest)
-            self.handle.registerTimer(self.at(rest[0][0]) + 1)
-        elif ready:
-            self.waiting.clear()
+        ready, rest = [], []
+        for e in _rows(self.waiting):
+            (ready if self.at(e[2]) < now else rest).append(e)
+        if ready or self.forget_ms is not None:
+            last = {self.key(e): e for e in _rows(self.last)}
+            known, found, gaps = len(last), [], []
+            for e in sorted(ready, key=lambda e: e[2:4]):
+                before = last.get(self.key(e))
+                told = self.judge(before[2:5], e[2:]) if before else None
+                if told:
+                    found.append((*e[:2], *told[0]))
+                    gaps.append(told[1])
+                last[self.key(e)] = (*e, None if self.forget_ms is None else max(now, self.at(e[2])) + self.forget_ms)
+            if self.forget_ms is not None:
+                awaited = {self.key(e) for e in rest}
+                last = {k: e for k, e in last.items() if e[5] > now or k in awaited}
+                if idle := [e[5] for k, e in last.items() if k not in awaited]:
+                    self.handle.registerTimer(min(idle))
+            if ready or len(last) < known:
+                _put(self.last, list(last.values()))
+            if found:
+                yield passed(found, self.kind, gaps)
         if ready:
-            self.last.update(before)
-            if self.forget_ms is not None and not rest:
-                self.handle.registerTimer(max(now, self.at(before[0])) + self.forget_ms)
-        elif not rest and before and self.forget_ms is not None and now - self.at(before[0]) >= self.forget_ms:
-            self.last.clear()
-        yield passed(found, self.kind, gaps)
+            _put(self.waiting, rest)
+            if rest:
+                self.handle.registerTimer(self.at(min(e[2] for e in rest)) + 1)
 
     def close(self) -> None:
         pass
 
 
+def _ints(column: pd.Series) -> list:
+    return [None if pd.isna(x) else int(x) for x in column.tolist()]
+
+
+def _rows(state) -> list[tuple]:
+    return [tuple(e) for e in state.get()] if state.exists() else []
+
+
+def _put(state, rows: list[tuple]) -> None:
+    """``rows`` in place of what a list state holds, in messages of bounded size."""
+    if not rows:
+        state.clear()
+    for a in range(0, len(rows), AT_ONCE):
+        (state.appendList if a else state.put)(rows[a:a + AT_ONCE])
+
+
 def _run(inputs: DataFrame, keys: list[str], processor: InOrder, late: str) -> DataFrame:
     stateful(inputs.sparkSession)
     timed = inputs.withColumn("_ts", F.timestamp_millis((F.col("frame") * processor.frame_ms).cast("long"))).withWatermark("_ts", late)
     # a copy of the rows without the time column, so that late rows reach the processor and are counted there
     rows = timed.select("match_id", F.col("slot").cast("int").alias("slot"), F.col("frame").cast("long").alias("frame"), F.col("seq").cast("long").alias("seq"), "action")
     rows = rows.filter("match_id is not null or action is null")  # of rows without match only the marker goes on: the filter is run before the watermark
-    return rows.groupBy(*keys).transformWithStateInPandas(processor, FOUND, "Append", "EventTime")
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int"))
+    return dealt.groupBy("bucket").transformWithStateInPandas(processor, FOUND, "Append", "EventTime")
 
 
 def wasted_presses(inputs: DataFrame, busy: dict[str, int], late: str = "10 seconds", fps: float = 60.0, forget: str | None = None) -> DataFrame:
@@ -110,7 +137,7 @@ def wasted_presses(inputs: DataFrame, busy: dict[str, int], late: str = "10 seco
         gap = e[0] - before[0]
         return (e, gap) if gap < busy.get(e[2], 0) else None
 
-    return _run(inputs, ["match_id", "slot", "action"], InOrder(WASTED, judge, 1000 / fps, _ms(forget)), late)
+    return _run(inputs, ["match_id", "slot", "action"], InOrder(WASTED, [0, 1, 4], judge, 1000 / fps, _ms(forget)), late)
 
 
 def idle_stretches(inputs: DataFrame, frames: int, late: str = "10 seconds", fps: float = 60.0) -> DataFrame:
@@ -120,7 +147,7 @@ def idle_stretches(inputs: DataFrame, frames: int, late: str = "10 seconds", fps
         gap = e[0] - before[0]
         return (before, gap) if gap >= frames else None
 
-    return _run(inputs, ["match_id", "slot"], InOrder(IDLE, judge, 1000 / fps, None), late)
+    return _run(inputs, ["match_id", "slot"], InOrder(IDLE, [0, 1], judge, 1000 / fps, None), late)
 
 
 def _ms(interval: str | None) -> int | None:
