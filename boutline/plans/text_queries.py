@@ -252,11 +252,17 @@ def _(t):
 TRIAL = ("|CmnVJump", "|CmnFJump", "|NmlAtk5A", "|NmlAtkAIR2B", "|SpecialSkill236C", "|SimpleSkill2EA", "+NmlAtk5C", "dam", None, "|UltimateSkill632146D")
 
 
+SCRIPT_LINES = 50_000  # lines of scripts a task holds and sorts
+
+
 def scripts(t):
-    """One trial script per order: two missions, tokens from its lines."""
+    """One trial script per order: two missions, tokens from its lines. Dealt by order into as many parts as the lines need: what follows
+    keeps to them, so a task's memory does not grow with the table."""
     tok = F.coalesce(F.element_at(F.array(*[F.lit(x) for x in TRIAL]), (F.col("l_partkey") % 10 + 1).cast("int")), (F.col("l_quantity").cast("int") + 10).cast("string"))
     item = F.struct(F.when(F.col("l_linenumber") <= 3, 1).otherwise(2).alias("m"), "l_linenumber", "l_partkey", "l_extendedprice", tok.alias("tok"))
-    rows = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("r"))
+    lines = t.lineitem.select("l_orderkey", item.alias("item"))
+    dealt = lines.repartition(t.lineitem.count() // SCRIPT_LINES + 1, "l_orderkey")
+    rows = dealt.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("item")).alias("r"))
     part = lambda m: F.array_join(F.transform(F.filter("r", lambda x: x["m"] == m), lambda x: x["tok"]), "\u0001")
     head = "-MISSION-\u0001x1\u0001-LIST-\u0001"
     return rows.select("l_orderkey", F.concat(F.lit(head), part(1), F.lit("\u0001" + head), part(2)).alias("script"))

@@ -1,7 +1,14 @@
-"""Figures that must not grow with the tables."""
+"""Figures that must not grow with the tables: state operations of the detectors, parts of the trial scripts, documents built once."""
+
+import datetime
 
 import pandas as pd
+from pyspark.sql import functions as F
 
+from boutline.operators import store as ST
+from boutline.operators import textops as X
+from boutline.plans import store_queries, text_queries
+from boutline.plans.testviews import Tables
 from boutline.streaming import detect as D
 
 
@@ -93,3 +100,13 @@ def test_idle_keys_are_forgotten_and_busy_ones_kept():
     fire(p, 130)
     fire(p, 231)
     assert handle.states["last"].rows == [] == handle.states["waiting"].rows
+
+
+def test_scripts_are_dealt_into_as_many_parts_as_they_need(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text_queries, "SCRIPT_LINES", 20)
+    lines = [(o, line, (7 * o + line) % 50, 5.0, 1.0) for o in range(100) for line in range(1, 5)] + [(None, 1, 1, 5.0, 1.0), (3, 1, 1, 5.0, 1.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = X.trial_missions(text_queries.scripts(Tables(spark, str(tmp_path))), "l_orderkey", "script")
+    assert found.count() == len(lines)
+    held = found.groupBy(F.spark_partition_id().alias("part")).count().collect()
+    assert len(held) > 15 and max(r["count"] for r in held) <= 60
