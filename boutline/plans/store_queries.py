@@ -140,7 +140,8 @@ def _stale_sql(name: str, columns: str) -> str:
 def _index_store(t):
     """The four index tables of all matches, stored with children that no longer hold, then a third of the matches again: half of them
     anew, half withdrawn, and the last batch twice."""
-    found = {n: settle(d) for n, d in ST.index_rows(documents_of(t)).items()}
+    documents = settle(ST.wire_projection(documents_of(t)))  # read by four tables
+    found = {n: settle(d) for n, d in ST.index_rows(documents).items()}
     folder = fresh_folder(t)
     stale = dict(found)
     stale["players"] = found["players"].unionByName(found["players"].withColumn("slot", F.col("slot") + 5))

@@ -110,3 +110,18 @@ def test_scripts_are_dealt_into_as_many_parts_as_they_need(spark, tmp_path, monk
     assert found.count() == len(lines)
     held = found.groupBy(F.spark_partition_id().alias("part")).count().collect()
     assert len(held) > 15 and max(r["count"] for r in held) <= 60
+
+
+def test_documents_are_built_once_for_the_index(spark, tmp_path, monkeypatch):
+    at = datetime.datetime(2024, 1, 1)
+    events = [(i, at + datetime.timedelta(minutes=25 * i), i % 8, ("click", "view", "purchase", "error")[i // 8 % 4], 70.0) for i in range(160)]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    people = [(i, "MACHINERY", i, 5.0 - i) for i in range(8)]
+    spark.createDataFrame(people, "c_custkey long, c_mktsegment string, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    given, real = [], ST.index_rows
+    monkeypatch.setattr(ST, "index_rows", lambda d: given.append(d) or real(d))
+    stored = store_queries._index_store(Tables(spark, str(tmp_path)))
+    plan = given[0]._jdf.queryExecution().executedPlan().toString()
+    assert len(given) == 1 and "Join" not in plan and "Aggregate" not in plan
+    assert sorted(r.match_id for r in stored["matches"].collect()) == [1, 2, 3]  # match 0 was withdrawn
+    assert {r.match_id for r in stored["players"].collect()} == {1, 2, 3} and stored["players"].count() == 6
