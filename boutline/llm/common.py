@@ -1,5 +1,6 @@
 """What the operators share: a folder all executors reach, staged tables, global row numbers, Arrow pieces and joins with hot keys."""
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -51,6 +52,36 @@ def pieces(batch: pa.RecordBatch, text: str = "text", limit: int = PIECE_BYTES):
         start = end
 
 
+BATCH_BYTES, BATCH_OPTION = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of the Arrow batches between executors and Python workers, which both sides hold outside the heap, unless the session
+    names a bound. By rows alone a batch of long texts has tens of MB."""
+    if BATCH_OPTION not in spark.conf.getAll:
+        spark.conf.set(BATCH_OPTION, str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system: a worker stays for later stages, whose workers need it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim:
+        trim(0)
+
+
+def lean(run):
+    """``run`` of a mapInArrow, with what its task freed given back at the end."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 def arrow_map(df: DataFrame, fn, schema: str, text: str | None = "text") -> DataFrame:
     """``fn(batch) -> dict of columns`` over pieces of bounded size (whole batches where no text is named), its result cast to
     ``schema`` (a DDL string)."""
@@ -65,7 +96,8 @@ def arrow_map(df: DataFrame, fn, schema: str, text: str | None = "text") -> Data
                 out = fn(part)
                 yield pa.RecordBatch.from_arrays([as_array(out[f.name], f.type) for f in target], schema=target)
 
-    return df.mapInArrow(run, schema)
+    small_batches(df.sparkSession)
+    return df.mapInArrow(lean(run), schema)
 
 
 def as_array(values, kind: pa.DataType) -> pa.Array:
@@ -90,7 +122,7 @@ def numbered(df: DataFrame, order: list[str], label: str = "numbered") -> DataFr
 
     part = ranged.withColumn("_part", F.spark_partition_id())
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in part.schema.fields) + ", `_at` bigint"
-    held = staged(part.mapInArrow(count, schema), label)
+    held = staged(part.mapInArrow(lean(count), schema), label)
     sizes = held.groupBy("_part").count()
     bases = prefix(sizes, "_part", {"_base": "count"}, spark)
     return held.join(bases.select("_part", "_base"), "_part").withColumn("_row", F.col("_base") + F.col("_at")).drop("_part", "_at", "_base")

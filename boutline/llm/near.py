@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from boutline.llm.bytesops import LOWER, mix, segment_hashes, text_bytes, words
-from boutline.llm.common import arrow_map, pieces, skew_join, staged
+from boutline.llm.common import arrow_map, lean, pieces, skew_join, staged
 
 SHINGLE, PERCENT = 5, 80
 TREES, LEVELS, MINS, LEAF, BLOCK = 10, 6, 64, 200, 256
@@ -222,7 +222,7 @@ def leaf_pairs(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({name: pa.array([r[k] for r in out], pa.int64()) for k, name in enumerate(("key", "a", "b"))})
 
     narrow = rows.select("path", "node", "root", "seen", "s1", "s2").repartition("path").sortWithinPartitions("path", "node")
-    return narrow.mapInArrow(run, "key bigint, a bigint, b bigint")
+    return narrow.mapInArrow(lean(run), "key bigint, a bigint, b bigint")
 
 
 def grouped(paths: DataFrame) -> DataFrame:
@@ -357,7 +357,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
                 yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     rows = first.unionByName(second).repartition("b", "part")
-    return rows.sortWithinPartitions("b", "part", F.col("a").asc_nulls_first()).mapInArrow(run, "a bigint, b bigint")
+    return rows.sortWithinPartitions("b", "part", F.col("a").asc_nulls_first()).mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -452,7 +452,7 @@ def second_look(members: DataFrame, at: DataFrame, nodes: DataFrame, docs: DataF
             yield answer(cell)
 
     cells = many.unionByName(asks).select(*fields).repartition("key", "mb", "qb").sortWithinPartitions("key", "mb", "qb")
-    alike_rows = staged(cells.mapInArrow(narrow, "key bigint, mb bigint, qb bigint, asks boolean, node bigint, root bigint, seen bigint, s1 bigint, s2 bigint"), "alike")
+    alike_rows = staged(cells.mapInArrow(lean(narrow), "key bigint, mb bigint, qb bigint, asks boolean, node bigint, root bigint, seen bigint, s1 bigint, s2 bigint"), "alike")
     full = alike_rows.join(texts_of(docs, alike_rows.select("node")), "node")
 
     def run(batches):
@@ -470,7 +470,7 @@ def second_look(members: DataFrame, at: DataFrame, nodes: DataFrame, docs: DataF
                         links += compared((node, root, seen, s1, s2, items), held, head, percent)
                 yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
-    return full.repartition("key", "mb", "qb").sortWithinPartitions("key", "mb", "qb", "asks", "node").mapInArrow(run, "a bigint, b bigint")
+    return full.repartition("key", "mb", "qb").sortWithinPartitions("key", "mb", "qb", "asks", "node").mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from itertools import chain
 import numpy as np
 
 from boutline.llm.bytesops import LOWER, Codes, ragged, segment_hashes
+from boutline.llm.common import give_back
 
 MOST_UNITS = 1_000_000
 MOST_IDS = 6_000_000
@@ -166,4 +167,5 @@ def library(path: str, lead: bool) -> Units | Whole:
             return out
 
         _held[path] = Units(encode, lead, not lead) if fits(json.loads(tok.to_str()), lead) else Whole(encode)
+        give_back()  # reading the file takes several times what is kept of it
     return _held[path]
